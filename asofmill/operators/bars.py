@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clocks import available_after, exchange_date, is_whole_minute, minutes_between
-from ..functions.identity import canonical_json, ordered_digest
-from ..functions.clocks import utc_text
+from ..functions.clocks import available_after, exchange_date, is_whole_minute, minutes_between, utc_text
 from ..functions.exact import number_text
+from ..functions.identity import canonical_json, ordered_digest
+from .calendars import missing_sessions
 
 
 def arrival_key(time: Column, tie: Column) -> Column:
@@ -109,13 +109,12 @@ def minute_completeness(minutes: DataFrame, sessions: DataFrame, universe: DataF
         F.count(F.lit(1)).alias("observed_minutes"), F.min("__gap_at").alias("__gap"), F.max("t").alias("__last"),
     )
     if universe is not None:
-        grid = universe.select("symbol").withColumn("__one", F.lit(1)).distinct()
-        days = sessions.select(F.collect_list(F.struct("session", "market_open", "market_close")).alias("days"))
-        # One array of sessions per listed symbol: exactly the rows the report has to contain.
-        wanted = grid.join(F.broadcast(days)).select("symbol", F.inline("days"))
-        grouped = wanted.join(
-            grouped.drop("market_open", "market_close"), ["symbol", "session"], "left"
-        ).withColumn("observed_minutes", F.coalesce("observed_minutes", F.lit(0)))
+        empty = missing_sessions(universe, grouped.select("symbol", "session"), sessions).join(
+            F.broadcast(sessions.select("session", "market_open", "market_close")), "session"
+        )
+        grouped = grouped.unionByName(
+            empty.withColumn("observed_minutes", F.lit(0).cast("bigint")), allowMissingColumns=True
+        )
     expected = minutes_between(F.col("market_open"), F.col("market_close"))
     tail = F.when(F.col("__last").isNull(), F.col("market_open")).when(
         F.col("__last") + minute < F.col("market_close"), F.col("__last") + minute

@@ -27,8 +27,6 @@ def day_spine(sessions: DataFrame) -> DataFrame:
         "day",
         F.col("open").isNotNull().alias("is_session"),
         F.coalesce(F.sum("open").over(earlier), F.lit(0)).cast("bigint").alias("sessions_before"),
-        F.min("day").over(Window.partitionBy()).alias("spine_start"),
-        F.max("day").over(Window.partitionBy()).alias("spine_end"),
     )
 
 
@@ -49,13 +47,11 @@ def shortened(sessions: DataFrame) -> DataFrame:
 def sessions_before(df: DataFrame, sessions: DataFrame, day: str, name: str) -> DataFrame:
     """Add the number of sessions strictly before the date in ``day``; dates off the calendar are clamped to it."""
     spine = day_spine(sessions)
-    edges = sessions.agg(
-        F.min("session").alias("__lo"), F.date_add(F.max("session"), 1).alias("__hi")
-    )
-    # One row of two dates: attaching it adds columns, it does not multiply rows.
-    clamped = df.join(F.broadcast(edges)).withColumn("__day", F.least(F.greatest(F.col(day), F.col("__lo")), F.col("__hi")))
+    lowest = sessions.agg(F.min("session")).scalar()
+    highest = sessions.agg(F.date_add(F.max("session"), 1)).scalar()
+    clamped = df.withColumn("__day", F.least(F.greatest(F.col(day), lowest), highest))
     counts = spine.select(F.col("day").alias("__day"), F.col("sessions_before").alias(name))
-    return clamped.join(F.broadcast(counts), "__day", "left").drop("__day", "__lo", "__hi")
+    return clamped.join(F.broadcast(counts), "__day", "left").drop("__day")
 
 
 def warmup_start(requests: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -92,6 +88,33 @@ def expected_sessions(universe: DataFrame, sessions: DataFrame) -> DataFrame:
         "__from", "first_position").withColumnRenamed("__to", "end_position").drop("__end")
 
 
+def missing_sessions(universe: DataFrame, bars: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Listed sessions without a bar, as (symbol, session).
+
+    Sessions are numbered; the holes between consecutive observed numbers of a symbol are its missing sessions. Only
+    holes are produced, not the grid of all symbols by all sessions.
+    """
+    positions = numbered(sessions).select("session", "ordinal")
+    listed = expected_sessions(universe, sessions).select("symbol", "first_position", "end_position")
+    seen = (
+        bars.select("symbol", "session").join(F.broadcast(positions), "session")
+        .groupBy("symbol", "ordinal").agg(F.lit(1).alias("__seen")).select("symbol", "ordinal")
+    )
+    inside = seen.join(listed, "symbol").where(
+        (F.col("ordinal") > F.col("first_position")) & (F.col("ordinal") <= F.col("end_position"))
+    ).select("symbol", "ordinal")
+    fences = listed.where(F.col("end_position") > F.col("first_position")).select(
+        "symbol", F.explode(F.array(F.col("first_position"), F.col("end_position") + 1)).alias("ordinal")
+    )
+    step = Window.partitionBy("symbol").orderBy("ordinal")  # at most one row per session
+    holes = (
+        inside.unionByName(fences).withColumn("__prev", F.lag("ordinal").over(step))
+        .where(F.col("ordinal") - F.col("__prev") > 1)
+        .select("symbol", F.explode(F.sequence(F.col("__prev") + 1, F.col("ordinal") - 1)).alias("ordinal"))
+    )
+    return holes.join(F.broadcast(positions), "ordinal").select("symbol", "session")
+
+
 def expected_pages(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """The page queries a history request stands for: one per session in range and one for corporate actions.
 

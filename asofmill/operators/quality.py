@@ -81,36 +81,9 @@ def sequence_faults(df: DataFrame, keys: list[str], arrival: str | None) -> Data
     return lagged.where(F.col(f"__p_{keys[0]}").isNotNull() & (here <= before)).select(*keys)
 
 
-def missing_sessions(universe: DataFrame, bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Listed sessions without a bar, as (symbol, session).
-
-    Sessions are numbered; the holes between consecutive observed numbers of a symbol are its missing sessions. Only
-    holes are produced, not the grid of all symbols by all sessions.
-    """
-    positions = calendars.numbered(sessions).select("session", "ordinal")
-    listed = calendars.expected_sessions(universe, sessions).select("symbol", "first_position", "end_position")
-    seen = (
-        bars.select("symbol", "session").join(F.broadcast(positions), "session")
-        .groupBy("symbol", "ordinal").agg(F.lit(1).alias("__seen")).select("symbol", "ordinal")
-    )
-    inside = seen.join(listed, "symbol").where(
-        (F.col("ordinal") > F.col("first_position")) & (F.col("ordinal") <= F.col("end_position"))
-    ).select("symbol", "ordinal")
-    fences = listed.where(F.col("end_position") > F.col("first_position")).select(
-        "symbol", F.explode(F.array(F.col("first_position"), F.col("end_position") + 1)).alias("ordinal")
-    )
-    step = Window.partitionBy("symbol").orderBy("ordinal")  # at most one row per session
-    holes = (
-        inside.unionByName(fences).withColumn("__prev", F.lag("ordinal").over(step))
-        .where(F.col("ordinal") - F.col("__prev") > 1)
-        .select("symbol", F.explode(F.sequence(F.col("__prev") + 1, F.col("ordinal") - 1)).alias("ordinal"))
-    )
-    return holes.join(F.broadcast(positions), "ordinal").select("symbol", "session")
-
-
 def session_coverage(universe: DataFrame, bars: DataFrame, sessions: DataFrame) -> DataFrame:
     """Expected, observed and missing sessions per instrument; the missing ones as a sorted array."""
-    missing = missing_sessions(universe, bars, sessions).groupBy("symbol").agg(
+    missing = calendars.missing_sessions(universe, bars, sessions).groupBy("symbol").agg(
         F.array_sort(F.collect_list("session")).alias("missing_sessions")
     )
     observed = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("observed_bars"))
@@ -194,10 +167,9 @@ def quality_findings(
         F.lit(plan.warmup_sessions).cast("bigint").alias("warmup_sessions"),
     )
     start = calendars.warmup_start(request, sessions)
-    starts = start.select("required_start")
-    # One row of plan scalars next to each instrument.
-    listings = universe.join(F.broadcast(starts)).where(
-        (F.col("listed_on") > F.col("required_start"))
+    required_start = start.select("required_start").scalar()
+    listings = universe.where(
+        (F.col("listed_on") > required_start)
         | yes(F.col("delisted_on") <= F.lit(plan.coverage_end))
     )
     splits = actions.where(F.col("kind") == "split").select("symbol", "effective_session", "split_ratio")
@@ -215,7 +187,7 @@ def quality_findings(
         _finding(start.where(~F.col("is_execution_session")).select("required_start"), "execution_not_session"),
         _finding(start.where(~F.col("enough_warmup")).select("required_start"), "insufficient_warmup"),
         _finding(listings.select("symbol"), "listing_coverage"),
-        _finding(missing_sessions(universe, bars, sessions).select("symbol").distinct(), "missing_bars"),
+        _finding(calendars.missing_sessions(universe, bars, sessions).select("symbol").distinct(), "missing_bars"),
         _finding(opening_gaps(bars, splits), "large_opening_gap", session=True),
     ]
     if plan.corporate_actions_coverage != "complete":
