@@ -126,8 +126,10 @@ def minute_completeness(minutes: DataFrame, sessions: DataFrame, universe: DataF
     )
 
 
-def regular_bars(minutes: DataFrame, sessions: DataFrame, provider: str, feed: str, origin: str) -> DataFrame:
-    """Daily bars from accepted minute rows (t, o, h, l, c, v, received_at), complete sessions only.
+def regular_bars(
+    minutes: DataFrame, sessions: DataFrame, provider: str, feed: str, origin: str, require_complete: bool = True
+) -> DataFrame:
+    """Daily bars from accepted minute rows (t, o, h, l, c, v, received_at), by default complete sessions only.
 
     ``revision_id`` is the digest of the session's canonical minutes in time order, a group bounded by the session.
     """
@@ -143,7 +145,8 @@ def regular_bars(minutes: DataFrame, sessions: DataFrame, provider: str, feed: s
     complete = (F.col("__n") == minutes_between(F.col("interval_start"), F.col("interval_end"))) & (
         F.col("__first") == F.col("interval_start")
     )
-    return grouped.where(complete).select(
+    kept = grouped.where(complete) if require_complete else grouped
+    return kept.select(
         F.lit(1).cast("tinyint").alias("schema_version"), "symbol", "session", F.lit("1d").alias("interval"),
         "interval_start", "interval_end", available_after(F.col("interval_end")).alias("available_at"),
         "first_ingested_at", F.lit(provider).alias("provider"), F.lit(feed).alias("feed"), "revision_id",

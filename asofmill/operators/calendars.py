@@ -122,9 +122,10 @@ def expected_pages(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     economic dates; that range is applied after the scan. ``symbols`` is the sorted list of the request.
     """
     end_text = F.date_format(F.col("market_close") - F.expr("INTERVAL 1 MICROSECOND"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    per_session = requests.join(
-        F.broadcast(sessions), F.col("session").between(F.col("start_session"), F.col("end_session"))
-    ).select(
+    days = requests.where(F.col("start_session") <= F.col("end_session")).withColumn(
+        "session", F.explode(F.sequence("start_session", "end_session"))
+    )
+    per_session = days.join(F.broadcast(sessions), "session").select(
         "request_id", F.lit("/v2/stocks/bars").alias("path"), "symbols",
         F.date_format("market_open", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("start"), end_text.alias("end"),
     )

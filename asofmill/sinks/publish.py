@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from ..operators.quality import Plan, is_usable, quality_findings
 from ..operators.versions import dataset_identity
@@ -18,9 +19,13 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def version_exists(spark: SparkSession, path: str, dataset_id: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dataset_id={dataset_id}/_SUCCESS")
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+def is_published(spark: SparkSession, root: str, dataset_id: str) -> bool:
+    """A version counts as published once its manifest row exists; that row is written last."""
+    try:
+        manifest = spark.read.schema("dataset_id string, rows bigint").parquet(f"{root}/manifest")
+        return not manifest.where(F.col("dataset_id") == dataset_id).isEmpty()
+    except AnalysisException:
+        return False
 
 
 def publish_snapshot(
@@ -40,11 +45,15 @@ def publish_snapshot(
         codes = findings.where("severity = 'error'").groupBy("code").count().orderBy("code")
         raise QualityRejected(", ".join(f"{r['code']} x{r['count']}" for r in codes.collect()))
     tables = {"bars": bars, "actions": actions, "sessions": sessions, "universe": universe}
-    dataset_id = dataset_identity(tables).first()["dataset_id"]
+    identity = dataset_identity(tables).first()
+    dataset_id = identity["dataset_id"]
+    if is_published(spark, root, dataset_id):
+        return dataset_id
     for name, df in tables.items():
-        if not version_exists(spark, f"{root}/{name}", dataset_id):
-            # Written straight into its partition, so a rerun after a lost driver replaces a half-written version.
-            write_table(df, f"{root}/{name}/dataset_id={dataset_id}", mode="overwrite")
+        # Written straight into its partition: a rerun after a lost driver replaces a half-written version.
+        write_table(df, f"{root}/{name}/dataset_id={dataset_id}", mode="overwrite")
+    manifest = spark.createDataFrame([(dataset_id, identity["rows"])], "dataset_id string, rows bigint")
+    write_table(manifest, f"{root}/manifest", mode="append")
     return dataset_id
 
 
