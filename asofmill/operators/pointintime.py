@@ -28,8 +28,12 @@ def late_splits(splits: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def require_timely(splits: DataFrame, cutoff: Column) -> DataFrame:
-    """Fail the job, rather than return a wrong view, when an effective split was not yet public."""
-    check = F.assert_true(F.col("available_at") <= cutoff, F.lit("an effective split was not available by the cutoff"))
+    """Fail the job, rather than return a wrong view, when an effective split was not yet public.
+
+    The condition repeats the effective time, so it stays right wherever the optimizer evaluates it.
+    """
+    timely = (F.col("effective_at") > cutoff) | (F.col("available_at") <= cutoff)
+    check = F.assert_true(timely, F.lit("an effective split was not available by the cutoff"))
     return splits.withColumn("__ok", check).where(F.col("__ok").isNull()).drop("__ok")
 
 

@@ -1,0 +1,14 @@
+"""All registered queries."""
+
+from __future__ import annotations
+
+from . import ingest, market  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(ORACLES)
