@@ -26,27 +26,39 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= hot_rows).select(*keys)
 
 
-def with_slices(df: DataFrame, keys: Sequence[str], slice_by: Column, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Add the slice of each row: null for cold keys. ``hot_rows=None`` slices every key."""
-    if hot_rows is None:
-        return df.withColumn(_SLICE, slice_by)
-    hot = hot_keys(df, keys, hot_rows).select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot"))
+def _on_keys(keys: Sequence[str], prefix: str) -> Column:
     condition = F.lit(True)
     for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__h_{key}"))
-    joined = df.join(F.broadcast(hot), condition, "left")
+        condition = condition & F.col(key).eqNullSafe(F.col(f"{prefix}{key}"))
+    return condition
+
+
+def _hot_side(hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return F.broadcast(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
+
+
+def with_slices(
+    df: DataFrame, keys: Sequence[str], slice_by: Column, hot: DataFrame | None, how: str = "left"
+) -> DataFrame:
+    """Add the slice of each row: null for cold keys. ``hot=None`` slices every key; ``how="inner"`` keeps hot rows."""
+    if hot is None:
+        return df.withColumn(_SLICE, slice_by)
+    joined = df.join(_hot_side(hot, keys), _on_keys(keys, "__h_"), how)
     return joined.withColumn(_SLICE, F.when(F.col("__hot"), slice_by)).drop("__hot", *[f"__h_{k}" for k in keys])
 
 
+def _hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None, hot: DataFrame | None) -> DataFrame | None:
+    if hot is not None:
+        return hot
+    return None if hot_rows is None else hot_keys(df, keys, hot_rows)
+
+
 def _carry(df: DataFrame, keys: Sequence[str], carried: DataFrame, values: Sequence[str]) -> DataFrame:
     """Attach the per-slice carry of the hot keys to every row of the slice."""
     renamed = carried.select(
         *[F.col(k).alias(f"__c_{k}") for k in (*keys, _SLICE)], *values
     )
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__c_{key}"))
-    condition = condition & (F.col(_SLICE) == F.col(f"__c_{_SLICE}"))
+    condition = _on_keys(keys, "__c_") & (F.col(_SLICE) == F.col(f"__c_{_SLICE}"))
     return df.join(renamed, condition, "left").drop(*[f"__c_{k}" for k in (*keys, _SLICE)])
 
 
@@ -57,16 +69,20 @@ def running_sums(
     sums: dict[str, Column],
     slice_by: Column,
     hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Add cumulative sums per key, up to and including each row in ``order_by``."""
-    sliced = with_slices(df, keys, slice_by, hot_rows)
-    for name, value in sums.items():
-        sliced = sliced.withColumn(f"__v_{name}", value)
+    """Add cumulative sums per key, up to and including each row in ``order_by``.
+
+    ``hot`` may name the hot keys where they are known from a cheaper table than ``df``.
+    """
+    hot = _hot(df, keys, hot_rows, hot)
+    valued = df.select("*", *[value.alias(f"__v_{name}") for name, value in sums.items()])
+    sliced = with_slices(valued, keys, slice_by, hot)
     inside = Window.partitionBy(*keys, _SLICE).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.select("*", *[F.sum(f"__v_{n}").over(inside).alias(f"__s_{n}") for n in sums])
 
     totals = (
-        sliced.where(F.col(_SLICE).isNotNull())
+        with_slices(valued, keys, slice_by, hot, "inner")
         .groupBy(*keys, _SLICE)
         .agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     )
@@ -91,11 +107,12 @@ def previous_values(
     values: dict[str, Column],
     slice_by: Column,
     hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add the values of the row before, per key and in the order of the named columns (ascending)."""
-    sliced = with_slices(df, keys, slice_by, hot_rows)
-    packed = F.struct(*[value.alias(name) for name, value in values.items()])
-    sliced = sliced.withColumn("__row", packed)
+    hot = _hot(df, keys, hot_rows, hot)
+    valued = df.withColumn("__row", F.struct(*[value.alias(name) for name, value in values.items()]))
+    sliced = with_slices(valued, keys, slice_by, hot)
     inside = Window.partitionBy(*keys, _SLICE).orderBy(*order_by)
     local = sliced.select(
         "*",
@@ -103,7 +120,7 @@ def previous_values(
         (F.row_number().over(inside) == 1).alias(_FIRST),
     )
     ends = (
-        sliced.where(F.col(_SLICE).isNotNull())
+        with_slices(valued, keys, slice_by, hot, "inner")
         .groupBy(*keys, _SLICE)
         .agg(F.max_by("__row", F.struct(*order_by)).alias("__end"))
     )
@@ -148,7 +165,11 @@ def latest_as_of(
         left_row.alias("__left"), F.lit(None).cast(rights.schema["__right"].dataType).alias("__right"),
     )
     rights = rights.withColumn("__left", F.lit(None).cast(lefts.schema["__left"].dataType))
-    both = with_slices(lefts.unionByName(rights), keys, F.date_trunc(slice_by, F.col("__t")), hot_rows)
+    union = lefts.unionByName(rights)
+    # Counting keys needs neither payload, so this reads only key columns of the two sides.
+    hot = _hot(left.select(*keys).unionByName(right.select(*keys)), keys, hot_rows, None)
+    unit = F.date_trunc(slice_by, F.col("__t"))
+    both = with_slices(union, keys, unit, hot)
     inside = (
         Window.partitionBy(*keys, _SLICE)
         .orderBy("__t", "__side", "__tie")
@@ -158,7 +179,7 @@ def latest_as_of(
         F.col("__left").isNotNull()
     )
     ends = (
-        both.where(F.col(_SLICE).isNotNull())
+        with_slices(union, keys, unit, hot, "inner")
         .groupBy(*keys, _SLICE)
         .agg(F.max_by("__right", F.when(F.col("__right").isNotNull(), F.struct("__t", "__tie"))).alias("__end"))
     )

@@ -7,12 +7,10 @@ rewrite of history and positions stay exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import HOT_ROWS, running_sums
+from ..functions.ordered import HOT_ROWS, hot_keys, running_sums
 from .calendars import numbered, sessions_before
 from .pointintime import split_factor
 
@@ -49,42 +47,63 @@ def _events(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
     )
 
 
-def _positions(events: DataFrame, schedule: DataFrame, slice_by: Column, hot_rows: int | None, sums: Sequence[str] = ()):
-    scaled = events.join(schedule, "symbol", "left").withColumn("__later", split_factor(F.col("session"))).drop("__splits")
-    scaled = scaled.withColumn("__scaled", F.col("quantity") * F.col("__later"))
-    order = [F.col("session"), F.col("rank"), F.col("seq"), F.col("action_id")]
-    summed = running_sums(
-        scaled, ["account", "symbol"], order,
-        {"__held": F.col("__scaled"), **{f"__sum_{n}": F.col(n) for n in sums}}, slice_by, hot_rows,
-    )
-    return summed.withColumn("position", F.expr("__held div __later"))
+def _scaled(events: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Quantities in the share units after the last split; ``__later`` leads back to the units of the session."""
+    joined = events.join(schedule, "symbol", "left").withColumn("__later", split_factor(F.col("session"))).drop("__splits")
+    return joined.withColumn("__scaled", F.col("quantity") * F.col("__later"))
 
 
-def entitlements(
-    fills: DataFrame, splits: DataFrame, dividends: DataFrame, slice_by: Column | None = None,
-    hot_rows: int | None = HOT_ROWS,
-) -> DataFrame:
+def entitlements(fills: DataFrame, splits: DataFrame, dividends: DataFrame) -> DataFrame:
     """Dividend entitlements: shares held at the ex-date's open, after a same-session split, times the amount.
 
-    ``dividends`` has symbol, action_id, ex_session, amount and pay_session.
+    ``dividends`` has symbol, action_id, ex_session, amount and pay_session. Each fill belongs to the gap between two
+    ex-dates of its symbol. Fills are summed per gap before the shuffle, so a sleeve is left with at most one row per
+    dividend, and a running sum over those rows gives the position at every ex-date.
     """
-    sleeves = fills.groupBy("account", "symbol").agg(F.min("session").alias("__first"))
-    due = sleeves.join(dividends, "symbol").where(F.col("ex_session") > F.col("__first"))
-    rows = _events(
-        due.withColumn("session", F.col("ex_session")), "entitlement", amount=F.col("amount").cast(_MONEY),
-        action_id=F.col("action_id"),
-    ).unionByName(_events(fills, "fill", quantity=F.col("quantity"), seq=F.col("seq")))
-    slice_column = slice_by if slice_by is not None else F.trunc("session", "MM")
-    placed = _positions(rows, split_table(splits), slice_column, hot_rows).where(
-        (F.col("event") == "entitlement") & (F.col("position") != 0)
+    due = dividends.groupBy("symbol").agg(F.array_sort(F.collect_list(
+        F.struct("ex_session", "action_id", F.col("amount").cast(_MONEY).alias("amount"), "pay_session")
+    )).alias("__due"))
+    passed = F.size(F.filter("__due", lambda d: d["ex_session"] <= F.col("session")))
+    gaps = (
+        _scaled(fills.join(due, "symbol"), split_table(splits))
+        .withColumn("__gap", passed).where(F.col("__gap") < F.size("__due"))
+        .groupBy("account", "symbol", "__gap").agg(F.sum("__scaled").alias("__sum"))
+    )
+    per_sleeve = Window.partitionBy("account", "symbol").orderBy("__gap")
+    until = gaps.select(
+        "account", "symbol", "__gap", F.sum("__sum").over(per_sleeve).alias("__held"), F.lead("__gap").over(per_sleeve).alias("__next"),
+    ).join(due, "symbol")
+    dated = until.withColumn(
+        "__index", F.explode(F.sequence(F.col("__gap"), F.coalesce("__next", F.size("__due")) - 1))
+    ).withColumn("__d", F.get("__due", F.col("__index"))).select(
+        "account", "symbol", "__held", F.col("__d.ex_session").alias("session"), F.col("__d.action_id").alias("action_id"),
+        F.col("__d.pay_session").alias("pay_session"), F.col("__d.amount").alias("amount"),
     )
-    pay = dividends.select("symbol", "action_id", "pay_session")
-    return placed.join(pay, ["symbol", "action_id"]).select(
+    placed = dated.join(split_table(splits), "symbol", "left").withColumn("__later", split_factor(F.col("session")))
+    return placed.withColumn("position", F.expr("__held div __later")).where(F.col("position") != 0).select(
         "account", "symbol", "action_id", F.col("session").alias("ex_session"), "pay_session", "position",
         (F.col("position") * F.col("amount")).cast(_MONEY).alias("amount"),
     )
 
 
+def _dividend_events(held: DataFrame) -> DataFrame:
+    """Entitlement and payment rows of each dividend, from one reading of the entitlements."""
+    nothing = F.lit(0).cast(_MONEY)
+    row = lambda session, kind, cash, receivable: F.struct(
+        session.alias("session"), F.lit(RANK[kind]).alias("rank"), F.lit(kind).alias("event"),
+        cash.alias("cash_delta"), receivable.alias("receivable_delta"),
+    )
+    amount = F.col("amount")
+    both = F.array(
+        row(F.col("ex_session"), "entitlement", nothing, amount),
+        row(F.col("pay_session"), "payment", amount, (-amount).cast(_MONEY)),
+    )
+    return held.withColumn("__e", F.explode(both)).where(F.col("__e.session").isNotNull()).select(
+        "account", "symbol", "__e.session", "__e.rank", "__e.event", F.lit(0).cast("bigint").alias("quantity"),
+        "__e.cash_delta", "__e.receivable_delta", "amount", "action_id", F.lit(0).cast("bigint").alias("seq"),
+    )
+
+
 def ledger_replay(
     fills: DataFrame, splits: DataFrame, dividends: DataFrame, marks: DataFrame, initial_cash: Column | DataFrame,
     snapshots: DataFrame | None = None, slice_by: Column | None = None, hot_rows: int | None = HOT_ROWS,
@@ -96,33 +115,27 @@ def ledger_replay(
     for the state at a session's open: after splits and dividends, before orders.
     """
     slice_column = slice_by if slice_by is not None else F.trunc("session", "MM")
-    held = entitlements(fills, splits, dividends, slice_by, hot_rows)
+    sleeve = ["account", "symbol"]
     value = F.col("quantity") * F.col("price").cast("decimal(18,8)")
     rows = _events(
         fills, "fill", quantity=F.col("quantity"), seq=F.col("seq"),
         cash_delta=(-(value + F.col("commission").cast("decimal(18,8)"))).cast(_MONEY),
-    )
-    rows = rows.unionByName(_events(
-        held.withColumn("session", F.col("ex_session")), "entitlement", receivable_delta=F.col("amount"),
-        amount=F.col("amount"), action_id=F.col("action_id"),
-    ))
-    rows = rows.unionByName(_events(
-        held.where(F.col("pay_session").isNotNull()).withColumn("session", F.col("pay_session")), "payment",
-        cash_delta=F.col("amount"), receivable_delta=-F.col("amount"), amount=F.col("amount"), action_id=F.col("action_id"),
-    ))
-    sleeves = fills.groupBy("account", "symbol").agg(F.min("session").alias("__first"))
-    split_rows = sleeves.join(splits, "symbol").where(F.col("effective_session") > F.col("__first"))
-    rows = rows.unionByName(_events(split_rows.withColumn("session", F.col("effective_session")), "split"))
+    ).unionByName(_dividend_events(entitlements(fills, splits, dividends)))
+    rows = rows.unionByName(_events(_sleeves_at_splits(fills, splits), "split"))
     if snapshots is not None:
         rows = rows.unionByName(_events(snapshots, "open"))
-    placed = _positions(rows, split_table(splits), slice_column, hot_rows, ("cash_delta", "receivable_delta"))
+    placed = running_sums(
+        _scaled(rows, split_table(splits)), sleeve, [F.col("session"), F.col("rank"), F.col("seq"), F.col("action_id")],
+        {"__held": F.col("__scaled"), "__cash": F.col("cash_delta"), "__receivable": F.col("receivable_delta")},
+        slice_column, hot_rows, hot=None if hot_rows is None else hot_keys(fills, sleeve, hot_rows),
+    ).withColumn("position", F.expr("__held div __later"))
     placed = placed.where((F.col("event") != "split") | (F.col("position") != 0))
     if isinstance(initial_cash, DataFrame):
         placed = placed.join(initial_cash, "account", "left").withColumnRenamed("cash", "__cash0")
     else:
         placed = placed.withColumn("__cash0", initial_cash.cast(_MONEY))
-    cash = (F.coalesce(F.col("__cash0").cast(_MONEY), F.lit(0).cast(_MONEY)) + F.col("__sum_cash_delta")).cast(_MONEY)
-    receivable = F.col("__sum_receivable_delta").cast(_MONEY)
+    cash = (F.coalesce(F.col("__cash0").cast(_MONEY), F.lit(0).cast(_MONEY)) + F.col("__cash")).cast(_MONEY)
+    receivable = F.col("__receivable").cast(_MONEY)
     marked = placed.join(marks.select("symbol", "session", F.col("mark").cast("decimal(18,8)").alias("mark")),
                          ["symbol", "session"], "left")
     return marked.select(
@@ -132,24 +145,30 @@ def ledger_replay(
     )
 
 
+def _sleeves_at_splits(fills: DataFrame, splits: DataFrame) -> DataFrame:
+    """The splits each sleeve lives through, as its sessions."""
+    sleeves = fills.groupBy("account", "symbol").agg(F.min("session").alias("__first"))
+    dated = splits.select("symbol", F.col("effective_session").alias("session"))
+    return sleeves.join(dated, "symbol").where(F.col("session") > F.col("__first")).drop("__first")
+
+
 def average_buy_price(
     fills: DataFrame, splits: DataFrame, slice_by: Column | None = None, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Average price of everything bought so far, in the share units of the row's session."""
     slice_column = slice_by if slice_by is not None else F.trunc("session", "MM")
-    bought = fills.where(F.col("quantity") > 0).withColumn(
-        "__cost", (F.col("quantity") * F.col("price").cast("decimal(18,8)")).cast(_MONEY)
+    sleeve = ["account", "symbol"]
+    bought = fills.where(F.col("quantity") > 0).select(
+        *sleeve, "session", "seq", "quantity", (F.col("quantity") * F.col("price").cast("decimal(18,8)")).cast(_MONEY).alias("__cost")
     )
-    sleeves = fills.groupBy("account", "symbol").agg(F.min("session").alias("__first"))
-    at_split = sleeves.join(splits, "symbol").where(F.col("effective_session") > F.col("__first")).select(
-        "account", "symbol", F.col("effective_session").alias("session"), F.lit(-1).cast("bigint").alias("seq"),
-        F.lit(0).cast("bigint").alias("quantity"), F.lit(0).cast(_MONEY).alias("__cost"),
+    at_split = _sleeves_at_splits(fills, splits).select(
+        *sleeve, "session", F.lit(-1).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("quantity"),
+        F.lit(0).cast(_MONEY).alias("__cost"),
     )
-    rows = bought.select("account", "symbol", "session", "seq", "quantity", "__cost").unionByName(at_split)
-    scaled = rows.join(split_table(splits), "symbol", "left").withColumn("__later", split_factor(F.col("session"))).drop("__splits")
     summed = running_sums(
-        scaled.withColumn("__scaled", F.col("quantity") * F.col("__later")), ["account", "symbol"],
-        [F.col("session"), F.col("seq")], {"__n": F.col("__scaled"), "__total": F.col("__cost")}, slice_column, hot_rows,
+        _scaled(bought.unionByName(at_split), split_table(splits)), sleeve, [F.col("session"), F.col("seq")],
+        {"__n": F.col("__scaled"), "__total": F.col("__cost")}, slice_column, hot_rows,
+        hot=None if hot_rows is None else hot_keys(fills, sleeve, hot_rows),
     )
     units = F.expr("__n div __later")
     return summed.where(F.col("__n") > 0).select(

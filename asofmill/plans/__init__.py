@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ingest, market  # noqa: F401
+from . import accounts, ingest, market  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

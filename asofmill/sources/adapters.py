@@ -179,8 +179,8 @@ def fills(spark: SparkSession, sf: str) -> DataFrame:
 
 def ledger_fills(spark: SparkSession, sf: str) -> DataFrame:
     quantity = c("l_quantity").cast("bigint")
-    return fills(spark, sf).select(
-        c("o_custkey").alias("account"), F.concat(F.lit("P"), (c("l_partkey") % 5).cast("string")).alias("symbol"),
+    return driver_table(spark, sf, "lineitem").select(
+        c("l_suppkey").alias("account"), F.concat(F.lit("P"), (c("l_partkey") % 5).cast("string")).alias("symbol"),
         F.to_date("l_shipdate").alias("session"),
         ((c("l_orderkey") * 8 + c("l_linenumber")) * 1_000_000 + c("l_partkey")).alias("seq"),
         F.when(c("l_returnflag") == "R", -quantity).otherwise(quantity).alias("quantity"),
