@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import accounts, ingest, jobs, market, research, texts  # noqa: F401
+from . import accounts, ingest, jobs, market, research, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
