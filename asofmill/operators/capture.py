@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.clocks import exchange_date, is_whole_minute, offset_instant, session_date
 from ..functions.exact import as_number, is_whole, whole
 from ..functions.identity import sha256
+from ..functions.joins import small_side
 from ..functions.ordered import previous_values
 from ..functions.rules import differs, first_reason, yes
 
@@ -79,15 +80,15 @@ def minute_rows(pages: DataFrame) -> DataFrame:
     """One row per wire minute with its arrival position: page number, symbol within page, position in the list."""
     bars = pages.where(F.col("path") == BARS_PATH)
     decoded = bars.withColumn("__body", F.from_json("body", BARS_BODY))
-    # Which fields each raw row carries is read next to the typed values, so an absent field and a null differ.
+    # The outer form of explode: for the plain one the optimizer adds a filter that parses every body once more.
     by_symbol = decoded.select(
         "capture_id", "seq", "params", "received_at",
-        F.explode(F.col("__body.bars")).alias("symbol", "__rows"),
+        F.explode_outer(F.col("__body.bars")).alias("symbol", "__rows"),
     )
     return by_symbol.select(
         "capture_id", "seq", F.col("params")["start"].alias("requested_start"), "received_at", "symbol",
-        F.posexplode("__rows").alias("pos", "__m"),
-    ).select(
+        F.posexplode_outer("__rows").alias("pos", "__m"),
+    ).where(F.col("pos").isNotNull()).select(
         "capture_id", "seq", "requested_start", "received_at", "symbol", "pos",
         F.col("__m.t").alias("t_text"),
         *[F.col(f"__m.{c}").alias(f"{c}_wide") for c in MINUTE_FIELDS[1:]],
@@ -120,7 +121,7 @@ def classify_minutes(minutes: DataFrame, sessions: DataFrame, universe: DataFram
         .agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("seq", "pos")).alias("__first"))
         .where(F.col("__n") > 1).select("capture_id", "symbol", "t", "__first")
     )
-    listed = universe.select("symbol", F.lit(True).alias("__listed")).distinct()
+    listed = small_side(universe.select("symbol", F.lit(True).alias("__listed")).distinct())
     calendar = F.broadcast(sessions.select("session", "market_open", "market_close"))
     joined = (
         ordered.join(firsts, ["capture_id", "symbol", "t"], "left").join(listed, "symbol", "left")
@@ -157,10 +158,9 @@ def classify_minutes(minutes: DataFrame, sessions: DataFrame, universe: DataFram
 def action_rows(pages: DataFrame) -> DataFrame:
     """One row per wire action with its kind, typed fields and page clock."""
     wire = pages.where(F.col("path") == ACTIONS_PATH).withColumn("__body", F.from_json("body", ACTIONS_BODY))
-    kinds = wire.select("capture_id", "seq", "received_at", F.explode("__body.corporate_actions").alias("kind", "__rows"))
-    return kinds.select("capture_id", "seq", "received_at", "kind", F.posexplode("__rows").alias("pos", "__a")).select(
-        "capture_id", "seq", "received_at", "kind", "pos", "__a.*"
-    )
+    kinds = wire.select("capture_id", "seq", "received_at", F.explode_outer("__body.corporate_actions").alias("kind", "__rows"))
+    rows = kinds.select("capture_id", "seq", "received_at", "kind", F.posexplode_outer("__rows").alias("pos", "__a"))
+    return rows.where(F.col("pos").isNotNull()).select("capture_id", "seq", "received_at", "kind", "pos", "__a.*")
 
 
 def classify_actions(
@@ -182,7 +182,7 @@ def classify_actions(
         "__process", session_date(F.col("process_date"))
     )
     known = sessions.select(F.col("session").alias("effective_session"), F.col("market_open").alias("__open"))
-    listed = universe.select("symbol", F.lit(True).alias("__listed")).distinct()
+    listed = small_side(universe.select("symbol", F.lit(True).alias("__listed")).distinct())
     joined = (
         dated.join(repeated, ["capture_id", "id"], "left").join(F.broadcast(known), "effective_session", "left")
         .join(listed, "symbol", "left")

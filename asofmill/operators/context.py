@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clocks import exchange_date
@@ -23,83 +23,95 @@ def context_rules() -> list[Rule]:
     ]
 
 
-def _report(df: DataFrame, item, reason: str) -> DataFrame:
-    return df.select("context_id", item.cast("string").alias("item"), F.lit(reason).alias("reason"))
+# The columns every kind of item brings to the one pass that judges them all.
+_ITEM = (
+    "context_id", "kind", "reference", "symbol", "session", "dataset_id", "available_at", "first_ingested_at", "origin",
+    "computed_at", "adjusted_as_of", "feature_schema_id", "names", "source_cutoff", "expires_at", "generated_at", "use",
+)
 
 
-def _clocks(contexts: DataFrame) -> DataFrame:
-    return contexts.select(
-        "context_id", F.col("mode").alias("__mode"), F.col("decision_at").alias("__decision"),
-        F.col("execution_session").alias("__execution"), F.col("dataset_ids").alias("__datasets"),
-    )
-
-
-def observation_violations(contexts: DataFrame, universe: DataFrame, rows: DataFrame, features: bool = False) -> DataFrame:
-    """Raw observations (or feature rows) that a decision must not use."""
-    listed = universe.select("context_id", "symbol", F.lit(True).alias("__listed")).distinct()
-    joined = rows.join(_clocks(contexts), "context_id").join(listed, ["context_id", "symbol"], "left")
+def context_items(
+    observations: DataFrame, features: DataFrame | None = None, documents: DataFrame | None = None,
+    macro: DataFrame | None = None,
+) -> DataFrame:
+    """Observations, features, documents and assessments as rows of one table; columns a kind lacks are null."""
+    parts = [(observations, "observation", None), (features, "feature", None), (documents, "document", "document_id"),
+             (macro, "macro", "assessment_id")]
+    items = None
+    for df, kind, reference in parts:
+        if df is None:
+            continue
+        named = df.withColumn("kind", F.lit(kind))
+        named = named.withColumn("reference", F.col(reference).cast("string")) if reference else named
+        named = named.select(*[n for n in _ITEM if n in named.columns])
+        items = named if items is None else items.unionByName(named, allowMissingColumns=True)
+    for name in _ITEM:
+        if name not in items.columns:
+            items = items.withColumn(name, F.lit(None).cast("array<string>" if name == "names" else "string"))
+    return items
+
+
+def item_name() -> Column:
+    """What an item is called in a report; built for reported rows only."""
+    return F.coalesce("reference", F.concat_ws("|", "symbol", F.col("session").cast("string"))).alias("item")
+
+
+def item_rules() -> list[Rule]:
+    """What a decision must not use. ``d_`` columns are those of the decision."""
     c = F.col
-    rules: list[Rule] = [
-        ("undeclared", c("__listed").isNull() | ~F.array_contains("__datasets", c("dataset_id"))),
-        ("not_yet_available", (c("available_at") > c("__decision")) | (c("session") >= c("__execution"))),
+    kind = lambda *names: c("kind").isin(*names)
+    rows = kind("observation", "feature")
+    backtest = c("d_mode") == "backtest"
+    undeclared = ~F.array_contains("d_datasets", c("dataset_id"))
+    late = c("available_at") > c("d_decision")
+    ingested_late = ~backtest & (c("first_ingested_at") > c("d_decision"))
+    return [
+        ("undeclared", rows & (c("listed").isNull() | undeclared)),
+        ("not_yet_available", rows & (late | (c("session") >= c("d_execution")))),
+        ("ingested_after_decision", kind("observation") & ingested_late),
+        ("synthetic_outside_backtest", kind("observation") & ~backtest & (c("origin") == "synthetic")),
+        ("adjusted_after_decision", kind("feature") & (c("adjusted_as_of") > c("d_decision"))),
+        ("computed_after_decision", kind("feature") & ~backtest & (c("computed_at") > c("d_decision"))),
+        ("feature_schema", kind("feature") & differs(c("feature_schema_id"), c("d_schema"))),
+        ("feature_names", kind("feature") & differs(c("names"), c("d_names"))),
+        ("document_not_eligible", kind("document") & (undeclared | late)),
+        ("document_ingested_after_decision", kind("document") & ingested_late),
+        ("macro_undeclared", kind("macro") & undeclared),
+        ("macro_future_or_expired", kind("macro")
+         & ~((c("source_cutoff") <= c("d_decision")) & (c("d_decision") < c("expires_at")))),
+        ("macro_not_prospective", kind("macro") & ~backtest
+         & ((c("use") != "prospective") | (c("generated_at") > c("d_decision")))),
+        ("macro_not_exploratory", kind("macro") & backtest & (c("use") != "historical_exploratory")),
     ]
-    live = c("__mode") != "backtest"
-    if features:
-        rules += [
-            ("adjusted_after_decision", c("adjusted_as_of") > c("__decision")),
-            ("computed_after_decision", live & (c("computed_at") > c("__decision"))),
-        ]
-    else:
-        rules += [
-            ("ingested_after_decision", live & (c("first_ingested_at") > c("__decision"))),
-            ("synthetic_outside_backtest", live & (c("origin") == "synthetic")),
-        ]
-    named = joined.withColumn("item", F.concat_ws("|", "symbol", c("session").cast("string")))
-    return violations(named, ["context_id", "item"], rules)
-
-
-def feature_violations(contexts: DataFrame, observations: DataFrame, features: DataFrame) -> DataFrame:
-    """Feature rows that do not fit the strategy or do not rest on a matching raw observation."""
-    strategy = contexts.select(
-        "context_id", F.col("feature_schema_id").alias("__schema"), F.col("feature_names").alias("__names")
+
+
+def item_violations(contexts: DataFrame, universe: DataFrame, items: DataFrame) -> DataFrame:
+    """All items of all contexts judged in one pass: one join with the decisions, one with the universe."""
+    decisions = contexts.select(
+        "context_id", F.col("mode").alias("d_mode"), F.col("decision_at").alias("d_decision"),
+        F.col("execution_session").alias("d_execution"), F.col("dataset_ids").alias("d_datasets"),
+        F.col("feature_schema_id").alias("d_schema"), F.col("feature_names").alias("d_names"),
     )
+    listed = universe.groupBy("context_id", "symbol").agg(F.lit(True).alias("listed"))
+    joined = items.join(decisions, "context_id").join(listed, ["context_id", "symbol"], "left")
+    found = violations(joined, ["context_id", "reference", "symbol", "session"], item_rules())
+    return found.select("context_id", item_name(), "reason")
+
+
+def unsupported_features(observations: DataFrame, features: DataFrame) -> DataFrame:
+    """Feature rows without a matching raw observation that was public and ingested before them."""
     keys = ["context_id", "symbol", "session", "dataset_id"]
     raw = observations.groupBy(*keys).agg(
         F.min("available_at").alias("__available"), F.min("first_ingested_at").alias("__ingested")
     )
-    joined = features.join(strategy, "context_id").join(raw, keys, "left")
     c = F.col
+    joined = features.join(raw, keys, "left").withColumn("reference", F.lit(None).cast("string"))
     rules = [
-        ("feature_schema", differs(c("feature_schema_id"), c("__schema"))),
-        ("feature_names", differs(c("names"), c("__names"))),
         ("no_observation", c("__available").isNull() | (c("available_at") < c("__available"))),
         ("computed_before_ingestion", c("computed_at") < c("__ingested")),
     ]
-    named = joined.withColumn("item", F.concat_ws("|", "symbol", c("session").cast("string")))
-    return violations(named, ["context_id", "item"], rules)
-
-
-def document_violations(contexts: DataFrame, documents: DataFrame) -> DataFrame:
-    c = F.col
-    joined = documents.join(_clocks(contexts), "context_id").withColumn("item", c("document_id").cast("string"))
-    rules = [
-        ("document_not_eligible", ~F.array_contains("__datasets", c("dataset_id")) | (c("available_at") > c("__decision"))),
-        ("document_ingested_after_decision", (c("__mode") != "backtest") & (c("first_ingested_at") > c("__decision"))),
-    ]
-    return violations(joined, ["context_id", "item"], rules)
-
-
-def macro_violations(contexts: DataFrame, macro: DataFrame) -> DataFrame:
-    c = F.col
-    joined = macro.join(_clocks(contexts), "context_id").withColumn("item", c("assessment_id").cast("string"))
-    backtest = c("__mode") == "backtest"
-    rules = [
-        ("macro_undeclared", ~F.array_contains("__datasets", c("dataset_id"))),
-        ("macro_future_or_expired", ~((c("source_cutoff") <= c("__decision")) & (c("__decision") < c("expires_at")))),
-        ("macro_not_prospective", ~backtest & ((c("use") != "prospective") | (c("generated_at") > c("__decision")))),
-        ("macro_not_exploratory", backtest & (c("use") != "historical_exploratory")),
-    ]
-    return violations(joined, ["context_id", "item"], rules)
+    found = violations(joined, ["context_id", "reference", "symbol", "session"], rules)
+    return found.select("context_id", item_name(), "reason")
 
 
 def eligible_context(
@@ -107,33 +119,28 @@ def eligible_context(
     documents: DataFrame | None = None, macro: DataFrame | None = None, exposure: DataFrame | None = None,
 ) -> DataFrame:
     """Every broken rule as (context_id, item, reason); a context without rows here is eligible."""
-    parts = [
-        violations(contexts, ["context_id"], context_rules()).select("context_id", F.lit("").alias("item"), "reason"),
-        observation_violations(contexts, universe, observations),
-    ]
-    listing = universe.join(_clocks(contexts), "context_id").where(
-        ~is_listed(F.col("__execution"), F.col("listed_on"), F.col("delisted_on"))
+    items = context_items(observations, features, documents, macro)
+    identity = ["context_id", "kind", "reference", "symbol", "session"]
+    keyed = items.where(F.col("kind") != "macro").select(*identity).unionByName(
+        universe.select("context_id", F.lit("instrument").alias("kind"), F.col("symbol").alias("reference")),
+        allowMissingColumns=True,
+    )
+    copies = duplicate_keys(keyed, identity).select(
+        "context_id", item_name(), F.concat(F.lit("duplicate_"), F.col("kind")).alias("reason")
     )
-    parts.append(_report(listing, F.col("symbol"), "execution_outside_listing"))
-    parts.append(_report(duplicate_keys(universe, ["context_id", "symbol"]), F.col("symbol"), "duplicate_instrument"))
-    pair = F.concat_ws("|", "symbol", F.col("session").cast("string"))
-    copies = duplicate_keys(observations, ["context_id", "symbol", "session"])
-    parts.append(_report(copies, pair, "duplicate_observation"))
+    execution = contexts.select("context_id", F.col("execution_session").alias("__execution"))
+    unlisted = universe.join(execution, "context_id").where(
+        ~is_listed(F.col("__execution"), F.col("listed_on"), F.col("delisted_on"))
+    ).select("context_id", F.col("symbol").alias("item"), F.lit("execution_outside_listing").alias("reason"))
+    own = violations(contexts, ["context_id"], context_rules()).select("context_id", F.lit("").alias("item"), "reason")
+    report = item_violations(contexts, universe, items).unionByName(own).unionByName(unlisted).unionByName(copies)
+    if features is not None:
+        report = report.unionByName(unsupported_features(observations, features))
     if exposure is not None:
         strangers = outside_universe(exposure, universe, ["context_id", "symbol"])
-        parts.append(_report(strangers, F.col("symbol"), "exposure_outside_universe").distinct())
-    if features is not None:
-        parts.append(observation_violations(contexts, universe, features, features=True))
-        parts.append(feature_violations(contexts, observations, features))
-        parts.append(_report(duplicate_keys(features, ["context_id", "symbol", "session"]), pair, "duplicate_feature"))
-    if documents is not None:
-        parts.append(document_violations(contexts, documents))
-        parts.append(_report(duplicate_keys(documents, ["context_id", "document_id"]), F.col("document_id"), "duplicate_document"))
-    if macro is not None:
-        parts.append(macro_violations(contexts, macro))
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
+        report = report.unionByName(
+            strangers.select("context_id", F.col("symbol").alias("item"), F.lit("exposure_outside_universe").alias("reason")).distinct()
+        )
     return report
 
 

@@ -10,25 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import small_side
 from ..functions.ordered import HOT_ROWS, hot_keys, running_sums
 from .calendars import numbered, sessions_before
-from .pointintime import split_factor
+from .pointintime import split_factor, split_schedule
 
 # Order of events inside a session.
 RANK = {"split": 0, "entitlement": 1, "payment": 2, "open": 3, "fill": 4}
 _MONEY = "decimal(28,8)"
 
 
-def split_table(splits: DataFrame) -> DataFrame:
-    """One row per symbol with its splits; ``split_factor`` reads it."""
-    return splits.groupBy("symbol").agg(
-        F.collect_list(F.struct(
-            F.col("effective_session"), F.col("split_ratio").cast("bigint").alias("ratio"),
-            F.lit(None).cast("timestamp").alias("known_at"),
-        )).alias("__splits")
-    )
-
-
 def payment_sessions(dividends: DataFrame, sessions: DataFrame) -> DataFrame:
     """Dividends with the first session on or after their pay date; null while the calendar does not reach it."""
     positions = numbered(sessions).select((F.col("ordinal") - 1).alias("__before"), F.col("session").alias("pay_session"))
@@ -36,6 +27,10 @@ def payment_sessions(dividends: DataFrame, sessions: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(positions), "__before", "left").drop("__before")
 
 
+def _schedule(splits: DataFrame) -> DataFrame:
+    return split_schedule(splits.withColumn("available_at", F.lit(None).cast("timestamp")))
+
+
 def _events(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
     defaults = {
         "quantity": F.lit(0).cast("bigint"), "cash_delta": F.lit(0).cast(_MONEY), "receivable_delta": F.lit(0).cast(_MONEY),
@@ -63,9 +58,10 @@ def entitlements(fills: DataFrame, splits: DataFrame, dividends: DataFrame) -> D
     due = dividends.groupBy("symbol").agg(F.array_sort(F.collect_list(
         F.struct("ex_session", "action_id", F.col("amount").cast(_MONEY).alias("amount"), "pay_session")
     )).alias("__due"))
+    due = small_side(due, dividends)
     passed = F.size(F.filter("__due", lambda d: d["ex_session"] <= F.col("session")))
     gaps = (
-        _scaled(fills.join(due, "symbol"), split_table(splits))
+        _scaled(fills.join(due, "symbol"), _schedule(splits))
         .withColumn("__gap", passed).where(F.col("__gap") < F.size("__due"))
         .groupBy("account", "symbol", "__gap").agg(F.sum("__scaled").alias("__sum"))
     )
@@ -79,7 +75,7 @@ def entitlements(fills: DataFrame, splits: DataFrame, dividends: DataFrame) -> D
         "account", "symbol", "__held", F.col("__d.ex_session").alias("session"), F.col("__d.action_id").alias("action_id"),
         F.col("__d.pay_session").alias("pay_session"), F.col("__d.amount").alias("amount"),
     )
-    placed = dated.join(split_table(splits), "symbol", "left").withColumn("__later", split_factor(F.col("session")))
+    placed = dated.join(_schedule(splits), "symbol", "left").withColumn("__later", split_factor(F.col("session")))
     return placed.withColumn("position", F.expr("__held div __later")).where(F.col("position") != 0).select(
         "account", "symbol", "action_id", F.col("session").alias("ex_session"), "pay_session", "position",
         (F.col("position") * F.col("amount")).cast(_MONEY).alias("amount"),
@@ -125,7 +121,7 @@ def ledger_replay(
     if snapshots is not None:
         rows = rows.unionByName(_events(snapshots, "open"))
     placed = running_sums(
-        _scaled(rows, split_table(splits)), sleeve, [F.col("session"), F.col("rank"), F.col("seq"), F.col("action_id")],
+        _scaled(rows, _schedule(splits)), sleeve, [F.col("session"), F.col("rank"), F.col("seq"), F.col("action_id")],
         {"__held": F.col("__scaled"), "__cash": F.col("cash_delta"), "__receivable": F.col("receivable_delta")},
         slice_column, hot_rows, hot=None if hot_rows is None else hot_keys(fills, sleeve, hot_rows),
     ).withColumn("position", F.expr("__held div __later"))
@@ -149,7 +145,7 @@ def _sleeves_at_splits(fills: DataFrame, splits: DataFrame) -> DataFrame:
     """The splits each sleeve lives through, as its sessions."""
     sleeves = fills.groupBy("account", "symbol").agg(F.min("session").alias("__first"))
     dated = splits.select("symbol", F.col("effective_session").alias("session"))
-    return sleeves.join(dated, "symbol").where(F.col("session") > F.col("__first")).drop("__first")
+    return sleeves.join(small_side(dated), "symbol").where(F.col("session") > F.col("__first")).drop("__first")
 
 
 def average_buy_price(
@@ -166,7 +162,7 @@ def average_buy_price(
         F.lit(0).cast(_MONEY).alias("__cost"),
     )
     summed = running_sums(
-        _scaled(bought.unionByName(at_split), split_table(splits)), sleeve, [F.col("session"), F.col("seq")],
+        _scaled(bought.unionByName(at_split), _schedule(splits)), sleeve, [F.col("session"), F.col("seq")],
         {"__n": F.col("__scaled"), "__total": F.col("__cost")}, slice_column, hot_rows,
         hot=None if hot_rows is None else hot_keys(fills, sleeve, hot_rows),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import half_even_quotient
+from ..functions.joins import small_side
 
 
 def as_of(df: DataFrame, cutoff: Column, available: str = "available_at", strict: bool = False) -> DataFrame:
@@ -38,11 +39,15 @@ def require_timely(splits: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def split_schedule(splits: DataFrame) -> DataFrame:
-    """One row per symbol with its splits as an array. A symbol has a handful of splits in its life."""
-    return splits.groupBy("symbol").agg(
+    """One row per symbol with its splits as an array, broadcast where the splits are few.
+
+    A symbol has a handful of splits in its life, so the arrays are short.
+    """
+    schedule = splits.groupBy("symbol").agg(
         F.collect_list(F.struct("effective_session", F.col("split_ratio").cast("bigint").alias("ratio"),
                                 F.col("available_at").alias("known_at"))).alias("__splits")
     )
+    return small_side(schedule, splits)
 
 
 def later_splits(session: Column) -> Column:

@@ -8,6 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import small_side
 from ..functions.ordered import previous_values
 from ..functions.rules import differs, duplicate_keys, yes
 from . import calendars
@@ -107,7 +108,7 @@ def opening_gaps(bars: DataFrame, splits: DataFrame) -> DataFrame:
     previous = bars.select(
         "symbol", "session", "open", F.lag("close").over(Window.partitionBy("symbol").orderBy("session")).alias("previous_close"),
     )
-    joined = previous.join(ratios, ["symbol", "session"], "left").withColumn("ratio", F.coalesce("ratio", F.lit(1)))
+    joined = previous.join(small_side(ratios), ["symbol", "session"], "left").withColumn("ratio", F.coalesce("ratio", F.lit(1)))
     scaled = (F.col("open") * F.col("ratio").cast("decimal(10,0)")).cast("decimal(34,8)")
     base = F.col("previous_close").cast("decimal(34,8)")
     large = F.abs(scaled - base) >= (base * F.lit(GAP_LIMIT).cast("decimal(2,1)"))
@@ -122,8 +123,7 @@ def quality_findings(
     spark = bars.sparkSession
     one = spark.range(1)
     calendar = F.broadcast(sessions.select("session", "market_open", "market_close", F.lit(True).alias("__known")))
-    # The universe is the declared instrument list; adaptive execution decides how to join it.
-    listing = universe.select("symbol", "listed_on", "delisted_on", F.lit(True).alias("__instrument"))
+    listing = small_side(universe.select("symbol", "listed_on", "delisted_on"))
 
     joined = bars.join(calendar, "session", "left").join(listing, "symbol", "left")
     outside = ~calendars.is_listed(F.col("session"), F.col("listed_on"), F.col("delisted_on"))

@@ -28,7 +28,7 @@ LINES = "lines AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 # ---- fills -----------------------------------------------------------------------------------------------------
 def _running(spark, sf):
     return X.running_fills(
-        A.fills(spark, sf), "l_orderkey", c("l_quantity").cast("bigint"), [c(n) for n in FILL_ORDER],
+        driver_table(spark, sf, "lineitem"), "l_orderkey", c("l_quantity").cast("bigint"), [c(n) for n in FILL_ORDER],
         F.trunc(F.to_date("l_shipdate"), "MM"),
     )
 
@@ -36,7 +36,7 @@ def _running(spark, sf):
 @query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%fZ') AS recorded_at,
   CAST(l_quantity AS BIGINT) AS quantity, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY {ORDER_SQL}
   ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_filled
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+FROM lineitem""")
 def fill_running_totals(spark, sf):
     return _running(spark, sf).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c("l_shipdate").alias("recorded_at"),
@@ -46,7 +46,7 @@ def fill_running_totals(spark, sf):
 
 @query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS q, 60 + l_orderkey % 90 AS requested,
   CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+  FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, running AS running_filled,
   CASE WHEN running > requested THEN 'overfilled' ELSE 'cumulative_mismatch' END AS mismatch
 FROM r WHERE running > requested OR running <> q * l_linenumber""")
@@ -238,7 +238,7 @@ WEIGHTS = """w AS (SELECT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS p
 def _weights(spark, sf):
     return driver_table(spark, sf, "lineitem").select(
         c("l_orderkey").alias("context_id"), c("l_partkey").alias("symbol"),
-        (c("l_quantity").cast("decimal(12,0)") / 100).cast("decimal(24,8)").alias("weight"),
+        (c("l_quantity").cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(24,8)").alias("weight"),
     )
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.identity import sha256
 from ..operators import bars as B
 from ..operators import capture as C
+from ..session import staged
 from ..sources import adapters as A
-from ..sources.tables import driver_table
+from ..sources.tables import driver_table, spread
 from .market import SESSIONS, TICKS, text_of
 from .registry import query
 
@@ -31,7 +32,7 @@ judged AS (
 
 
 def _classified(spark, sf):
-    rows = C.minute_rows(A.minute_pages(spark, sf))
+    rows = staged(C.minute_rows(A.minute_pages(spark, sf)), "minute-rows")
     return C.classify_minutes(rows, A.sessions(spark, sf), A.universe(spark))
 
 
@@ -63,7 +64,7 @@ def captured_daily_bars(spark, sf):
   WHEN 3 THEN 'invalid_response' WHEN 4 THEN 'invalid_response' WHEN 5 THEN 'invalid_pagination'
   WHEN 7 THEN 'invalid_response' END AS reason FROM events""")
 def page_rejects(spark, sf):
-    events = driver_table(spark, sf, "events")
+    events = spread(driver_table(spark, sf, "events"))
     k = F.get_json_object("props", "$.k")
     shape = c("event_id") % 8
     body = (
@@ -83,7 +84,7 @@ def page_rejects(spark, sf):
 @query("""SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'duplicate_key' WHEN 2 THEN 'non_finite_number'
   WHEN 3 THEN 'malformed' END AS reason FROM events""")
 def strict_json_rejects(spark, sf):
-    events = driver_table(spark, sf, "events")
+    events = spread(driver_table(spark, sf, "events"))
     shape = c("event_id") % 5
     head = F.expr("substring(props, 1, length(props) - 1)")
     text = (
@@ -121,7 +122,7 @@ def _actions(spark, sf):
     customers = driver_table(spark, sf, "customer").where(c("c_custkey") % 40 < 30)
     listed = customers.select(F.concat(F.lit("C"), (c("c_custkey") % 40).cast("string")).alias("symbol")).distinct()
     day = lambda text: F.lit(text).cast("date")
-    rows = C.action_rows(A.action_pages(spark, sf))
+    rows = staged(C.action_rows(A.action_pages(spark, sf)), "action-rows")
     return C.classify_actions(rows, A.order_sessions(spark, sf), listed, day("1996-01-01"), day("1999-12-31"))
 
 

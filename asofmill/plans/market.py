@@ -16,7 +16,7 @@ from ..operators import quality as Q
 from ..operators import records
 from ..operators.versions import rows_differ
 from ..sources import adapters as A
-from ..sources.tables import driver_table
+from ..sources.tables import driver_table, spread
 from .registry import query
 
 c = F.col
@@ -524,7 +524,7 @@ def record_identity(spark, sf):
 
 @query("SELECT doc_id, sha256(text) AS content_sha256, length(text) = n_chars AS length_matches FROM documents")
 def doc_hashes(spark, sf):
-    docs = driver_table(spark, sf, "documents")
+    docs = spread(driver_table(spark, sf, "documents"))
     return docs.select(
         "doc_id", sha256(c("text")).alias("content_sha256"), (F.length("text") == c("n_chars")).alias("length_matches")
     )

@@ -11,7 +11,7 @@ from ..operators import experiments as E
 from ..operators import records
 from ..operators.calendars import is_listed, warmup_start
 from ..sources import adapters as A
-from ..sources.tables import driver_table
+from ..sources.tables import driver_table, spread
 from .registry import query
 
 c = F.col
@@ -45,7 +45,7 @@ VIOLATIONS = """v AS (
   UNION ALL SELECT o.k, 'ingested_after_decision' FROM obs o JOIN ctx USING (k) WHERE mode <> 'backtest' AND ingested > decision
   UNION ALL SELECT o.k, 'synthetic_outside_backtest' FROM obs o JOIN ctx USING (k) WHERE mode <> 'backtest' AND origin = 'synthetic'
   UNION ALL SELECT k, 'execution_outside_listing' FROM ctx WHERE exec_session >= DATE '2000-01-01'
-  UNION ALL SELECT k, 'duplicate_observation' FROM (SELECT k FROM obs JOIN ctx USING (k) GROUP BY k, symbol, session HAVING count(*) > 1)
+  UNION ALL SELECT k, 'duplicate_observation' FROM (SELECT k FROM obs GROUP BY k, symbol, session HAVING count(*) > 1)
   UNION ALL SELECT f.k, 'undeclared' FROM feat f JOIN ctx USING (k) WHERE symbol IN ('S5', 'S6') OR ds = 3
   UNION ALL SELECT f.k, 'not_yet_available' FROM feat f JOIN ctx USING (k) WHERE f_available > decision OR f_session >= exec_session
   UNION ALL SELECT f.k, 'adjusted_after_decision' FROM feat f JOIN ctx USING (k) WHERE adjusted > decision
@@ -56,10 +56,10 @@ VIOLATIONS = """v AS (
     WHERE r.k IS NULL OR f.f_available < r.available
   UNION ALL SELECT f.k, 'computed_before_ingestion' FROM feat f JOIN ctx USING (k) JOIN raw r ON r.k = f.k AND r.symbol = f.symbol AND r.session = f.f_session AND r.ds = f.ds
     WHERE f.computed < r.ingested
-  UNION ALL SELECT k, 'duplicate_feature' FROM (SELECT k FROM feat JOIN ctx USING (k) GROUP BY k, symbol, f_session HAVING count(*) > 1)
+  UNION ALL SELECT k, 'duplicate_feature' FROM (SELECT k FROM feat GROUP BY k, symbol, f_session HAVING count(*) > 1)
   UNION ALL SELECT d.k, 'document_not_eligible' FROM docs d JOIN ctx USING (k) WHERE ds = 3 OR available > decision
   UNION ALL SELECT d.k, 'document_ingested_after_decision' FROM docs d JOIN ctx USING (k) WHERE mode <> 'backtest' AND ingested > decision
-  UNION ALL SELECT k, 'duplicate_document' FROM (SELECT k FROM docs JOIN ctx USING (k) GROUP BY k, doc HAVING count(*) > 1)
+  UNION ALL SELECT k, 'duplicate_document' FROM (SELECT k FROM docs GROUP BY k, doc HAVING count(*) > 1)
   UNION ALL SELECT k, 'macro_undeclared' FROM macro WHERE ds = 3
   UNION ALL SELECT m.k, 'macro_future_or_expired' FROM macro m JOIN ctx USING (k) WHERE NOT (cutoff <= decision AND decision < cutoff + INTERVAL 45 DAY)
   UNION ALL SELECT m.k, 'macro_not_prospective' FROM macro m JOIN ctx USING (k) WHERE mode <> 'backtest' AND (use <> 'prospective' OR cutoff + INTERVAL 1 DAY > decision)
@@ -85,7 +85,7 @@ def _contexts(spark, sf):
 
 def _observations(spark, sf):
     at = c("l_shipdate").cast("timestamp") + F.expr("INTERVAL 22 HOURS")
-    return driver_table(spark, sf, "lineitem").select(
+    return spread(driver_table(spark, sf, "lineitem")).select(
         c("l_orderkey").alias("context_id"), F.concat(F.lit("S"), (c("l_partkey") % 7).cast("string")).alias("symbol"),
         F.to_date("l_shipdate").alias("session"), (c("l_suppkey") % 4).alias("dataset_id"), at.alias("available_at"),
         _days(at, c("l_linenumber")).alias("first_ingested_at"),
@@ -109,8 +109,8 @@ def _features(spark, sf):
 @query(f"WITH {CTX}, {VIOLATIONS} SELECT k AS context_id, reason, count(*) AS findings FROM v GROUP BY k, reason")
 def eligible_context(spark, sf):
     contexts = _contexts(spark, sf)
-    observations = _observations(spark, sf).join(contexts.select("context_id"), "context_id", "left_semi")
-    features = _features(spark, sf).join(contexts.select("context_id"), "context_id", "left_semi")
+    observations = _observations(spark, sf)
+    features = _features(spark, sf)
     documents = observations.where(c("l_discount") > 0.07).select(
         "context_id", c("l_partkey").alias("document_id"), "dataset_id", "available_at", "first_ingested_at"
     )

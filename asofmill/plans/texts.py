@@ -11,7 +11,7 @@ from ..functions.text import AUTHORIZATION, MASK, SECRET_FIELD, redact_columns
 from ..operators import documents as D
 from ..operators import versions as V
 from ..sources import adapters as A
-from ..sources.tables import driver_table
+from ..sources.tables import driver_table, spread
 from .registry import query
 
 c = F.col
@@ -100,7 +100,7 @@ def _sql_text(pattern: str) -> str:
 SELECT doc_id, sha256(redacted) AS redacted_sha256, length(redacted) AS n_chars,
   CAST((length(redacted) - length(replace(redacted, '{MASK}', ''))) // {len(MASK)} AS INTEGER) AS masks FROM r""")
 def redacted_text(spark, sf):
-    docs = redact_columns(driver_table(spark, sf, "documents").select("doc_id", "text"), ["text"])
+    docs = redact_columns(spread(driver_table(spark, sf, "documents").select("doc_id", "text")), ["text"])
     masks = F.regexp_count("text", F.lit(r"\[REDACTED\]"))
     return docs.select("doc_id", sha256(c("text")).alias("redacted_sha256"), F.length("text").alias("n_chars"), masks.alias("masks"))
 
@@ -137,7 +137,7 @@ FROM (SELECT * FROM documents WHERE doc_id % 17 <> 0) o FULL JOIN
      (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 19 <> 0) n
   ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.text <> n.text""")
 def doc_changed_versions(spark, sf):
-    docs = driver_table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(driver_table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
     old = docs.where(c("doc_id") % 17 != 0)
     new = docs.where(c("doc_id") % 19 != 0).withColumn(
         "text", F.when(c("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(c("text"))

@@ -12,7 +12,7 @@ from ..functions.exact import number_text
 from ..functions.identity import sha256
 from ..operators import bars as B
 from ..operators.quality import Plan
-from .tables import driver_table, literal_rows
+from .tables import driver_table, literal_rows, spread
 
 c = F.col
 
@@ -144,7 +144,7 @@ def minute_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def action_pages(spark: SparkSession, sf: str) -> DataFrame:
     """One page with one corporate action per order, faults derived from the order key."""
-    orders = driver_table(spark, sf, "orders")
+    orders = spread(driver_table(spark, sf, "orders"))
     key = c("o_orderkey")
     text = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f',"{name}":"'), value, F.lit('"'))).otherwise("")
     bare = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f',"{name}":'), value)).otherwise("")
@@ -213,7 +213,7 @@ def ship_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = driver_table(spark, sf, "documents")
+    docs = spread(driver_table(spark, sf, "documents"))
     published = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((c("doc_id") % 28).cast("int"))
     hours = F.make_dt_interval(F.lit(0), F.when(c("doc_id") % 50 == 0, -1).otherwise(c("doc_id") % 5).cast("int"))
     return docs.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,5 +59,21 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
 
 
-def literal_rows(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType | str) -> DataFrame:
-    return pin(spark).createDataFrame(list(rows), schema)
+def spread(df: DataFrame) -> DataFrame:
+    """Hand rows out to all task slots when a scan has fewer splits than slots, before costly work per row.
+
+    A large table has more splits than slots and passes through untouched, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+_ARROW = {"string": pa.string(), "date": pa.date32(), "int": pa.int32(), "bigint": pa.int64()}
+
+
+def literal_rows(spark: SparkSession, rows: Iterable[tuple], columns: str) -> DataFrame:
+    """A few constant rows. They travel as Arrow, so they are part of the plan and need no Python tasks."""
+    pairs = [column.split() for column in columns.split(",")]
+    values = list(zip(*rows))
+    table = pa.table({name: pa.array(column, type=_ARROW[kind]) for (name, kind), column in zip(pairs, values)})
+    return pin(spark).createDataFrame(table)
