@@ -73,6 +73,22 @@ def table_digest(
     return summed.select(*by, "rows", sha256(text).alias(name))
 
 
+def digest_halves(content: Column) -> tuple[Column, Column]:
+    """Half of a sha-256 as two numbers. Unlike text, numbers keep an aggregate of them hash-based."""
+    digest = sha256(content)
+    return tuple(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17))
+
+
+def content_versions(df: DataFrame, keys: Sequence[str], content: Column, copies: str = "copies") -> DataFrame:
+    """Keys that carry more than one content, with their number of rows."""
+    high, low = digest_halves(content)
+    grouped = df.select(*keys, high.alias("__a"), low.alias("__b")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias(copies), F.min("__a").alias("__a0"), F.max("__a").alias("__a1"),
+        F.min("__b").alias("__b0"), F.max("__b").alias("__b1"),
+    )
+    return grouped.where((F.col("__a0") != F.col("__a1")) | (F.col("__b0") != F.col("__b1"))).select(*keys, copies)
+
+
 def ordered_digest(text: str, order: str) -> Column:
     """Aggregate: sha-256 over the concatenated ``text`` in ``order``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clocks import exchange_date, is_whole_minute, offset_instant, session_date
 from ..functions.exact import as_number, is_whole, whole
-from ..functions.identity import sha256
+from ..functions.identity import content_versions
 from ..functions.joins import small_side
 from ..functions.ordered import previous_values
 from ..functions.rules import differs, first_reason, yes
@@ -283,12 +283,7 @@ def latest_receipts(receipts: DataFrame) -> DataFrame:
 
 def immutable_conflicts(rows: DataFrame, keys: list[str], content: Column) -> DataFrame:
     """Ids written more than once with different content; an immutable store must refuse those."""
-    hashed = rows.select(*keys, sha256(content).alias("digest"))
-    return (
-        hashed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("copies"), F.min("digest").alias("__lo"), F.max("digest").alias("__hi"))
-        .where(F.col("__lo") != F.col("__hi")).drop("__lo", "__hi")
-    )
+    return content_versions(rows, keys, content)
 
 
 def received_outside(pages: DataFrame, captures: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identity import content_versions
 from ..functions.ordered import HOT_ROWS, previous_values
 from ..functions.rules import Rule, no
 
@@ -67,13 +68,8 @@ def illegal_transitions(events: DataFrame, slice_by: Column | None = None, hot_r
 
 def resubmission_conflicts(requests: DataFrame) -> DataFrame:
     """Request ids submitted again with another run, kind or payload."""
-    body = F.struct("run_id", "kind", "payload")
-    return (
-        requests.withColumn("__body", F.sha2(F.to_json(body, {"ignoreNullFields": "false"}), 256))
-        .groupBy("request_id")
-        .agg(F.count(F.lit(1)).alias("submissions"), F.min("__body").alias("__lo"), F.max("__body").alias("__hi"))
-        .where(F.col("__lo") != F.col("__hi")).select("request_id", "submissions")
-    )
+    body = F.to_json(F.struct("run_id", "kind", "payload"), {"ignoreNullFields": "false"})
+    return content_versions(requests, ["request_id"], body, "submissions")
 
 
 def orphaned(events: DataFrame, restarted_at: Column) -> DataFrame:

@@ -54,15 +54,17 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _weekdays(bounds: DataFrame) -> DataFrame:
-    days = bounds.select(F.explode(F.sequence(c("lo"), c("hi"))).alias("session"))
+def _weekdays(table: DataFrame, day: Column) -> DataFrame:
+    """Weekdays of a column's range. Two dates reach the driver, so the calendar itself needs no further scan."""
+    bounds = table.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
+    span = F.sequence(F.lit(bounds["lo"]), F.lit(bounds["hi"]))
+    days = table.sparkSession.range(1).select(F.explode(span).alias("session"))
     return days.where(F.dayofweek("session").between(2, 6))
 
 
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Weekdays of the events' range without two holidays; Fridays close early."""
-    events = driver_table(spark, sf, "events")
-    days = _weekdays(events.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi")))
+    days = _weekdays(driver_table(spark, sf, "events"), F.to_date("ts"))
     at = c("session").cast("timestamp")
     return days.where(~c("session").cast("string").isin(*HOLIDAYS)).select(
         "session", (at + F.expr("INTERVAL '14:30' HOUR TO MINUTE")).alias("market_open"),
@@ -73,8 +75,7 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Weekdays of the order dates' range."""
-    orders = driver_table(spark, sf, "orders")
-    days = _weekdays(orders.agg(F.min(F.to_date("o_orderdate")).alias("lo"), F.max(F.to_date("o_orderdate")).alias("hi")))
+    days = _weekdays(driver_table(spark, sf, "orders"), F.to_date("o_orderdate"))
     at = c("session").cast("timestamp")
     return days.select(
         "session", (at + F.expr("INTERVAL '14:30' HOUR TO MINUTE")).alias("market_open"),
@@ -206,8 +207,7 @@ def part_dividends(spark: SparkSession) -> DataFrame:
 
 def ship_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Weekdays of the ship dates' range."""
-    lines = driver_table(spark, sf, "lineitem")
-    days = _weekdays(lines.agg(F.min(F.to_date("l_shipdate")).alias("lo"), F.max(F.to_date("l_shipdate")).alias("hi")))
+    days = _weekdays(driver_table(spark, sf, "lineitem"), F.to_date("l_shipdate"))
     at = c("session").cast("timestamp")
     return days.select("session", at.alias("market_open"), (at + F.expr("INTERVAL 1 DAY")).alias("market_close"))
 
