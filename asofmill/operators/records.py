@@ -14,11 +14,14 @@ def bar_rules() -> list[Rule]:
     clocks = (c("interval_start") < c("interval_end")) & (c("interval_end") <= c("available_at")) & (
         c("available_at") <= c("first_ingested_at")
     )
-    prices = (c("low") <= F.least("open", "close")) & (F.greatest("open", "close") <= c("high"))
+    # Compared one by one: least and greatest pass over nulls.
+    prices = F.lit(True)
+    for name in ("open", "close"):
+        prices = prices & (c("low") <= c(name)) & (c(name) <= c("high"))
     same_day = (exchange_date(c("interval_start")) == c("session")) & (exchange_date(c("interval_end")) == c("session"))
     return [
         ("clock_order", no(clocks)), ("session_date", no(same_day)), ("price_order", no(prices)),
-        ("price_range", no(F.least("open", "high", "low", "close") > 0)), ("volume_range", no(c("volume") >= 0)),
+        ("price_range", no((c("open") > 0) & (c("high") > 0) & (c("low") > 0) & (c("close") > 0))), ("volume_range", no(c("volume") >= 0)),
     ]
 
 
