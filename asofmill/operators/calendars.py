@@ -1,56 +1,75 @@
-"""Session calendars. A calendar has one row per exchange day, at most a few ten thousand rows for a century, which
-is the bound behind every broadcast of it and behind its single-partition numbering."""
+"""Session calendars.
+
+A calendar has one row per exchange day, a few ten thousand rows for a century. It is read once per operator, its size
+checked, and kept in the plan as constant rows: every join with it is then a broadcast of known size, and positions and
+day counts need no windows. (A broadcast passes through the driver as well.)
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import date, timedelta
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clocks import available_after, is_shortened
 
-
-def numbered(sessions: DataFrame) -> DataFrame:
-    """Sessions with their position, counted from one."""
-    return sessions.withColumn("ordinal", F.row_number().over(Window.orderBy("session")).cast("bigint"))
-
-
-def day_spine(sessions: DataFrame) -> DataFrame:
-    """Every date from the first session to the day after the last: is it a session, and how many came before it.
-
-    It turns range conditions on the calendar into equality joins on a date.
-    """
-    bounds = sessions.agg(F.min("session").alias("first"), F.max("session").alias("last"))
-    days = bounds.select(F.explode(F.sequence("first", F.date_add("last", 1))).alias("day"))
-    marked = days.join(sessions.select(F.col("session").alias("day"), F.lit(1).alias("open")), "day", "left")
-    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    return marked.select(
-        "day",
-        F.col("open").isNotNull().alias("is_session"),
-        F.coalesce(F.sum("open").over(earlier), F.lit(0)).cast("bigint").alias("sessions_before"),
+MAX_SESSIONS = 100_000
+
+
+@dataclass(frozen=True)
+class Calendar:
+    """``sessions`` with their position from one, and ``spine``: each day from the first session to the day after the
+    last with the number of sessions before it, which turns range conditions into equality joins on a date."""
+
+    sessions: DataFrame
+    spine: DataFrame
+    first: date
+    end: date
+
+
+def calendar_of(sessions: DataFrame | Calendar) -> Calendar:
+    if isinstance(sessions, Calendar):
+        return sessions
+    table = sessions.select("session", "market_open", "market_close").orderBy("session").limit(MAX_SESSIONS + 1).toArrow()
+    if not 0 < table.num_rows <= MAX_SESSIONS:
+        raise ValueError(f"a calendar needs 1 to {MAX_SESSIONS} sessions")
+    days = table["session"].to_pylist()
+    ordinals = pa.array(range(1, len(days) + 1), pa.int64())
+    end = days[-1] + timedelta(days=1)
+    spine, counts, position = [], [], 0
+    for offset in range((end - days[0]).days + 1):
+        day = days[0] + timedelta(days=offset)
+        spine.append(day)
+        counts.append(position)
+        position += position < len(days) and days[position] == day
+    spark = sessions.sparkSession
+    before = pa.table({"day": pa.array(spine, pa.date32()), "sessions_before": pa.array(counts, pa.int64())})
+    return Calendar(
+        spark.createDataFrame(table.append_column("ordinal", ordinals)), spark.createDataFrame(before), days[0], end
     )
 
 
-def closures(sessions: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+def closures(sessions: DataFrame | Calendar, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """Calendar days of the covered range on which there is no session."""
-    bounds = sessions.agg(F.min("session").alias("first"), F.max("session").alias("last"))
-    spine = bounds.select(
-        F.explode(F.sequence(start if start is not None else F.col("first"), end if end is not None else F.col("last")))
-        .alias("closed_on")
-    )
-    return spine.join(F.broadcast(sessions), F.col("closed_on") == F.col("session"), "left_anti")
+    calendar = calendar_of(sessions)
+    first = start if start is not None else F.lit(calendar.first)
+    last = end if end is not None else F.lit(calendar.end - timedelta(days=1))
+    days = calendar.spine.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("closed_on"))
+    return days.join(F.broadcast(calendar.sessions.select("session")), F.col("closed_on") == F.col("session"), "left_anti")
 
 
 def shortened(sessions: DataFrame) -> DataFrame:
     return sessions.where(is_shortened(F.col("market_open"), F.col("market_close"))).select("session")
 
 
-def sessions_before(df: DataFrame, sessions: DataFrame, day: str, name: str) -> DataFrame:
+def sessions_before(df: DataFrame, sessions: DataFrame | Calendar, day: str, name: str) -> DataFrame:
     """Add the number of sessions strictly before the date in ``day``; dates off the calendar are clamped to it."""
-    spine = day_spine(sessions)
-    lowest = sessions.agg(F.min("session")).scalar()
-    highest = sessions.agg(F.date_add(F.max("session"), 1)).scalar()
-    clamped = df.withColumn("__day", F.least(F.greatest(F.col(day), lowest), highest))
-    counts = spine.select(F.col("day").alias("__day"), F.col("sessions_before").alias(name))
+    calendar = calendar_of(sessions)
+    clamped = df.withColumn("__day", F.least(F.greatest(F.col(day), F.lit(calendar.first)), F.lit(calendar.end)))
+    counts = calendar.spine.select(F.col("day").alias("__day"), F.col("sessions_before").alias(name))
     return clamped.join(F.broadcast(counts), "__day", "left").drop("__day")
 
 
@@ -60,9 +79,10 @@ def warmup_start(requests: DataFrame, sessions: DataFrame) -> DataFrame:
 
     ``required_start`` is the n-th session before execution; with no warmup, or too little, it is execution itself.
     """
-    counted = sessions_before(requests, sessions, "first_execution_session", "prior_sessions")
-    by_position = numbered(sessions).select(F.col("ordinal").alias("__pos"), F.col("session").alias("__start"))
-    known = sessions.select(F.col("session").alias("__known"))
+    calendar = calendar_of(sessions)
+    counted = sessions_before(requests, calendar, "first_execution_session", "prior_sessions")
+    by_position = calendar.sessions.select(F.col("ordinal").alias("__pos"), F.col("session").alias("__start"))
+    known = calendar.sessions.select(F.col("session").alias("__known"))
     wanted = F.when(F.col("warmup_sessions") > 0, F.col("prior_sessions") - F.col("warmup_sessions") + 1)
     return (
         counted.withColumn("__want", wanted)
@@ -83,7 +103,8 @@ def is_listed(day: Column, listed_on: Column, delisted_on: Column) -> Column:
 def expected_sessions(universe: DataFrame, sessions: DataFrame) -> DataFrame:
     """Number of listed sessions per instrument, without building the grid of symbols by sessions."""
     open_ended = universe.withColumn("__end", F.coalesce("delisted_on", F.lit("9999-12-31").cast("date")))
-    counted = sessions_before(sessions_before(open_ended, sessions, "listed_on", "__from"), sessions, "__end", "__to")
+    calendar = calendar_of(sessions)
+    counted = sessions_before(sessions_before(open_ended, calendar, "listed_on", "__from"), calendar, "__end", "__to")
     return counted.withColumn("expected_bars", F.greatest(F.col("__to") - F.col("__from"), F.lit(0))).withColumnRenamed(
         "__from", "first_position").withColumnRenamed("__to", "end_position").drop("__end")
 
@@ -94,8 +115,9 @@ def missing_sessions(universe: DataFrame, bars: DataFrame, sessions: DataFrame)
     Sessions are numbered; the holes between consecutive observed numbers of a symbol are its missing sessions. Only
     holes are produced, not the grid of all symbols by all sessions.
     """
-    positions = numbered(sessions).select("session", "ordinal")
-    listed = expected_sessions(universe, sessions).select("symbol", "first_position", "end_position")
+    calendar = calendar_of(sessions)
+    positions = calendar.sessions.select("session", "ordinal")
+    listed = expected_sessions(universe, calendar).select("symbol", "first_position", "end_position")
     seen = (
         bars.select("symbol", "session").join(F.broadcast(positions), "session")
         .groupBy("symbol", "ordinal").agg(F.lit(1).alias("__seen")).select("symbol", "ordinal")
@@ -138,15 +160,15 @@ def expected_pages(requests: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def request_rejects(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """First reason why a history request cannot be answered, null when it can."""
-    last = sessions.select("session", F.col("market_close").alias("__close"))
+    calendar = calendar_of(sessions)
     counts = sessions_before(
-        sessions_before(requests, sessions, "start_session", "__from"), sessions, "first_execution_session", "__at"
+        sessions_before(requests, calendar, "start_session", "__from"), calendar, "first_execution_session", "__at"
     )
     until = counts.withColumn("__next", F.date_add("end_session", 1))
-    spanned = sessions_before(until, sessions, "__next", "__until")
-    positions = numbered(last).select(F.col("ordinal").alias("__pos"), F.col("__close"))
-    positions_start = numbered(last).select(F.col("ordinal").alias("__wpos"), F.col("session").alias("__wsession"))
-    known = last.select(F.col("session").alias("__known"))
+    spanned = sessions_before(until, calendar, "__next", "__until")
+    positions = calendar.sessions.select(F.col("ordinal").alias("__pos"), F.col("market_close").alias("__close"))
+    positions_start = calendar.sessions.select(F.col("ordinal").alias("__wpos"), F.col("session").alias("__wsession"))
+    known = calendar.sessions.select(F.col("session").alias("__known"))
     prior = F.col("__at") - F.col("__from")
     want = F.when(F.col("warmup_sessions") > 0, F.col("__at") - F.col("warmup_sessions") + 1)
     joined = (

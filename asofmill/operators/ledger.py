@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import small_side
 from ..functions.ordered import HOT_ROWS, hot_keys, running_sums
-from .calendars import numbered, sessions_before
+from .calendars import calendar_of, sessions_before
 from .pointintime import split_factor, split_schedule
 
 # Order of events inside a session.
@@ -22,8 +22,9 @@ _MONEY = "decimal(28,8)"
 
 def payment_sessions(dividends: DataFrame, sessions: DataFrame) -> DataFrame:
     """Dividends with the first session on or after their pay date; null while the calendar does not reach it."""
-    positions = numbered(sessions).select((F.col("ordinal") - 1).alias("__before"), F.col("session").alias("pay_session"))
-    counted = sessions_before(dividends, sessions, "pay_date", "__before")
+    calendar = calendar_of(sessions)
+    positions = calendar.sessions.select((F.col("ordinal") - 1).alias("__before"), F.col("session").alias("pay_session"))
+    counted = sessions_before(dividends, calendar, "pay_date", "__before")
     return counted.join(F.broadcast(positions), "__before", "left").drop("__before")
 
 

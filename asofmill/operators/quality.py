@@ -84,11 +84,12 @@ def sequence_faults(df: DataFrame, keys: list[str], arrival: str | None) -> Data
 
 def session_coverage(universe: DataFrame, bars: DataFrame, sessions: DataFrame) -> DataFrame:
     """Expected, observed and missing sessions per instrument; the missing ones as a sorted array."""
-    missing = calendars.missing_sessions(universe, bars, sessions).groupBy("symbol").agg(
+    dates = calendars.calendar_of(sessions)
+    missing = calendars.missing_sessions(universe, bars, dates).groupBy("symbol").agg(
         F.array_sort(F.collect_list("session")).alias("missing_sessions")
     )
     observed = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("observed_bars"))
-    expected = calendars.expected_sessions(universe, sessions).select("symbol", "expected_bars")
+    expected = calendars.expected_sessions(universe, dates).select("symbol", "expected_bars")
     empty = F.array().cast("array<date>")
     return (
         expected.join(observed, "symbol", "left").join(missing, "symbol", "left")
@@ -120,8 +121,9 @@ def quality_findings(
     bar_arrival: str | None = None, action_arrival: str | None = None,
 ) -> DataFrame:
     """All findings as (severity, code, symbol, session)."""
-    spark = bars.sparkSession
-    one = spark.range(1)
+    one = bars.sparkSession.range(1)
+    dates = calendars.calendar_of(sessions)
+    sessions = dates.sessions
     calendar = F.broadcast(sessions.select("session", "market_open", "market_close", F.lit(True).alias("__known")))
     listing = small_side(universe.select("symbol", "listed_on", "delisted_on"))
 
@@ -166,7 +168,7 @@ def quality_findings(
         F.lit(plan.first_execution_session).alias("first_execution_session"),
         F.lit(plan.warmup_sessions).cast("bigint").alias("warmup_sessions"),
     )
-    start = calendars.warmup_start(request, sessions)
+    start = calendars.warmup_start(request, dates)
     required_start = start.select("required_start").scalar()
     listings = universe.where(
         (F.col("listed_on") > required_start)
@@ -187,7 +189,7 @@ def quality_findings(
         _finding(start.where(~F.col("is_execution_session")).select("required_start"), "execution_not_session"),
         _finding(start.where(~F.col("enough_warmup")).select("required_start"), "insufficient_warmup"),
         _finding(listings.select("symbol"), "listing_coverage"),
-        _finding(calendars.missing_sessions(universe, bars, sessions).select("symbol").distinct(), "missing_bars"),
+        _finding(calendars.missing_sessions(universe, bars, dates).select("symbol").distinct(), "missing_bars"),
         _finding(opening_gaps(bars, splits), "large_opening_gap", session=True),
     ]
     if plan.corporate_actions_coverage != "complete":
