@@ -2,8 +2,8 @@
 
 A plain window sends every row of a key to one task. Here rows of a hot key are cut into slices of the order
 (``slice_by``, a monotone function of the first order column such as a day or a page number). Work runs inside the
-slices, and one summary row per slice carries the state from each slice to the next. Cold keys keep a single slice,
-so for them the plan is one shuffle and one window.
+slices, and one summary row per slice carries the state from each slice to the next. Cold keys go their own way: one
+shuffle and one plain window, with no further join.
 """
 
 from __future__ import annotations
@@ -37,14 +37,23 @@ def _hot_side(hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     return F.broadcast(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
 
 
-def with_slices(
-    df: DataFrame, keys: Sequence[str], slice_by: Column, hot: DataFrame | None, how: str = "left"
-) -> DataFrame:
-    """Add the slice of each row: null for cold keys. ``hot=None`` slices every key; ``how="inner"`` keeps hot rows."""
+def cold_rows(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame | None:
+    """Rows of keys that are not hot; None if every key is to be sliced."""
+    if hot is None:
+        return None
+    return df.join(_hot_side(hot, keys), _on_keys(keys, "__h_"), "left_anti")
+
+
+def hot_slices(df: DataFrame, keys: Sequence[str], slice_by: Column, hot: DataFrame | None) -> DataFrame:
+    """Rows of hot keys with their slice; ``hot=None`` slices every key."""
     if hot is None:
         return df.withColumn(_SLICE, slice_by)
-    joined = df.join(_hot_side(hot, keys), _on_keys(keys, "__h_"), how)
-    return joined.withColumn(_SLICE, F.when(F.col("__hot"), slice_by)).drop("__hot", *[f"__h_{k}" for k in keys])
+    joined = df.join(_hot_side(hot, keys), _on_keys(keys, "__h_"), "inner")
+    return joined.drop("__hot", *[f"__h_{k}" for k in keys]).withColumn(_SLICE, slice_by)
+
+
+def _both(cold: DataFrame | None, hot: DataFrame) -> DataFrame:
+    return hot if cold is None else cold.unionByName(hot)
 
 
 def _hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None, hot: DataFrame | None) -> DataFrame | None:
@@ -58,7 +67,7 @@ def _carry(df: DataFrame, keys: Sequence[str], carried: DataFrame, values: Seque
     renamed = carried.select(
         *[F.col(k).alias(f"__c_{k}") for k in (*keys, _SLICE)], *values
     )
-    condition = _on_keys(keys, "__c_") & (F.col(_SLICE) == F.col(f"__c_{_SLICE}"))
+    condition = _on_keys([*keys, _SLICE], "__c_")
     return df.join(renamed, condition, "left").drop(*[f"__c_{k}" for k in (*keys, _SLICE)])
 
 
@@ -77,19 +86,19 @@ def running_sums(
     """
     hot = _hot(df, keys, hot_rows, hot)
     valued = df.select("*", *[value.alias(f"__v_{name}") for name, value in sums.items()])
-    sliced = with_slices(valued, keys, slice_by, hot)
-    inside = Window.partitionBy(*keys, _SLICE).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.select("*", *[F.sum(f"__v_{n}").over(inside).alias(f"__s_{n}") for n in sums])
-
-    totals = (
-        with_slices(valued, keys, slice_by, hot, "inner")
-        .groupBy(*keys, _SLICE)
-        .agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
-    )
+    cold, sliced = cold_rows(valued, keys, hot), hot_slices(valued, keys, slice_by, hot)
+
+    def local(rows: DataFrame, by: Sequence[str], prefix: str) -> DataFrame:
+        window = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select("*", *[F.sum(f"__v_{n}").over(window).alias(f"{prefix}{n}") for n in sums])
+
+    if cold is not None:
+        cold = local(cold, keys, "").select(*df.columns, *sums)
+    totals = sliced.groupBy(*keys, _SLICE).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*keys, _SLICE, *[F.sum(f"__t_{n}").over(earlier).alias(f"__c_{n}") for n in sums])
-    joined = _carry(local, keys, carried, [f"__c_{n}" for n in sums])
-    return joined.select(
+    joined = _carry(local(sliced, [*keys, _SLICE], "__s_"), keys, carried, [f"__c_{n}" for n in sums])
+    with_carry = joined.select(
         *df.columns,
         *[
             F.when(F.col(f"__c_{n}").isNull(), F.col(f"__s_{n}"))
@@ -98,6 +107,7 @@ def running_sums(
             for n in sums
         ],
     )
+    return _both(cold, with_carry)
 
 
 def previous_values(
@@ -112,25 +122,23 @@ def previous_values(
     """Add the values of the row before, per key and in the order of the named columns (ascending)."""
     hot = _hot(df, keys, hot_rows, hot)
     valued = df.withColumn("__row", F.struct(*[value.alias(name) for name, value in values.items()]))
-    sliced = with_slices(valued, keys, slice_by, hot)
+    cold, sliced = cold_rows(valued, keys, hot), hot_slices(valued, keys, slice_by, hot)
+    unpacked = [F.col(f"__chosen.{name}").alias(name) for name in values]
+    if cold is not None:
+        before = F.lag("__row").over(Window.partitionBy(*keys).orderBy(*order_by))
+        cold = cold.withColumn("__chosen", before).select(*df.columns, *unpacked)
     inside = Window.partitionBy(*keys, _SLICE).orderBy(*order_by)
     local = sliced.select(
         "*",
         F.lag("__row").over(inside).alias("__prev"),
         (F.row_number().over(inside) == 1).alias(_FIRST),
     )
-    ends = (
-        with_slices(valued, keys, slice_by, hot, "inner")
-        .groupBy(*keys, _SLICE)
-        .agg(F.max_by("__row", F.struct(*order_by)).alias("__end"))
-    )
+    ends = sliced.groupBy(*keys, _SLICE).agg(F.max_by("__row", F.struct(*order_by)).alias("__end"))
     over_slices = Window.partitionBy(*keys).orderBy(_SLICE)
     carried = ends.select(*keys, _SLICE, F.lag("__end").over(over_slices).alias("__carry"))
     joined = _carry(local, keys, carried, ["__carry"])
     chosen = F.when(F.col(_FIRST), F.col("__carry")).otherwise(F.col("__prev"))
-    return joined.withColumn("__chosen", chosen).select(
-        *df.columns, *[F.col(f"__chosen.{name}").alias(name) for name in values]
-    )
+    return _both(cold, joined.withColumn("__chosen", chosen).select(*df.columns, *unpacked))
 
 
 def latest_as_of(
@@ -169,25 +177,21 @@ def latest_as_of(
     # Counting keys needs neither payload, so this reads only key columns of the two sides.
     hot = _hot(left.select(*keys).unionByName(right.select(*keys)), keys, hot_rows, None)
     unit = F.date_trunc(slice_by, F.col("__t"))
-    both = with_slices(union, keys, unit, hot)
-    inside = (
-        Window.partitionBy(*keys, _SLICE)
-        .orderBy("__t", "__side", "__tie")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    local = both.withColumn("__found", F.last("__right", ignorenulls=True).over(inside)).where(
-        F.col("__left").isNotNull()
-    )
-    ends = (
-        with_slices(union, keys, unit, hot, "inner")
-        .groupBy(*keys, _SLICE)
-        .agg(F.max_by("__right", F.when(F.col("__right").isNotNull(), F.struct("__t", "__tie"))).alias("__end"))
+    cold, sliced = cold_rows(union, keys, hot), hot_slices(union, keys, unit, hot)
+
+    def local(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+        window = Window.partitionBy(*by).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+        found = F.last("__right", ignorenulls=True).over(window)
+        return rows.withColumn(name, found).where(F.col("__left").isNotNull())
+
+    result = [F.col(f"__left.{c}").alias(c) for c in left.columns]
+    result += [F.col(f"__best.{c}").alias(f"asof_{c}") for c in values]
+    if cold is not None:
+        cold = local(cold, keys, "__best").select(*result)
+    ends = sliced.groupBy(*keys, _SLICE).agg(
+        F.max_by("__right", F.when(F.col("__right").isNotNull(), F.struct("__t", "__tie"))).alias("__end")
     )
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*keys, _SLICE, F.last("__end", ignorenulls=True).over(earlier).alias("__carry"))
-    joined = _carry(local, keys, carried, ["__carry"])
-    found = F.coalesce("__found", "__carry")
-    return joined.withColumn("__best", found).select(
-        *[F.col(f"__left.{c}").alias(c) for c in left.columns],
-        *[F.col(f"__best.{c}").alias(f"asof_{c}") for c in values],
-    )
+    joined = _carry(local(sliced, [*keys, _SLICE], "__found"), keys, carried, ["__carry"])
+    return _both(cold, joined.withColumn("__best", F.coalesce("__found", "__carry")).select(*result))
