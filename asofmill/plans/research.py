@@ -329,3 +329,90 @@ def heterogeneous_rows(spark, sf):
     features = driver_table(spark, sf, "orders").select(c("o_orderstatus").alias("source"), F.lit("feature").alias("kind"), "o_totalprice")
     both = bars.unionByName(features, allowMissingColumns=True)
     return both.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- record constraints ----------------------------------------------------------------------------------------
+def _reasons(*cases: str) -> str:
+    return "unnest(list_filter([" + ", ".join(cases) + "], lambda x: x IS NOT NULL)) AS reason"
+
+
+@query("SELECT o_orderkey, " + _reasons(
+    "CASE WHEN o_orderkey % 4 = 3 OR o_orderkey % 5 = 0 THEN 'schema_for_kind' END",
+    "CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'revision_limitation' END") + " FROM orders")
+def dataset_reference_checks(spark, sf):
+    key = c("o_orderkey")
+    kind = F.when(key % 4 == 0, "market").when(key % 4 == 1, "documents").when(key % 4 == 2, "macro_assessments").otherwise("other")
+    schema = (
+        F.when(key % 5 == 0, "unknown.v1").when(key % 4 == 0, "market_observation.v1").when(key % 4 == 1, "source_document.v1")
+        .otherwise("macro_assessment.v1")
+    )
+    tags = F.when(key % 2 == 0, F.array(F.lit("other"))).otherwise(F.array(F.lit("unknown_revision_timing")))
+    rows = driver_table(spark, sf, "orders").select(
+        key, kind.alias("kind"), schema.alias("schema_id"), tags.alias("limitations"),
+        F.when(key % 3 == 0, "unknown").otherwise("point_in_time").alias("revision_policy"),
+    )
+    return violations(rows, ["o_orderkey"], records.dataset_rules())
+
+
+@query("SELECT c_custkey, " + _reasons(
+    "CASE WHEN c_custkey % 9 = 0 THEN 'duplicate_limitations' END", "CASE WHEN c_custkey % 7 > 4 THEN 'date_order' END",
+    "CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 'revision_limitation' END",
+    "CASE WHEN (c_custkey % 5 = 0) <> (c_custkey % 4 = 0) THEN 'synthetic_limitation' END") + " FROM customer")
+def plan_checks(spark, sf):
+    key = c("c_custkey")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    tags = F.array_compact(F.array(
+        F.lit("fixed_declared_universe"), F.when(key % 9 == 0, F.lit("fixed_declared_universe")),
+        F.when(key % 3 == 0, F.lit("unknown_revision_timing")), F.when(key % 4 == 0, F.lit("synthetic_data")),
+    ))
+    rows = driver_table(spark, sf, "customer").select(
+        key, tags.alias("limitations"), day(F.lit(0)).alias("coverage_start"), day(F.lit(4)).alias("coverage_end"),
+        day((key % 7).cast("int")).alias("first_execution_session"),
+        F.when(key % 2 == 0, "unknown").otherwise("point_in_time").alias("revision_policy"),
+        F.when(key % 5 == 0, "synthetic").otherwise("historical").alias("origin"),
+    )
+    return violations(rows, ["c_custkey"], records.plan_rules())
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, " + _reasons(
+    "CASE WHEN l_partkey % 6 = 0 THEN 'duplicate_feature_name' END", "CASE WHEN l_linenumber = 1 OR l_partkey % 11 = 0 THEN 'clock_order' END",
+    "CASE WHEN l_partkey % 8 = 0 THEN 'session_after_availability' END") + " FROM lineitem")
+def feature_constraints(spark, sf):
+    # Noon in UTC falls on the same date in New York, whatever the season.
+    noon = c("l_shipdate").cast("timestamp") + F.expr("INTERVAL 17 HOURS")
+    named = lambda n: F.struct(F.lit(n).alias("name"), c("l_tax").cast("decimal(24,8)").alias("value"))
+    values = F.when(c("l_partkey") % 6 == 0, F.array(named("a"), named("a"))).otherwise(F.array(named("a"), named("b")))
+    rows = driver_table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", values.alias("values"), noon.alias("available_at"),
+        _days(noon, c("l_linenumber") - 2).alias("computed_at"),
+        F.when(c("l_partkey") % 11 == 0, _days(noon, 30)).otherwise(_days(noon, -2)).alias("adjusted_as_of"),
+        F.date_add(F.to_date("l_shipdate"), F.when(c("l_partkey") % 8 == 0, 1).otherwise(0)).alias("session"),
+    )
+    return violations(rows, ["l_orderkey", "l_linenumber", "l_partkey"], records.feature_rules())
+
+
+@query("SELECT c_custkey, " + _reasons(
+    "CASE WHEN c_custkey % 3 = 0 THEN 'file_list' END", "CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 = 0 THEN 'quality' END",
+    "CASE WHEN c_custkey % 7 = 0 THEN 'identity' END") + " FROM customer")
+def manifest_checks(spark, sf):
+    key = c("c_custkey")
+    names = lambda *n: F.array(*[F.lit(i) for i in n])
+    rows = driver_table(spark, sf, "customer").select(
+        key, F.when(key % 3 == 0, names("actions.parquet", "bars.parquet", "sessions.parquet"))
+        .otherwise(names("bars.parquet", "actions.parquet", "sessions.parquet")).alias("file_names"),
+        (key % 4 != 0).alias("usable"), F.lit("historical").alias("origin"),
+        F.when(key % 5 == 0, "synthetic").otherwise("historical").alias("quality_origin"),
+        c("c_name").alias("dataset_id"), F.when(key % 7 == 0, F.lit("x")).otherwise(c("c_name")).alias("content_sha256"),
+    )
+    return violations(rows, ["c_custkey"], records.manifest_rules())
+
+
+@query("""SELECT o_orderkey, 'date_order' AS reason FROM orders
+WHERE NOT (o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderkey % 6 <= 3)""")
+def request_constraints(spark, sf):
+    day = F.to_date("o_orderdate")
+    rows = driver_table(spark, sf, "orders").select(
+        "o_orderkey", day.alias("start_session"), F.date_add(day, (c("o_orderkey") % 6).cast("int")).alias("first_execution_session"),
+        F.date_add(day, 3).alias("end_session"),
+    )
+    return violations(rows, ["o_orderkey"], records.request_rules("1996-01-01"))
