@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import pin
+from .bpe import encode_digests
 from .exact_dedup import exact_dedup
 from .simhash import simhash_components
+from .toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +35,11 @@ def op1_simhash_components(spark, sf_dir):
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op2_toxicity(spark, sf_dir):
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query(r"""
 WITH normal AS (
     SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
@@ -49,6 +56,18 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """Where the public tokenizer lies; the file is read, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query()
+def op10_bpe_encode_decode(spark, sf_dir):
+    return encode_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

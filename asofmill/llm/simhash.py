@@ -144,7 +144,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     member = found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())
     placed = distinct.join(member, distinct["fp"] == member["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("has_link"))
-    named = placed.where("has_link").groupBy("root").agg(F.min("least").alias("component"))
+    named = staged(placed.where("has_link").groupBy("root").agg(F.min("least").alias("component")), "component-names")
     of_fp = placed.join(named.withColumnRenamed("root", "named_root"), placed["root"] == F.col("named_root"), "left").select(
         F.col("fp").alias("own_fp"), "root", F.when(F.col("has_link"), F.col("component")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(of_fp, prints["fp"] == of_fp["own_fp"]).drop("own_fp")
