@@ -1,20 +1,23 @@
 """Toxicity of whole texts: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is a run of letters and digits in lower case. Its features are the word and its character n-grams of three to five
-characters with word ends marked, hashed to ``BUCKETS`` rows of an embedding table. The embeddings of all features of a text
-are averaged and a linear layer with softmax gives the probability of label 1. Embeddings and layer are trained together. An
-unseen misspelling shares most n-grams with words the training saw.
+characters with word ends marked, hashed to ``BUCKETS`` rows of an embedding table. The embeddings of all features in a window
+of ``WINDOW`` words are averaged, and a linear layer with softmax gives the window's probability of label 1; a text scores as
+its most toxic window, so a long text cannot hide a passage. Embeddings and layer are trained together: first on whole texts,
+then on the window that scores highest at the time. An unseen misspelling shares most n-grams with words the training saw. Every
+fifth labelled text is kept back to set temperature and bias of the softmax.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1, at most ``POSITIVES`` and ``NEGATIVES`` of them,
-chosen by a hash of the id. Id, labels, language and source are no inputs of a score.
+chosen by a hash of the id; texts of over ``LONGEST`` code points are not learned from. Id, labels, language and source are no
+inputs of a score. Scoring reads every text whole.
 
 Defined results: a null text counts as empty; a text without words gets the score of the bias alone; a document whose id is
 null is never learned from and not held out; a label row with nulls is left out; several labels of a document count as toxic
-if one is; repeated rows get equal scores; without labelled rows every score is 0.5; extra columns are ignored; an empty table
-gives an empty result.
+if one is; repeated rows get equal scores; without labelled rows of both classes every score is 0.5; extra columns are ignored;
+an empty table gives an empty result.
 
-Plan: the sample of ids is bounded and broadcast; one pass over documents makes bags for the sample on the executors and a
-second one scores. The trained table, one number per bucket, is broadcast. Nothing is shuffled but the labels.
+Plan: the sample of ids is bounded and broadcast, its texts are the only rows that reach the driver. One pass over documents
+fetches the sample, a second one scores. The trained table, one number per bucket, is broadcast. Only labels are shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -34,96 +38,160 @@ from .rows import fresh, text_or_empty
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
-POSITIVES = 1000
-NEGATIVES = 2000
+WINDOW = 16
+POSITIVES = 2000
+NEGATIVES = 5000
+LONGEST = 200_000
 THRESHOLD = 0.7
 CACHE = 200_000
+#: A window averages over at least so many features, so a few words alone stay near the bias.
+LEAST = 64
+#: Averages of thousands of features are small; the layer sees them times this factor.
+GAIN = 100.0
 
 WORDS = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 
 
-def features(word: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the word and its n-grams. Words of over 64 characters (no words of a language) only give n-grams of their
-    first and last 64 characters together with all words of 64 characters they hold."""
-    if len(word) > 64:
-        return np.concatenate([features(word[i:i + 64], buckets) for i in range(0, len(word), 64)])
+def words(text: str) -> list[str]:
+    """Words in order; one that follows itself counts once, else a line of one word repeated would be a window of its own."""
+    return [w for w, _ in groupby(WORDS.findall(text.lower()))]
+
+
+def features(word: str, buckets: int = BUCKETS) -> list[int]:
+    """Buckets of the word and its n-grams."""
     marked = f"<{word}>"
-    grams = [marked] + [marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1) if n < len(marked)]
-    return np.array([zlib.crc32(g.encode()) % buckets for g in grams], dtype=np.int32)
-
-
-class Bags:
-    """Feature sums of words, cached in a table of bounded size."""
-
-    def __init__(self, buckets: int = BUCKETS):
-        self.buckets, self.cache = buckets, {}
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.cache.get(word)
-        if found is None:
-            found = features(word, self.buckets)
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
-
-    def text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct buckets and their share of the text's features."""
-        counts: dict[str, int] = {}
-        for match in WORDS.finditer(text.lower()):
-            word = match.group()
-            counts[word] = counts.get(word, 0) + 1
-        if not counts:
-            return np.empty(0, np.int32), np.empty(0, np.float32)
-        parts = [self.word(w) for w in counts]
-        weights = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), [len(p) for p in parts])
-        at, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(inverse, weights)
-        return at.astype(np.int32), (total / total.sum()).astype(np.float32)
+    grams = [marked] + [marked[i:i + n] for n in GRAMS if n < len(marked) for i in range(len(marked) - n + 1)]
+    return [zlib.crc32(g.encode()) % buckets for g in grams]
+
+
+def window_edges(size: int, window: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of half-overlapping windows over ``size`` words; at least one window."""
+    if window is None or size <= window:
+        return np.zeros(1, np.int64), np.full(1, size, np.int64)
+    starts = np.arange(0, size - window // 2, window // 2)
+    return starts, np.minimum(starts + window, size)
 
 
 @dataclass
 class Model:
+    """Embeddings, layer and bias; ``temperature`` and ``shift`` come from the texts kept back."""
+
     embeddings: np.ndarray
-    weights: np.ndarray
+    layer: np.ndarray
     bias: np.ndarray
-
-    def per_bucket(self) -> np.ndarray:
-        """What one feature adds to the difference of both classes. Average and layer are linear, so they change places."""
-        return (self.embeddings @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float64)
-
-
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS, dimensions: int = DIMENSIONS,
-          rounds: int = 15, batch: int = 64, rate: float = 0.02, decay: float = 1e-5, seed: int = 11) -> Model:
-    """Adam over mini-batches; embeddings, layer and bias move together."""
-    rng = np.random.default_rng(seed)
-    values = [rng.normal(0, 0.1, (buckets, dimensions)).astype(np.float32), rng.normal(0, 0.1, (dimensions, 2)).astype(np.float32),
-              np.zeros(2, dtype=np.float32)]
-    first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
-    for _ in range(rounds if len(bags) else 0):
-        order = rng.permutation(len(bags))
-        for low in range(0, len(order), batch):
-            rows = order[low:low + batch]
-            at = np.concatenate([bags[r][0] for r in rows])
-            share = np.concatenate([bags[r][1] for r in rows])
-            doc = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
-            emb, layer, bias = values
-            weighted = emb[at] * share[:, None]
-            mean = np.stack([np.bincount(doc, weighted[:, d], len(rows)) for d in range(dimensions)], axis=1)
-            scores = mean @ layer + bias
-            scores = np.exp(scores - scores.max(axis=1, keepdims=True))
-            error = scores / scores.sum(axis=1, keepdims=True)
-            error[np.arange(len(rows)), labels[rows]] -= 1
-            error /= len(rows)
-            back = (error @ layer.T)[doc] * share[:, None]
-            grads = [np.stack([np.bincount(at, back[:, d], buckets) for d in range(dimensions)], axis=1), mean.T @ error, error.sum(axis=0)]
-            step += 1
-            for value, grad, m, v in zip(values, grads, first, second):
-                grad = grad.astype(np.float32) + decay * value
-                m += 0.1 * (grad - m)
-                v += 0.001 * (grad * grad - v)
-                value -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return Model(*values)
+    temperature: float = 1.0
+    shift: float = 0.0
+
+    def table(self) -> tuple[np.ndarray, float]:
+        """What one feature adds to the difference of both classes, and the rest. Average and layer are linear, so they change
+        places."""
+        slope = (self.embeddings @ (self.layer[:, 1] - self.layer[:, 0])) * (GAIN * self.temperature)
+        return slope.astype(np.float64), float(self.bias[1] - self.bias[0]) * self.temperature + self.shift
+
+
+class _Sample:
+    """Labelled texts as word numbers; features are stored once per word."""
+
+    def __init__(self, texts: list[str], buckets: int):
+        numbers: dict[str, int] = {}
+        self.texts = [np.array([numbers.setdefault(w, len(numbers)) for w in words(t)], dtype=np.int32) for t in texts]
+        found = [np.array(features(w, buckets), dtype=np.int32) for w in numbers]
+        self.size = np.array([len(f) for f in found], dtype=np.int64)
+        self.at = np.concatenate(found) if found else np.empty(0, np.int32)
+        self.first = np.concatenate(([0], np.cumsum(self.size)[:-1])).astype(np.int64)
+        self.all = np.concatenate(self.texts) if self.texts else np.empty(0, np.int32)
+        self.count = np.concatenate(([0], np.cumsum(self.size[self.all])))
+
+    def windows(self, window: int | None):
+        """Starts, ends and number of the text of each window, and the first window of each text."""
+        starts, ends, owner, first, offset, total = [], [], [], [], 0, 0
+        for n, text in enumerate(self.texts):
+            a, b = window_edges(len(text), window)
+            starts.append(a + offset)
+            ends.append(b + offset)
+            owner.append(np.full(len(a), n))
+            first.append(total)
+            offset += len(text)
+            total += len(a)
+        return np.concatenate(starts), np.concatenate(ends), np.concatenate(owner), np.array(first)
+
+    def best(self, slope: np.ndarray, edges) -> tuple[np.ndarray, np.ndarray]:
+        """Number and average of the highest window of each text."""
+        starts, ends, owner, first = edges
+        per_word = np.add.reduceat(slope[self.at], self.first) if len(self.at) else np.zeros(0)
+        running = np.concatenate(([0.0], np.cumsum(per_word[self.all], dtype=np.float64)))
+        mean = (running[ends] - running[starts]) / np.maximum(LEAST, self.count[ends] - self.count[starts])
+        top = np.maximum.reduceat(mean, first)
+        hits = np.nonzero(mean == top[owner])[0]
+        _, one = np.unique(owner[hits], return_index=True)
+        return hits[one], top
+
+    def spread(self, chosen: np.ndarray, edges, error: np.ndarray, buckets: int) -> np.ndarray:
+        """Sum per bucket of the error of each chosen window, shared by the window's features."""
+        starts, ends = edges[0][chosen], edges[1][chosen]
+        length = ends - starts
+        share = error / np.maximum(LEAST, self.count[ends] - self.count[starts])
+        at = np.repeat(starts - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+        per_word = np.bincount(self.all[at], np.repeat(share, length), len(self.size))
+        return np.bincount(self.at, np.repeat(per_word, self.size), buckets)
+
+
+def _probability(score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+
+
+def _calibrate(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Temperature and shift by Newton steps on the weighted log loss, drawn towards 1 and 0."""
+    x, theta, prior = np.stack([score, np.ones_like(score)], axis=1), np.array([1.0, 0.0]), np.diag([1.0, 0.1])
+    for _ in range(50):
+        p = _probability(x @ theta)
+        grad = x.T @ (weight * (p - label)) + prior @ (theta - [1.0, 0.0])
+        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + prior, grad)
+        theta = theta - np.clip(step, -1, 1)
+    return float(max(theta[0], 0.05)), float(theta[1])
+
+
+def train(texts: list[str], labels: np.ndarray, negatives_per_sampled: float = 1.0, buckets: int = BUCKETS,
+          dimensions: int = DIMENSIONS, window: int = WINDOW, whole_rounds: int = 100, window_rounds: int = 70, rate: float = 0.1,
+          seed: int = 11) -> Model:
+    """Gradient descent with momentum on the log loss of both classes; embeddings, layer and bias move together.
+
+    ``negatives_per_sampled`` is how many negative rows stand behind one that was sampled; calibration uses it as weight.
+    """
+    rng, labels = np.random.default_rng(seed), np.asarray(labels, dtype=np.float64)
+    direction = rng.normal(0, 1, dimensions)
+    direction /= np.linalg.norm(direction)
+    model = Model(rng.normal(0, 0.01, (buckets, dimensions)), np.stack([-direction / 2, direction / 2], axis=1), np.array([1.0, -1.0]))
+    learn = np.arange(len(labels)) % 5 != 4  # rows come in an order that has nothing to do with labels
+    if not len(texts) or len(np.unique(labels[learn])) < 2:
+        return Model(np.zeros((buckets, dimensions)), model.layer, np.zeros(2))
+    sample, per_row = _Sample(texts, buckets), learn / learn.sum()
+    for width, rounds in ((None, whole_rounds), (window, window_rounds)):
+        edges, speed, last = sample.windows(width), [0.0, 0.0, 0.0], np.inf
+        for _ in range(rounds):
+            slope = (model.embeddings @ (model.layer[:, 1] - model.layer[:, 0]) * GAIN).astype(np.float32)
+            chosen, mean = sample.best(slope, edges)
+            p = _probability(mean + model.bias[1] - model.bias[0])
+            loss = -(per_row * np.log(np.where(labels == 1, p, 1 - p) + 1e-12)).sum()
+            if loss > max(1.0, 2 * last):  # diverges: smaller steps
+                rate, speed = rate / 2, [0.0, 0.0, 0.0]
+            last = loss
+            error = per_row * (p - labels)
+            at_bucket = sample.spread(chosen, edges, error * GAIN, buckets)
+            by_layer = model.embeddings.T @ at_bucket
+            grads = (np.outer(at_bucket, model.layer[:, 1] - model.layer[:, 0]), np.stack([-by_layer, by_layer], axis=1) / 2,
+                     np.array([-error.sum(), error.sum()]) / 2)
+            speed = [0.9 * s + g for s, g in zip(speed, grads)]
+            model.embeddings -= rate * speed[0]
+            model.layer -= rate * speed[1]
+            model.bias -= rate * speed[2]
+    kept = ~learn
+    if len(np.unique(labels[kept])) == 2:
+        slope, bias = model.table()
+        _, mean = sample.best(slope, sample.windows(window))
+        model.temperature, model.shift = _calibrate(
+            mean[kept] + bias, labels[kept], np.where(labels[kept] == 1, 1.0, negatives_per_sampled))
+    return model
 
 
 def held_out(id_col: str | Column) -> Column:
@@ -132,63 +200,58 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(column.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                  positives: int = POSITIVES, negatives: int = NEGATIVES):
-    """Bags and labels of the bounded sample of labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        positives: int = POSITIVES, negatives: int = NEGATIVES, longest: int = LONGEST, **training) -> Model:
+    """Trains on a bounded sample of the labelled rows that are not held out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(
         F.col(id_col).cast("long").alias("label_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     chosen = [known.where(F.col("label") == F.lit(label)).orderBy(F.xxhash64("label_id"), "label_id").limit(bound)
               for label, bound in ((1, positives), (0, negatives))]
     sample = F.broadcast(chosen[0].unionAll(chosen[1]))  # at most positives + negatives rows
-    found = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(
-        sample, F.col("id") == F.col("label_id"))
+    found = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where(
+        F.length("text") <= longest).join(sample, F.col("id") == F.col("label_id")).select("id", "label", "text")
+    rows = found.limit(positives + negatives).toArrow().to_pandas()
+    # The order decides which rows are kept back; it must depend on nothing but the rows.
+    rows = rows.assign(place=[zlib.crc32(f"{i}/fold".encode()) for i in rows["id"]]).sort_values(["place", "id", "text"])
+    taken = int((rows["label"] == 0).sum())
+    behind = known.where("label = 0").count() / taken if taken else 1.0
+    return train(list(rows["text"]), rows["label"].to_numpy(), max(1.0, behind), **training)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bags = Bags()
-        for batch in batches:
-            made = [bags.text(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "buckets": [m[0] for m in made], "shares": [m[1] for m in made]})
 
-    made = found.select("id", "label", "text").mapInPandas(run, "id long, label int, buckets array<int>, shares array<float>")
-    rows = made.limit(positives + negatives).toArrow().sort_by("id")
-    bags = [(np.asarray(b.values, dtype=np.int32), np.asarray(s.values, dtype=np.float32)) for b, s in zip(rows["buckets"], rows["shares"])]
-    return bags, np.asarray(rows["label"], dtype=np.int64)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **bounds) -> Model:
-    return train(*training_bags(docs, labels, id_col, text_col, label_col, **bounds))
-
-
-def text_scores(model_table: np.ndarray, bias: float, texts, sums: dict, bags: Bags) -> np.ndarray:
+def text_scores(table: np.ndarray, bias: float, texts, sums: dict[str, tuple[float, int]], window: int = WINDOW) -> np.ndarray:
     """Scores of texts; ``sums`` caches the sum and the number of features per word."""
     out = np.empty(len(texts))
     for n, text in enumerate(texts):
-        total, count = 0.0, 0
-        for word in WORDS.findall(text.lower()):
-            found = sums.get(word)
-            if found is None:
-                at = features(word, bags.buckets)
-                found = (float(model_table[at].sum()), len(at))
+        found = []
+        for word in words(text):
+            entry = sums.get(word)
+            if entry is None:
+                at = features(word, len(table))
+                entry = (float(table[at].sum()), len(at))
                 if len(sums) >= CACHE:
                     sums.clear()
                 if len(word) <= 64:
-                    sums[word] = found
-            total += found[0]
-            count += found[1]
-        out[n] = total / max(1, count) + bias
-    return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
-
-
-def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+                    sums[word] = entry
+            found.append(entry)
+        if not found:
+            out[n] = bias
+            continue
+        running = np.concatenate((np.zeros((1, 2)), np.cumsum(np.array(found, dtype=np.float64), axis=0)))
+        starts, ends = window_edges(len(found), window)
+        part = running[ends] - running[starts]
+        out[n] = (part[:, 0] / np.maximum(LEAST, part[:, 1])).max() + bias
+    return _probability(out)
+
+
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", window: int = WINDOW) -> DataFrame:
     """All columns and the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.per_bucket(), float(model.bias[1] - model.bias[0])))
+    shared = docs.sparkSession.sparkContext.broadcast(model.table())
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table, bias = shared.value
-        sums, bags = {}, Bags(len(table))
+        (table, bias), sums = shared.value, {}
         for texts in batches:
-            yield pd.Series(text_scores(table, bias, texts, sums, bags))
+            yield pd.Series(text_scores(table, bias, texts, sums, window))
 
     return docs.withColumn(score_col, run(text_or_empty(text_col)))
 
