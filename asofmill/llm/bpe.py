@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import regex
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .bpe_automaton import Automaton, byte_symbols, load
 from .rows import text_or_empty
 
-CACHE = 200_000
+CACHE = 400_000
 PIECE = 20_000
 
 #: The word pattern of the file. Fixed value.
@@ -55,9 +56,9 @@ class Codec:
         self._ready()
 
     def _ready(self) -> None:
-        self.symbols, self.words = byte_symbols(), regex.compile(PATTERN)
+        self.bytes_to_symbols, self.words = dict(enumerate(byte_symbols())), regex.compile(PATTERN)
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.cache: dict[str, tuple[list[int], str, str]] = {}
+        self.cache: dict[str, tuple[int, str, str]] = {}
         self.splitter = None
 
     def __getstate__(self):
@@ -75,62 +76,52 @@ class Codec:
             self.splitter = Tokenizer.from_str(self.shell)
         return [w for w, _ in self.splitter.pre_tokenizer.pre_tokenize_str(self.splitter.normalizer.normalize_str(text))]
 
-    def _entry(self, numbers: list[int]) -> tuple[list[int], str, str]:
-        return numbers, " ".join(map(str, numbers)), self.decode(numbers)
+    def _entry(self, numbers: list[int]) -> tuple[int, str, str]:
+        return len(numbers), " ".join(map(str, numbers)), self.decode(numbers)
 
-    def _looked_up(self, key: str, make) -> tuple[list[int], str, str]:
-        found = self.cache.get(key)
+    def _word(self, symbols: str) -> tuple[int, str, str]:
+        """The entry of a word in byte symbols."""
+        found = self.cache.get(symbols)
         if found is None:
-            found = self._entry(make(key))
-            if len(key) <= 64:
+            found = self._entry(self.automaton.encode(symbols))
+            if len(symbols) <= 64:
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
-                self.cache[key] = found
+                self.cache[symbols] = found
         return found
 
-    def _plain(self, chunk: str) -> list[int]:
-        """Labels of a stretch without white space, already in lower case."""
-        out: list[int] = []
-        for word in self.words.findall(chunk):
-            out += self.automaton.encode("".join([self.symbols[b] for b in word.encode()]))
-        return out
+    def _symbols(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.bytes_to_symbols)
 
-    def entries(self, text: str) -> Iterator[tuple[list[int], str, str]]:
-        """(labels, labels as text, decoded text) of successive stretches; stretches without tokens are left out."""
+    def entries(self, text: str) -> Iterator[tuple[int, str, str]]:
+        """(number of labels, labels as text, decoded text) of successive words."""
         for part in self.cuts.split(text) if self.cuts and "<|" in text else (text,):
             if part in self.added:
                 yield self._entry([self.added[part]])
-            elif PLAIN.fullmatch(part):
-                get = self.cache.get
-                for chunk in part.lower().split():
-                    yield get(chunk) or self._looked_up(chunk, self._plain)
-            elif part:
-                for word in self._library_words(part):
-                    # The blank keeps these keys apart from those of plain text.
-                    yield self._looked_up(" " + word, lambda key: self.automaton.encode(key[1:]))
+                continue
+            if PLAIN.fullmatch(part):
+                words = map(self._symbols, self.words.findall(part.lower()))
+            else:
+                words = self._library_words(part) if part else ()
+            get, make = self.cache.get, self._word
+            for word in words:
+                yield get(word) or make(word)
 
     def encode(self, text: str | None) -> list[int]:
-        return [n for numbers, _, _ in self.entries(text or "") for n in numbers]
+        return [int(n) for _, numbers, _ in self.entries(text or "") for n in numbers.split(" ")]
 
     def decode(self, numbers: list[int]) -> str:
         return " ".join(self.automaton.decode(numbers))
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, digest of the decimal labels joined by a blank, digest of the decoded text."""
-        count, ids, words, wait = 0, hashlib.sha256(), hashlib.sha256(), []
-
-        def flush(last: bool) -> None:
-            end = "" if last else " "
-            ids.update((" ".join([e[1] for e in wait]) + end).encode())
-            words.update((" ".join([e[2] for e in wait]) + end).encode())
-
-        for entry in self.entries(text or ""):
-            if len(wait) >= PIECE:
-                flush(False)
-                wait.clear()
-            count += len(entry[0])
-            wait.append(entry)
-        flush(True)
+        count, ids, words, stream, lead = 0, hashlib.sha256(), hashlib.sha256(), self.entries(text or ""), ""
+        while piece := list(islice(stream, PIECE)):
+            numbers, labels, decoded = zip(*piece)
+            count += sum(numbers)
+            ids.update((lead + " ".join(labels)).encode())
+            words.update((lead + " ".join(decoded)).encode())
+            lead = " "
         return count, ids.hexdigest(), words.hexdigest()
 
 

@@ -45,8 +45,9 @@ class Automaton:
     column: np.ndarray
     allowed: np.ndarray
     longest: int
-    inner: dict[str, int] = field(default_factory=dict)  # labels inside a word
-    final: dict[str, int] = field(default_factory=dict)  # labels that end a word, without the suffix
+    start: int = 0
+    inner: dict[str, tuple[int, bytes, int]] = field(default_factory=dict)  # labels inside a word
+    final: dict[str, tuple[int, bytes, int]] = field(default_factory=dict)  # labels that end a word, without the suffix
 
     @classmethod
     def compile(cls, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str) -> Automaton:
@@ -98,41 +99,50 @@ class Automaton:
                    max(len(t.removesuffix(suffix)) if suffix else len(t) for t in labels))._index()
 
     def _index(self) -> Automaton:
-        for number, text in enumerate(self.labels):
+        """Per label what reading it takes: its number, the states that allow it, the state it leads to."""
+        bits, row = [column.tobytes() for column in self.allowed], self.row.tolist()
+        self.start = row[-1]
+        for number, text in enumerate(self.labels[:len(self.column)]):
+            arc = (number, bits[self.column[number]], row[number]) if text else None
             if text and self.suffix and text.endswith(self.suffix):
-                self.final[text.removesuffix(self.suffix)] = number
+                self.final[text.removesuffix(self.suffix)] = arc
             elif text:
-                self.inner[text] = number
+                self.inner[text] = arc
         if not self.suffix:
             self.final = self.inner
         return self
 
+    def __getstate__(self):
+        return {**self.__dict__, "inner": {}, "final": {}}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._index()
+
     def encode(self, word: str) -> list[int]:
-        """Labels of the only accepted path that spells the word; one pass, each place keeps the state it leads to."""
-        if not word:
-            return []
-        size, row, column, allowed = len(word), self.row, self.column, self.allowed
-        state, back = [-1] * (size + 1), [-1] * (size + 1)  # the label behind which the automaton stands; start is row -1
-        known = [True] + [False] * size
+        """Labels of the only accepted path that spells the word.
+
+        Exactly one label that ends at a place may be read in the state its begin leads to, so one pass finds the path.
+        """
+        size, longest, table = len(word), self.longest, self.inner.get
+        state, path = [self.start] + [-1] * size, [(0, -1)] * (size + 1)
         for end in range(1, size + 1):
-            table = self.final if end == size else self.inner
-            for begin in range(max(0, end - self.longest), end):
-                if not known[begin]:
-                    continue
-                label = table.get(word[begin:end])
-                if label is None:
-                    continue
-                at = row[state[begin]]
-                if allowed[column[label], at >> 3] >> (at & 7) & 1:
-                    state[end], back[end], known[end] = label, begin, True
-                    break
-        if not known[size]:
-            raise ValueError(f"the automaton has no path for {word!r}")
-        path, end = [], size
+            if end == size:
+                table = self.final.get
+            for begin in range(end - 1, max(-1, end - 1 - longest), -1):
+                arc = table(word[begin:end])
+                if arc is not None:
+                    at = state[begin]
+                    if at >= 0 and arc[1][at >> 3] >> (at & 7) & 1:
+                        path[end], state[end] = (begin, arc[0]), arc[2]
+                        break
+        out, end = [], size
         while end:
-            path.append(state[end])
-            end = back[end]
-        return path[::-1]
+            end, label = path[end]
+            if label < 0:
+                raise ValueError(f"the automaton has no path for {word!r}")
+            out.append(label)
+        return out[::-1]
 
     def decode(self, numbers: list[int]) -> list[str]:
         """The labels of the arcs."""
