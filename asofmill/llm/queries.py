@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import pin
 from .bpe import encode_digests
 from .exact_dedup import exact_dedup
+from .mixing import mix
 from .simhash import simhash_components
 from .toxicity import toxicity_scores
 
@@ -40,6 +41,48 @@ def op2_toxicity(spark, sf_dir):
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query(r"""
+WITH RECURSIVE sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        md5(coalesce(doc_id::varchar, '') || '/17') AS hash
+    FROM documents
+), numbered AS (
+    SELECT source, sum(size)::bigint AS source_size,
+        [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::double AS weight
+    FROM sized GROUP BY source
+), filled(clamped, rest, weights, before) AS (
+    SELECT 0::bigint, 1.5::double * sum(source_size)::double, sum(weight)::double, -1::bigint FROM numbered
+    UNION ALL
+    SELECT
+        (SELECT count(*) FROM numbered n WHERE f.rest * n.weight / f.weights > n.source_size * 2),
+        (SELECT 1.5::double * sum(source_size)::double - coalesce(sum(source_size * 2) FILTER (f.rest * weight / f.weights > source_size * 2), 0)::double FROM numbered),
+        (SELECT sum(weight) - coalesce(sum(weight) FILTER (f.rest * weight / f.weights > source_size * 2), 0) FROM numbered),
+        f.clamped
+    FROM filled f WHERE f.clamped <> f.before AND f.weights > 0
+), level AS (
+    SELECT rest, weights FROM filled WHERE clamped = before OR weights <= 0
+), targets AS (
+    SELECT n.source, n.source_size,
+        CASE WHEN l.weights <= 0 OR l.rest * n.weight / l.weights > n.source_size * 2 THEN (n.source_size * 2)::double
+            ELSE l.rest * n.weight / l.weights END AS target
+    FROM numbered n, level l
+), goals AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+        target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS missing
+    FROM targets
+), drawn AS (
+    SELECT s.*, g.source_size, g.target, g.whole, g.missing,
+        sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash ROWS UNBOUNDED PRECEDING) AS running
+    FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target,
+    (size * (whole + (missing > 0 AND running - size / 2.0 <= missing)::bigint))::bigint AS taken
+FROM drawn
+""")
+def op5_mix_sources(spark, sf_dir):
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 @_query(r"""
 WITH normal AS (
     SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
