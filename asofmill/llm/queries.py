@@ -10,8 +10,10 @@ from ..session import pin
 from .bpe import encode_digests
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .sharding import sharded
 from .simhash import simhash_components
 from .toxicity import toxicity_scores
+from .url_filter import filtered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +85,31 @@ def op5_mix_sources(spark, sf_dir):
     return mix(_table(spark, sf_dir, "documents"))
 
 
+#: The rules of the query. Fixed values.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@_query(r"""
+WITH split AS (
+    SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), rules(rule, rule_host, rule_path, verdict) AS (
+    VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+        ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+), pages_of AS (SELECT *, row_number() OVER () AS n FROM split
+), fits AS (
+    SELECT p.n, r.rule, r.verdict, row_number() OVER (PARTITION BY p.n ORDER BY length(r.rule) DESC) AS place
+    FROM pages_of p JOIN rules r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM pages_of p LEFT JOIN fits f ON p.n = f.n AND f.place = 1
+""")
+def op6_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return filtered(_table(spark, sf_dir, "pages"), rules)
+
+
 @_query(r"""
 WITH normal AS (
     SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
@@ -99,6 +126,11 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op9_rendezvous_shards(spark, sf_dir):
+    return sharded(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """Where the public tokenizer lies; the file is read, never copied."""
     import public_tokenizers
