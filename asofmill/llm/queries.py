@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import pin
 from .bpe import encode_digests
+from .embedding_dedup import embedding_links
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .sharding import sharded
@@ -126,6 +127,11 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op7_embedding_links(spark, sf_dir):
+    return embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
 @_query()
 def op9_rendezvous_shards(spark, sf_dir):
     return sharded(_table(spark, sf_dir, "documents"))
