@@ -10,7 +10,10 @@ from ..session import pin
 from .bpe import encode_digests
 from .embedding_dedup import embedding_links
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
+from .license_texts import KNOWN
 from .mixing import mix
+from .secret_scan import secret_scan
 from .sharding import sharded
 from .simhash import simhash_components
 from .toxicity import toxicity_scores
@@ -86,6 +89,39 @@ def op5_mix_sources(spark, sf_dir):
     return mix(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op3_secret_scan(spark, sf_dir):
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def _license_values() -> str:
+    return ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+
+
+@_query(r"""
+WITH known(license, text) AS (VALUES """ + _license_values() + r"""
+), bodies AS (
+    SELECT 'k' AS kind, row_number() OVER () AS id, license, text FROM known
+    UNION ALL SELECT 'd', doc_id, NULL, coalesce(text, '') FROM documents
+), clean AS (
+    SELECT kind, id, license, string_split(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
+        regexp_replace(lower(text), '(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)(?:[^\p{L}\p{N}\n][^\n]*)?$', '', 'g'),
+        'licence', 'license'), 'sub-license', 'sublicense'), 'non-infringement', 'noninfringement'), 'organisation', 'organization'),
+        'authorisation', 'authorization'), 'https://', 'http://'), 'and/or', 'and or'), '[^\p{L}\p{N}\n]+', ' ', 'g'), chr(10)) AS parts
+    FROM bodies
+), units AS (
+    SELECT kind, id, license, 0 AS line, array_to_string(list_filter(list_transform(parts, lambda p: trim(p)), lambda p: p <> ''), ' ') AS body FROM clean
+    UNION ALL SELECT kind, id, license, unnest(range(1, len(parts) + 1))::int, trim(unnest(parts)) FROM clean WHERE kind = 'd'
+), digests AS (
+    SELECT sha256(body) AS digest, min(license) AS license FROM units WHERE kind = 'k' GROUP BY body
+)
+SELECT u.id AS doc_id, CASE WHEN u.line = 0 THEN 'text' ELSE 'line' END AS unit, u.line, d.license, d.digest
+FROM units u JOIN digests d ON sha256(u.body) = d.digest WHERE u.kind = 'd' AND u.body <> ''
+""".replace("\\\\", "\\"))
+def op4_license_scan(spark, sf_dir):
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 #: The rules of the query. Fixed values.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 

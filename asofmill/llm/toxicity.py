@@ -23,6 +23,7 @@ fetches the sample, a second one scores. The trained table, one number per bucke
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -40,7 +41,7 @@ DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 WINDOW = 16
 POSITIVES = 2000
-NEGATIVES = 5000
+NEGATIVES = 4000
 LONGEST = 200_000
 THRESHOLD = 0.7
 CACHE = 200_000
@@ -95,9 +96,13 @@ class _Sample:
     def __init__(self, texts: list[str], buckets: int):
         numbers: dict[str, int] = {}
         self.texts = [np.array([numbers.setdefault(w, len(numbers)) for w in words(t)], dtype=np.int32) for t in texts]
-        found = [np.array(features(w, buckets), dtype=np.int32) for w in numbers]
-        self.size = np.array([len(f) for f in found], dtype=np.int64)
-        self.at = np.concatenate(found) if found else np.empty(0, np.int32)
+        at, size = array("i"), array("q")
+        for word in numbers:
+            found = features(word, buckets)
+            at.extend(found)
+            size.append(len(found))
+        del numbers
+        self.size, self.at = np.array(size, dtype=np.int64), np.array(at, dtype=np.int32)
         self.first = np.concatenate(([0], np.cumsum(self.size)[:-1])).astype(np.int64)
         self.all = np.concatenate(self.texts) if self.texts else np.empty(0, np.int32)
         self.count = np.concatenate(([0], np.cumsum(self.size[self.all])))
