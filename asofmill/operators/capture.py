@@ -28,22 +28,22 @@ MINUTE_FIELDS = ("t", "o", "h", "l", "c", "v")
 SUPPORTED_KINDS = ("forward_splits", "cash_dividends")
 
 
-def _quoted_key_count(text: Column, key: str) -> Column:
-    return F.regexp_count(text, F.lit(f'"{key}"\\s*:'))
+def strict_json_reason(text: Column) -> Column:
+    """Why a text is not one valid and unambiguous JSON object: non-finite number, malformed, a key repeated at any depth, a
+    number with digits past the 18th place.
 
-
-def strict_json_reason(text: Column, keys: tuple[str, ...], schema: str) -> Column:
-    """Why a JSON object is not valid and unambiguous: malformed, non-finite number, repeated top-level key."""
-    parsed = F.from_json(text, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    Spark's parsers stop after the first value, so the text is also read inside an array and inside an object: whatever
+    follows the value breaks one of the two.
+    """
     outside_strings = F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', '""')
     non_finite = outside_strings.rlike(r"(?:^|[:\[,\s])-?(?:NaN|Infinity)(?:$|[\],}\s])")
-    repeated = F.lit(False)
-    for key in keys:
-        repeated = repeated | (_quoted_key_count(text, key) > 1)
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    alone = (F.json_array_length(listed) == 1) & (F.size(F.json_object_keys(F.concat(F.lit('{"w":'), text, F.lit("}")))) == 1)
     return (
         F.when(yes(non_finite), "non_finite_number")
-        .when(parsed.isNull() | F.json_object_keys(text).isNull() | parsed["_bad"].isNotNull(), "malformed")
-        .when(repeated, "duplicate_key")
+        .when(~yes(alone) | F.json_object_keys(text).isNull(), "malformed")
+        .when(F.try_parse_json(listed).isNull(), "duplicate_key")
+        .when(yes(outside_strings.rlike(r"\.[0-9]{18}[0-9]*[1-9]")), "inexact_number")
     )
 
 
@@ -51,6 +51,7 @@ def page_rejects(pages: DataFrame) -> DataFrame:
     """Add ``reason`` and ``token`` to pages: what is wrong with the shape of a body, in checking order."""
     group = F.when(F.col("path") == BARS_PATH, F.lit("bars")).otherwise(F.lit("corporate_actions"))
     names = F.json_object_keys("body")
+    # A body that is no object has no keys; the strict reading below says why.
     raw_group = F.get_json_object("body", "$.bars")
     raw_group = F.when(F.col("path") == BARS_PATH, raw_group).otherwise(F.get_json_object("body", "$.corporate_actions"))
     lists = F.from_json(raw_group, "map<string,array<string>>")
@@ -66,10 +67,13 @@ def page_rejects(pages: DataFrame) -> DataFrame:
     list_fault = ~shaped | F.coalesce(F.exists(F.map_values(lists), lambda v: v.isNull()), F.lit(False)) | (
         raw_group.isNotNull() & lists.isNull()
     )
+    strict = strict_json_reason(F.col("body"))
+    rowless = F.exists(F.map_values(lists), lambda rows: F.exists(rows, lambda row: F.coalesce(
+        ~F.startswith(F.ltrim(row), F.lit("{")) | F.json_object_keys(row).isNull(), F.lit(True))))
     reason = first_reason([
-        ("invalid_response", names.isNull()),
+        ("invalid_response", strict.isNotNull()),
         ("incomplete_response", ~yes(F.array_contains(names, group) & F.array_contains(names, F.lit("next_page_token")))),
-        ("invalid_response", list_fault),
+        ("invalid_response", list_fault | yes(rowless)),
         ("invalid_pagination", (raw_token != "null") & (~is_text | ~F.length(token).between(1, 4096))),
         ("empty_page", (raw_token != "null") & ~valued),
     ])
@@ -77,7 +81,10 @@ def page_rejects(pages: DataFrame) -> DataFrame:
 
 
 def minute_rows(pages: DataFrame) -> DataFrame:
-    """One row per wire minute with its arrival position: page number, symbol within page, position in the list."""
+    """One row per wire minute with its arrival position: page number, symbol within page, position in the list.
+
+    Pages that ``page_rejects`` refuses may have no rows here; ``capture_verdicts`` accounts for every page.
+    """
     bars = pages.where(F.col("path") == BARS_PATH)
     decoded = bars.withColumn("__body", F.from_json("body", BARS_BODY))
     # The outer form of explode: for the plain one the optimizer adds a filter that parses every body once more.
@@ -155,6 +162,23 @@ def classify_minutes(minutes: DataFrame, sessions: DataFrame, universe: DataFram
     )
 
 
+def capture_verdicts(pages: DataFrame, sessions: DataFrame, universe: DataFrame) -> DataFrame:
+    """(capture_id, seq, symbol, pos, t, reason): every bar page gives the verdicts of its minutes or one row with the fault of
+    the page and no position, so nothing captured is lost without a word. A sound page without minutes gives one row without a
+    reason."""
+    bars = page_rejects(pages.where(F.col("path") == BARS_PATH))
+    faulty = bars.where(F.col("reason").isNotNull())
+    sound = bars.where(F.col("reason").isNull())
+    minutes = classify_minutes(minute_rows(sound), sessions, universe)
+    lists = F.from_json(F.get_json_object("body", "$.bars"), "map<string,array<string>>")
+    empty = sound.where(F.coalesce(F.size(F.flatten(F.map_values(lists))), F.lit(0)) <= 0)
+    whole_page = lambda rows: rows.select(
+        "capture_id", "seq", F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("int").alias("pos"),
+        F.lit(None).cast("timestamp").alias("t"), "reason")
+    return minutes.select("capture_id", "seq", "symbol", "pos", "t", F.col("reject_reason").alias("reason")).unionAll(
+        whole_page(faulty)).unionAll(whole_page(empty))
+
+
 def action_rows(pages: DataFrame) -> DataFrame:
     """One row per wire action with its kind, typed fields and page clock."""
     wire = pages.where(F.col("path") == ACTIONS_PATH).withColumn("__body", F.from_json("body", ACTIONS_BODY))

@@ -20,7 +20,7 @@ def _stream(spark, sf, name):
     return S.file_stream(spark, path, driver_table(spark, sf, name).schema)
 
 
-# The watermark is a millisecond clock fifteen minutes behind the newest tick; younger windows are still open.
+# The border is a millisecond clock fifteen minutes behind the newest tick; younger windows are still open.
 @query(f"""WITH {TICKS}
 SELECT symbol, {text_of("CAST(date_trunc('hour', t) AS TIMESTAMP)")} AS bucket, CAST(arg_min(price, (t, id)) AS DOUBLE) AS open,
   CAST(max(price) AS DOUBLE) AS high, CAST(min(price) AS DOUBLE) AS low, CAST(arg_max(price, (t, id)) AS DOUBLE) AS close,
@@ -34,13 +34,13 @@ def stream_hourly_bars(spark, sf):
         c("value").cast("decimal(24,8)").alias("price"), F.get_json_object("props", "$.k").cast("bigint").alias("volume"),
         c("event_id").alias("id"),
     )
-    return S.run_append(S.bar_stream(ticks, "1 hour"), "hourly-bars")
+    return S.merged_bars(ticks, "1 hour").drop("late_rows")
 
 
 @query("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
 def stream_deduplicated_events(spark, sf):
     lines = _stream(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", c("l_shipdate").cast("timestamp").alias("at"))
-    return S.run_append(S.deduplicated_stream(lines, ["l_orderkey", "l_linenumber"], "at"), "dedup").drop("at")
+    return S.merged_first_deliveries(lines, ["l_orderkey", "l_linenumber"]).drop("at")
 
 
 @query("""SELECT l_orderkey AS order_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS filled_quantity,
@@ -53,7 +53,7 @@ def stream_fill_state(spark, sf):
         c("l_orderkey").alias("order_id"), c("l_quantity").cast("bigint").alias("fill_quantity_delta"),
         F.lit(100).cast("bigint").alias("requested_quantity"), c("l_shipdate").alias("recorded_at"), c("o_orderdate").alias("occurred_at"),
     )
-    return S.run_update(S.fill_stream(events), ["order_id"], "fills")
+    return S.merged_fills(events)
 
 
 @query(f"""WITH {JOB_EVENTS} SELECT request_id, arg_max(state, sequence) AS state, count(*) AS events FROM job_events GROUP BY request_id""")
@@ -61,4 +61,4 @@ def stream_job_states(spark, sf):
     events = _stream(spark, sf, "events").select(
         c("user_id").alias("request_id"), c("event_id").alias("sequence"), A.job_state(c("event_type")).alias("state")
     )
-    return S.run_update(S.lifecycle_stream(events), ["request_id"], "jobs")
+    return S.merged_lifecycles(events)

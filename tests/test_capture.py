@@ -72,11 +72,15 @@ def test_incomplete_session_gives_no_bar(spark):
 
 PAGES = [
     ('{"bars": {"X": [{"t": 1}]}, "next_page_token": null}', None), ('{"bars": {}, "next_page_token": null}', None),
-    ('{"bars": null, "next_page_token": null}', None), ('{"bars": {"X": [1]}, "next_page_token": "t"}', None),
+    ('{"bars": null, "next_page_token": null}', None), ('{"bars": {"X": [{"t": 1}]}, "next_page_token": "t"}', None),
     ('{"bars": {"X": []}, "next_page_token": "t"}', "empty_page"), ('{"bars": {}}', "incomplete_response"),
     ('{"next_page_token": null}', "incomplete_response"), ('{"bars": [], "next_page_token": null}', "invalid_response"),
     ('{"bars": {"X": 1}, "next_page_token": null}', "invalid_response"), ("nonsense", "invalid_response"),
-    ('{"bars": {"X": [1]}, "next_page_token": 7}', "invalid_pagination"), ('{"bars": {"X": [1]}, "next_page_token": ""}', "invalid_pagination"),
+    ('{"bars": {"X": [{"t": 1}]}, "next_page_token": 7}', "invalid_pagination"), ('{"bars": {"X": [{"t": 1}]}, "next_page_token": ""}', "invalid_pagination"),
+    ('{"bars": {"X": [5, {"t": 1}]}, "next_page_token": null}', "invalid_response"), ('{"bars": {"X": [{"t": 1}]}, "next_page_token": null', "invalid_response"),
+    ('{"bars": {"X": [{"v": 1, "v": 2}]}, "next_page_token": null}', "invalid_response"), ('{"bars": {}, "next_page_token": null} {}', "invalid_response"),
+    ('{"bars": {"X": [{"o": 1.10000000000000000001}]}, "next_page_token": null}', "invalid_response"), (None, "invalid_response"),
+    ('{"bars": {"X": [null]}, "next_page_token": null}', "invalid_response"),
 ]
 
 
@@ -142,3 +146,14 @@ def test_page_completeness(spark):
     found = C.page_completeness(pages, expected, ["capture_id", "seq"], ["path"])
     assert [r["status"] for r in found.orderBy("seq").collect()] == [
         "ok", "capture_request_mismatch", "incomplete_capture", "extra_capture_pages"]
+
+
+def test_every_page_is_accounted_for(spark):
+    bodies = [b for b, _ in PAGES]
+    pages = spark.createDataFrame([("c", n, C.BARS_PATH, {"start": "2024-07-01T13:30:00Z"}, datetime(2024, 8, 2), b) for n, b in enumerate(bodies)],
+                                  "capture_id string, seq bigint, path string, params map<string,string>, received_at timestamp, body string")
+    found = C.capture_verdicts(pages, T.sessions(spark), T.universe(spark)).collect()
+    assert {r["seq"] for r in found} == set(range(len(bodies)))
+    for n, (_, reason) in enumerate(PAGES):
+        if reason:
+            assert [r["reason"] for r in found if r["seq"] == n] == [reason]

@@ -53,9 +53,11 @@ def test_daylight_saving_moves_the_open(spark):
 @pytest.mark.parametrize("text, want", [
     ('{"k": 1}', None), ('{"k": 1, "k": 2}', "duplicate_key"), ('{"k": NaN}', "non_finite_number"), ('{"k": 1', "malformed"),
     ('{"x": "NaN"}', None), ('[1]', "malformed"), ('{"k": -Infinity}', "non_finite_number"),
+    ('{"k": {"a": [{"v": 1, "v": 2}]}}', "duplicate_key"), ('{"k": 1} x', "malformed"), ('{"k": 1}{"l": 2}', "malformed"), ('{"k": 1}, {"l": 2}', "malformed"),
+    ('{"k": 1.1000000000000000001}', "inexact_number"), ('{"k": "1.1000000000000000001"}', None), ('{"k": 1.10000000000000000000}', None), (None, "malformed"),
 ])
 def test_strict_json(spark, text, want):
-    assert one(spark, strict_json_reason(F.col("v"), ("k", "x"), "k decimal(38,18), x string"), v=text) == want
+    assert one(spark, strict_json_reason(F.col("v")), v=text) == want
 
 
 SECRET = 'p"w\n9'

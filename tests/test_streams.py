@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from asofmill.operators import fills as X
@@ -61,3 +62,29 @@ def test_fill_and_job_state(spark, tmp_path):
     states = S.run_update(S.lifecycle_stream(_stream(spark, rows, path).select(F.col("order_id").alias("request_id"), "sequence", "state")),
                           ["request_id"], "test-jobs")
     assert rows_differ(states, J.latest_states(jobs).select("request_id", "state", "events")).count() == 0
+
+
+@pytest.mark.parametrize("files", [1, 4, 16])
+def test_any_number_of_files_in_any_order(spark, tmp_path, files):
+    """Rows of a year dealt over files at random, one file per trigger: the result is that of one batch."""
+    rows = spark.range(2000).select(
+        F.concat(F.lit("S"), (F.col("id") % 3).cast("string")).alias("symbol"), "id",
+        (F.lit(START) + F.make_dt_interval((F.col("id") * 7919 % 365).cast("int"), (F.col("id") % 24).cast("int"))).alias("t"),
+        (F.col("id") % 97 + 1).cast("decimal(24,8)").alias("price"), (F.col("id") % 11).alias("volume"), (F.col("id") % 700).alias("event_id"),
+        (F.col("id") % 20).alias("order_id"), (F.col("id") % 9).alias("fill_quantity_delta"), F.lit(400).cast("bigint").alias("requested_quantity"),
+        F.lit(START).alias("occurred_at"), F.when(F.col("id") % 50 == 0, F.lit(START - timedelta(days=1))).otherwise(F.lit(START)).alias("recorded_at"),
+        F.col("id").alias("sequence"), F.element_at(F.array(*[F.lit(s) for s in J.STATES]), (F.col("id") % 6 + 1).cast("int")).alias("state"))
+    rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(files))).repartition(files, "part").write.partitionBy("part").parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "in" / "*")
+    bars = S.merged_bars(_stream(spark, rows, path).select("symbol", "t", "price", "volume", "id"), "1 hour")
+    newest = rows.agg(F.max("t")).first()[0]
+    want = interval_bars(rows.select("symbol", "t", "price", "volume", "id"), "HOUR").where(
+        F.col("bucket") + F.expr("INTERVAL 1 HOUR") <= F.lit(newest - timedelta(minutes=15)))
+    assert rows_differ(bars.drop("late_rows"), want).count() == 0
+    assert (bars.agg(F.sum("late_rows")).first()[0] > 0) == (files > 1)
+    assert S.merged_first_deliveries(_stream(spark, rows, path).select("event_id", "t"), ["event_id"]).count() == 700
+    fills = X.order_status(rows).select("order_id", "filled_quantity", "requested_quantity", (F.col("status") == "overfilled").alias("overfilled"), "clock_violations")
+    assert rows_differ(S.merged_fills(_stream(spark, rows, path)), fills).count() == 0
+    jobs = rows.select(F.col("order_id").alias("request_id"), "sequence", "state", F.lit(START).alias("at"))
+    merged = S.merged_lifecycles(_stream(spark, rows, path).select(F.col("order_id").alias("request_id"), "sequence", "state"))
+    assert rows_differ(merged, J.latest_states(jobs).select("request_id", "state", "events")).count() == 0
