@@ -1,8 +1,9 @@
 """Session calendars.
 
-A calendar has one row per exchange day, a few ten thousand rows for a century. It is read once per operator, its size
-checked, and kept in the plan as constant rows: every join with it is then a broadcast of known size, and positions and
-day counts need no windows. (A broadcast passes through the driver as well.)
+A calendar has one row per exchange day, a few ten thousand rows for a century. It is read once per operator and kept in the
+plan as constant rows: every join with it is then a broadcast of at most one row per day of its range, and positions and day
+counts need no windows. (A broadcast passes through the driver as well.) Repeated rows count once. Two rows of one day that
+differ belong to two exchanges and are refused, as a position would mean nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.clocks import available_after, is_shortened
 
-MAX_SESSIONS = 100_000
+#: The only day of the spine of an empty calendar: every date then has no sessions before it.
+NO_SESSIONS = date(1970, 1, 1)
 
 
 @dataclass(frozen=True)
@@ -33,22 +35,23 @@ class Calendar:
 def calendar_of(sessions: DataFrame | Calendar) -> Calendar:
     if isinstance(sessions, Calendar):
         return sessions
-    table = sessions.select("session", "market_open", "market_close").orderBy("session").limit(MAX_SESSIONS + 1).toArrow()
-    if not 0 < table.num_rows <= MAX_SESSIONS:
-        raise ValueError(f"a calendar needs 1 to {MAX_SESSIONS} sessions")
+    rows = sessions.where(F.col("session").isNotNull()).select("session", "market_open", "market_close").distinct()
+    table = rows.orderBy("session").toArrow()
     days = table["session"].to_pylist()
+    if len(set(days)) < len(days):
+        raise ValueError("a calendar has two different rows for one session; pass the sessions of one exchange")
     ordinals = pa.array(range(1, len(days) + 1), pa.int64())
-    end = days[-1] + timedelta(days=1)
+    start, end = (days[0], days[-1] + timedelta(days=1)) if days else (NO_SESSIONS, NO_SESSIONS)
     spine, counts, position = [], [], 0
-    for offset in range((end - days[0]).days + 1):
-        day = days[0] + timedelta(days=offset)
+    for offset in range((end - start).days + 1):
+        day = start + timedelta(days=offset)
         spine.append(day)
         counts.append(position)
         position += position < len(days) and days[position] == day
     spark = sessions.sparkSession
     before = pa.table({"day": pa.array(spine, pa.date32()), "sessions_before": pa.array(counts, pa.int64())})
     return Calendar(
-        spark.createDataFrame(table.append_column("ordinal", ordinals)), spark.createDataFrame(before), days[0], end
+        spark.createDataFrame(table.append_column("ordinal", ordinals)), spark.createDataFrame(before), start, end
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.clocks import offset_instant, utc_text
 from ..functions.identity import sha256
 from ..functions.rules import violations
-from ..functions.text import AUTHORIZATION, MASK, SECRET_FIELD, redact_columns
+from ..functions.text import MASK, redact_columns
 from ..operators import documents as D
 from ..operators import versions as V
 from ..sources import adapters as A
@@ -91,14 +91,13 @@ def assessment_checks(spark, sf):
     return D.assessment_violations(rows)
 
 
-def _sql_text(pattern: str) -> str:
-    return pattern.replace("'", "''")
-
-
-@query(f"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{_sql_text(AUTHORIZATION)}', '\\1{MASK}', 'g'),
-  '{_sql_text(SECRET_FIELD)}', '\\1{MASK}', 'g') AS redacted FROM documents)
+# Stated here on its own: a header up to the end of its line or a quoted value, then named fields up to white space or a closing mark.
+@query(r"""WITH headers AS (SELECT doc_id, regexp_replace(text,
+    '(?im)(["\']?\bauthorization["\']?\s*[:=]\s*)(?:(?:"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\')|[^\r\n]+)', '\1[REDACTED]', 'g') AS text FROM documents),
+r AS (SELECT doc_id, regexp_replace(text, '(?i)(["\']?\b(?:[a-z0-9_]*(?:api_?(?:key|secret)|token|password)|secret)["\']?\s*[:=]\s*)' ||
+    '(?:(?:"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\')|\[REDACTED\]|[^\s,;}\]]+)', '\1[REDACTED]', 'g') AS redacted FROM headers)
 SELECT doc_id, sha256(redacted) AS redacted_sha256, length(redacted) AS n_chars,
-  CAST((length(redacted) - length(replace(redacted, '{MASK}', ''))) // {len(MASK)} AS INTEGER) AS masks FROM r""")
+  CAST((length(redacted) - length(replace(redacted, '[REDACTED]', ''))) // 10 AS INTEGER) AS masks FROM r""".replace("\\'", "''"))
 def redacted_text(spark, sf):
     docs = redact_columns(spread(driver_table(spark, sf, "documents").select("doc_id", "text")), ["text"])
     masks = F.regexp_count("text", F.lit(r"\[REDACTED\]"))
