@@ -9,7 +9,8 @@ Defined results: a null or empty text has no tokens and decodes to the empty tex
 columns are ignored; an empty table gives an empty result. Special tokens in a text are recognised as such.
 
 Plan: no shuffle. The automaton is compiled once on the driver and broadcast; its size depends on the vocabulary only (some
-25 MB for 49,000 tokens). Tasks cache words in a table of at most ``CACHE`` entries and digest long texts piece by piece.
+25 MB for 49,000 tokens). A Python process keeps one automaton per tokenizer, whichever broadcast it came by, and caches words
+in two tables of at most ``CACHE`` entries; long texts are digested piece by piece and batches are read row by row.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .bpe_automaton import Automaton, byte_symbols, load
 from .rows import text_or_empty
 
-CACHE = 400_000
+CACHE = 120_000
 PIECE = 20_000
 
 #: The word pattern of the file. Fixed value.
@@ -37,10 +39,36 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = regex.compile(r"[^\x1c-\x1fɐ-\U0010ffff]*+")
 
 
+#: Codecs of this process by the digest of their file.
+_LOADED: dict[str, Codec] = {}
+
+
+def _loaded(key: str, state: dict) -> Codec:
+    """The codec of this process; what came with the broadcast is only used the first time."""
+    if key not in _LOADED:
+        codec = Codec.__new__(Codec)
+        codec.__dict__.update(state)
+        codec._ready()
+        _LOADED.clear()
+        _LOADED[key] = codec
+    return _LOADED[key]
+
+
+def codec_of(tokenizer_json: str) -> Codec:
+    """The codec of a tokenizer file, compiled once per process."""
+    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+    if key not in _LOADED:
+        codec = Codec(tokenizer_json)
+        _LOADED.clear()
+        _LOADED[key] = codec
+    return _LOADED[key]
+
+
 class Codec:
     """Encodes and decodes texts; made on the driver, sent to the tasks by broadcast."""
 
     def __init__(self, tokenizer_json: str):
+        self.key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
         parts = load(tokenizer_json)
         shell = json.loads(tokenizer_json)
         shell["model"] = {"type": "BPE", "vocab": {}, "merges": []}
@@ -59,14 +87,11 @@ class Codec:
         self.bytes_to_symbols, self.words = dict(enumerate(byte_symbols())), regex.compile(PATTERN)
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}  # the table that was full before; words still in use move back
         self.splitter = None
 
-    def __getstate__(self):
-        return {"shell": self.shell, "added": self.added, "automaton": self.automaton}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._ready()
+    def __reduce__(self):
+        return _loaded, (self.key, {"key": self.key, "shell": self.shell, "added": self.added, "automaton": self.automaton})
 
     def _library_words(self, text: str) -> list[str]:
         """Words in byte symbols, split by the library."""
@@ -79,31 +104,35 @@ class Codec:
     def _entry(self, numbers: list[int]) -> tuple[int, str, str]:
         return len(numbers), " ".join(map(str, numbers)), self.decode(numbers)
 
-    def _word(self, symbols: str) -> tuple[int, str, str]:
-        """The entry of a word in byte symbols."""
-        found = self.cache.get(symbols)
+    def _word(self, word: str) -> tuple[int, str, str]:
+        """The entry of a word; one that starts with a blank is in byte symbols already."""
+        found = self.older.get(word)
         if found is None:
+            if word[0] == " ":
+                symbols = word[1:]
+            elif word.isascii() and word.isprintable():
+                symbols = word
+            else:
+                symbols = word.encode().decode("latin-1").translate(self.bytes_to_symbols)
             found = self._entry(self.automaton.encode(symbols))
-            if len(symbols) <= 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[symbols] = found
+        if len(word) <= 64:
+            if len(self.cache) >= CACHE:
+                self.older = dict(self.cache)
+                self.cache.clear()  # in place: ``entries`` holds on to its method
+            self.cache[word] = found
         return found
 
-    def _symbols(self, word: str) -> str:
-        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.bytes_to_symbols)
-
     def entries(self, text: str) -> Iterator[tuple[int, str, str]]:
         """(number of labels, labels as text, decoded text) of successive words."""
+        get, make = self.cache.get, self._word
         for part in self.cuts.split(text) if self.cuts and "<|" in text else (text,):
             if part in self.added:
                 yield self._entry([self.added[part]])
                 continue
             if PLAIN.fullmatch(part):
-                words = map(self._symbols, self.words.findall(part.lower()))
+                words = self.words.findall(part.lower())
             else:
-                words = self._library_words(part) if part else ()
-            get, make = self.cache.get, self._word
+                words = [" " + w for w in self._library_words(part)] if part else ()
             for word in words:
                 yield get(word) or make(word)
 
@@ -128,7 +157,7 @@ class Codec:
 def read_codec(docs: DataFrame, path: str):
     """The codec of a tokenizer file, as a broadcast variable."""
     with open(path, encoding="utf-8") as file:
-        return docs.sparkSession.sparkContext.broadcast(Codec(file.read()))
+        return docs.sparkSession.sparkContext.broadcast(codec_of(file.read()))
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -157,11 +186,13 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     codec = read_codec(docs, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec.value
         for batch in batches:
-            found = [own.digests(t) for t in batch.pop("text")]
-            yield batch.assign(n_tokens=[f[0] for f in found], ids_sha256=[f[1] for f in found], decoded_sha256=[f[2] for f in found])
+            found = [own.digests(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()),
+                 pa.array([f[2] for f in found], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return source.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

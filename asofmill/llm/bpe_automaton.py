@@ -14,6 +14,7 @@ Labels that end a word have no arcs behind them, so only the others have a row.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 
@@ -35,6 +36,15 @@ def _turned(bits: np.ndarray, width: int, step: int = 1024) -> np.ndarray:
     return np.vstack(strips)[:width]
 
 
+def _distinct(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different row once, in order of appearance, and the place of every row among them; compares 256-bit digests, so the
+    matrix is not copied for sorting."""
+    places: dict[bytes, int] = {}
+    of = np.array([places.setdefault(hashlib.sha256(row.tobytes()).digest(), len(places)) for row in bits], dtype=np.int64)
+    _, first = np.unique(of, return_index=True)
+    return bits[first], of
+
+
 @dataclass
 class Automaton:
     """``allowed[column[label], row[state] // 8]`` holds the bit; row ``start`` allows every label."""
@@ -85,16 +95,16 @@ class Automaton:
             bits[place[b], sa >> 3] &= 255 ^ (1 << (sa & 7))
             bits[alive] = bits[place[a]]
             alive += 1
-        columns, column_of = np.unique(bits, axis=0, return_inverse=True)
+        columns, column_of = _distinct(bits)
         del bits
-        rows, row_of = np.unique(_turned(columns, len(inner)), axis=0, return_inverse=True)
+        rows, row_of = _distinct(_turned(columns, len(inner)))
         everything = np.full((1, rows.shape[1]), 255, dtype=np.uint8)
         allowed = _turned(np.vstack([rows, everything]), len(columns))
         row = np.full(len(labels) + 1, -1)
-        row[inner] = np.ravel(row_of)
+        row[inner] = row_of
         row[-1] = len(rows)  # the start
         column = np.zeros(len(labels), dtype=np.int64)
-        column[order] = np.ravel(column_of)
+        column[order] = column_of
         return cls(labels, suffix, row.astype(np.int32), column.astype(np.int32), allowed,
                    max(len(t.removesuffix(suffix)) if suffix else len(t) for t in labels))._index()
 

@@ -44,7 +44,7 @@ POSITIVES = 2000
 NEGATIVES = 4000
 LONGEST = 200_000
 THRESHOLD = 0.7
-CACHE = 200_000
+CACHE = 100_000
 #: A window averages over at least so many features, so a few words alone stay near the bias.
 LEAST = 64
 #: Averages of thousands of features are small; the layer sees them times this factor.
