@@ -313,7 +313,7 @@ def immutable_conflicts(rows: DataFrame, keys: list[str], content: Column) -> Da
 def received_outside(pages: DataFrame, captures: DataFrame) -> DataFrame:
     """Pages received before their capture was requested or after it was finished."""
     return pages.join(captures.select("capture_id", "requested_at", "captured_at"), "capture_id").where(
-        ~F.col("received_at").between(F.col("requested_at"), F.col("captured_at"))
+        ~yes(F.col("received_at").between(F.col("requested_at"), F.col("captured_at")))
     )
 
 

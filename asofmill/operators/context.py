@@ -62,9 +62,10 @@ def item_rules() -> list[Rule]:
     kind = lambda *names: c("kind").isin(*names)
     rows = kind("observation", "feature")
     backtest = c("d_mode") == "backtest"
-    undeclared = ~F.array_contains("d_datasets", c("dataset_id"))
-    late = c("available_at") > c("d_decision")
-    ingested_late = ~backtest & (c("first_ingested_at") > c("d_decision"))
+    # Required properties: a missing id or clock breaks them.
+    undeclared = no(F.array_contains("d_datasets", c("dataset_id")))
+    late = no(c("available_at") <= c("d_decision"))
+    ingested_late = ~backtest & no(c("first_ingested_at") <= c("d_decision"))
     return [
         ("undeclared", rows & (c("listed").isNull() | undeclared)),
         ("not_yet_available", rows & (late | (c("session") >= c("d_execution")))),

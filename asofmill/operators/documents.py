@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import sha256
-from ..functions.rules import Rule, differs, has_duplicates, is_subset, violations
+from ..functions.rules import Rule, differs, has_duplicates, is_subset, no, violations
 from ..functions.text import characters
 
 
 def document_rules() -> list[Rule]:
     c = F.col
     return [
-        ("clock_order", ~((c("published_at") <= c("available_at")) & (c("available_at") <= c("first_ingested_at")))),
+        ("clock_order", no((c("published_at") <= c("available_at")) & (c("available_at") <= c("first_ingested_at")))),
         ("content_hash", differs(sha256(c("original_text")), c("content_sha256"))),
     ]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import Rule, differs, duplicate_keys, violations
+from ..functions.rules import Rule, differs, duplicate_keys, no, violations
 
 _MONEY = "decimal(34,8)"
 
@@ -95,8 +95,8 @@ def target_violations(targets: DataFrame, weights: DataFrame, contexts: DataFram
     )
     checked = F.coalesce(c("checked_at"), c("__c_decision_at"))
     rules = [
-        ("clock_order", ~((c("feature_cutoff") <= c("decision_at")) & (c("decision_at") < c("execution_at"))
-                          & (c("execution_at") < c("expires_at")))),
+        ("clock_order", no((c("feature_cutoff") <= c("decision_at")) & (c("decision_at") < c("execution_at"))
+                           & (c("execution_at") < c("expires_at")))),
         ("different_run", differs(c("run_id"), c("__c_run_id")) | differs(c("experiment_id"), c("__c_experiment_id"))),
         ("different_strategy", differs(c("strategy_name"), c("__c_strategy_name"))
          | differs(c("strategy_version"), c("__c_strategy_version"))),

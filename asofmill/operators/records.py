@@ -34,8 +34,8 @@ def feature_rules() -> list[Rule]:
     c = F.col
     return [
         ("duplicate_feature_name", R.has_duplicates(F.transform("values", lambda v: v["name"]))),
-        ("clock_order", (c("available_at") > c("computed_at")) | (c("adjusted_as_of") > c("computed_at"))),
-        ("session_after_availability", c("session") > exchange_date(c("available_at"))),
+        ("clock_order", no(c("available_at") <= c("computed_at")) | (c("adjusted_as_of") > c("computed_at"))),
+        ("session_after_availability", no(c("session") <= exchange_date(c("available_at")))),
     ]
 
 
@@ -47,7 +47,7 @@ def action_rules() -> list[Rule]:
         & c("pay_date").isNotNull() & (c("pay_date") >= c("effective_session"))
     )
     return [
-        ("clock_order", c("available_at") > c("first_ingested_at")),
+        ("clock_order", no(c("available_at") <= c("first_ingested_at"))),
         ("unknown_kind", no(c("kind").isin("split", "cash_dividend"))),
         ("split_fields", (c("kind") == "split") & no(split)),
         ("dividend_fields", (c("kind") == "cash_dividend") & no(dividend)),

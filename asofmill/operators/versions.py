@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.identity import table_digest, with_row_digest
 
 
-def dataset_identity(tables: dict[str, DataFrame]) -> DataFrame:
-    """One digest over named tables: the digest of each table, hashed together in name order."""
+def plan_record(plan) -> str:
+    """A plan (a dataclass) as one canonical text: sorted fields, dates and instants in ISO form."""
+    return json.dumps(asdict(plan), sort_keys=True, separators=(",", ":"), default=lambda value: value.isoformat())
+
+
+def dataset_identity(tables: dict[str, DataFrame], record: str = "") -> DataFrame:
+    """One digest over a record of the dataset and its named tables: the digest of each table, hashed together in name order."""
     parts = None
     for name in sorted(tables):
         part = table_digest(tables[name]).select(F.lit(name).alias("name"), "rows", "digest")
@@ -19,7 +26,7 @@ def dataset_identity(tables: dict[str, DataFrame]) -> DataFrame:
     line = F.concat_ws(":", "name", F.col("rows").cast("string"), "digest")
     # One row per table of the dataset.
     return parts.agg(
-        F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(line))), 256).alias("dataset_id"), F.sum("rows").alias("rows")
+        F.sha2(F.concat_ws("|", F.lit(record), F.array_sort(F.collect_list(line))), 256).alias("dataset_id"), F.sum("rows").alias("rows")
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import DIGEST
-from ..schemas import require
+from ..schemas import SchemaMismatch, require
 from ..session import pin
 
 
@@ -19,12 +19,15 @@ def driver_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return pin(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def parquet_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Scan with the declared columns; a table with other columns is refused before any row is read."""
-    found = pin(spark).read.parquet(path)
-    by_name = {f.name for f in schema}
-    stored = found.select(*[c for c in found.columns if c in by_name])
-    return require(stored, schema)
+def parquet_table(spark: SparkSession, path: str, schema: T.StructType, rows: int | None = None) -> DataFrame:
+    """Scan with exactly the declared columns; a table with other columns is refused before any row is read.
+
+    With ``rows``, the count of a manifest, a table of another size is refused too (a count reads file footers only).
+    """
+    found = require(pin(spark).read.parquet(path), schema)
+    if rows is not None and (stored := found.count()) != rows:
+        raise SchemaMismatch(f"expected {rows} rows, found {stored}")
+    return found
 
 
 def snapshot_table(spark: SparkSession, root: str, table: str, dataset_id: str) -> DataFrame:

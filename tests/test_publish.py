@@ -101,3 +101,38 @@ def test_capture_files_and_text_tables(spark, tmp_path):
     assert R.csv_table(spark, str(tmp_path / "f.csv"), schemas.FEATURES_CSV).first()["feature_close"] == 105
     (tmp_path / "u.json").write_text('[{"symbol": "A", "exchange": "X", "listed_on": "2024-01-01", "delisted_on": null}]')
     assert R.json_table(spark, str(tmp_path / "u.json"), schemas.UNIVERSE, multi_line=True).first()["symbol"] == "A"
+
+
+def test_a_changed_plan_is_another_version(spark, tmp_path):
+    first = _publish(spark, str(tmp_path))
+    assert _publish(spark, str(tmp_path), limitations=("synthetic_data", "fixed_declared_universe")) != first
+
+
+def test_impossible_records_are_refused(spark, tmp_path):
+    rows = T.bar_rows()
+    rows[2]["low"] = T.D("999")
+    with pytest.raises(W.QualityRejected, match="unsupported_records bars.price_order x1"):
+        _publish(spark, str(tmp_path / "x"), rows)
+    assert not (tmp_path / "x").exists()
+
+
+def test_extra_columns_and_other_row_counts_are_refused(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    W.write_table(T.bars(spark).drop("arrival"), path)
+    assert R.parquet_table(spark, path, schemas.BARS, rows=6).count() == 6
+    with pytest.raises(schemas.SchemaMismatch):
+        R.parquet_table(spark, path, schemas.BARS, rows=7)
+    W.write_table(T.bars(spark).drop("arrival").withColumn("more", F.lit(1)), str(tmp_path / "more"))
+    with pytest.raises(schemas.SchemaMismatch):
+        R.parquet_table(spark, str(tmp_path / "more"), schemas.BARS)
+
+
+def test_a_stored_capture_is_not_replaced(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    pages = T.pages_frame(spark, T.bar_pages())
+    W.write_table(pages, path)
+    stored = spark.read.schema(pages.schema).parquet(path)
+    W.append_captures(pages, stored, path)
+    with pytest.raises(W.CaptureConflict, match="c"):
+        W.append_captures(pages.withColumn("body", F.concat("body", F.lit(" "))), stored, path)
+    assert spark.read.parquet(path).count() == 4
