@@ -437,3 +437,15 @@ def test_license_spellings(spark):
     docs = [(1, "The MIT Licence (MIT)\n\nCopyright (c) 2020 Somebody\n\n" + mit.upper()), (2, "x\n(C) me\nLicensed under  CC-BY 4.0\n"), (3, mit + " more"), (4, None)]
     found = {(r.doc_id, r.unit, r.line, r.license) for r in license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found == {(1, "text", 0, "MIT"), (2, "line", 3, "CC-BY-4.0")}
+
+
+@pytest.fixture(scope="module")
+def driver_tables():
+    from ..compare import connect
+
+    return connect(FOLDER)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_driver_tables_against_sql(spark, driver_tables, name):
+    assert compare(spark, driver_tables, QUERIES[name], ORACLES[name], FOLDER) == ""
