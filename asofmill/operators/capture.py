@@ -279,6 +279,28 @@ def page_completeness(pages: DataFrame, expected: DataFrame, keys: list[str], co
     return joined.select(*keys, status.alias("status"))
 
 
+def page_chain(pages: DataFrame, chain: list[str]) -> DataFrame:
+    """Pages of paged queries against the tokens that lead from one to the next: (chain, seq, status).
+
+    ``pages`` has the chain's columns, seq (from 0), requested_token and token, the latter null on the last page. Page n + 1 has
+    to ask with the token page n returned. A page that a token promised and nobody recorded appears with its number.
+    """
+    promised = pages.select(*chain, (F.col("seq") + 1).alias("seq"), F.col("token").alias("__want"), F.lit(True).alias("__before"))
+    copies = repeated_pages(pages.where(F.col("token").isNotNull()), chain, F.col("token")).select(
+        *chain, F.col("fingerprint").alias("token"), F.lit(True).alias("__again"))
+    recorded = pages.select(*chain, "seq", "requested_token", "token", F.lit(True).alias("__recorded")).join(copies, [*chain, "token"], "left")
+    status = (
+        F.when(F.col("__recorded").isNull(), "incomplete_capture")
+        .when((F.col("seq") > 0) & F.col("__before").isNull(), "incomplete_capture")
+        .when((F.col("seq") > 0) & F.col("__want").isNull(), "extra_capture_pages")
+        .when(differs(F.col("requested_token"), F.col("__want")), "capture_request_mismatch")
+        .when(yes(F.col("__again")), "repeated_token")
+        .otherwise("ok")
+    )
+    joined = recorded.join(promised, [*chain, "seq"], "full_outer")
+    return joined.where(F.col("__recorded").isNotNull() | F.col("__want").isNotNull()).select(*chain, "seq", status.alias("status"))
+
+
 def cache_status(requests: DataFrame, receipts: DataFrame, captures: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Whether a request can be answered from its receipt: the receipt, capture and snapshot have to agree."""
     joined = (

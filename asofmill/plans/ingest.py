@@ -254,3 +254,25 @@ def limitation_tags(spark, sf):
     origin = F.when(key % 2 == 0, "synthetic").otherwise("historical")
     feed = F.when(key % 3 == 0, "iex").otherwise("sip")
     return driver_table(spark, sf, "nation").select(key, C.limitation_tags(origin, feed).alias("limitations"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn AS seq,
+    CASE WHEN conv_id % 7 = 0 AND turn = 2 THEN 'x' WHEN turn > 0 THEN 'n' || turn END AS requested,
+    CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN NULL WHEN conv_id % 13 = 0 AND turn = 2 THEN 'n2' ELSE 'n' || (turn + 1) END AS token
+  FROM conversations WHERE NOT (conv_id % 11 = 0 AND turn = 1)),
+again AS (SELECT conv_id, token FROM p WHERE token IS NOT NULL GROUP BY conv_id, token HAVING count(*) > 1)
+SELECT p.conv_id, CAST(p.seq AS BIGINT) AS seq, CASE WHEN p.seq > 0 AND b.conv_id IS NULL THEN 'incomplete_capture'
+  WHEN p.seq > 0 AND b.token IS NULL THEN 'extra_capture_pages' WHEN p.requested IS DISTINCT FROM b.token THEN 'capture_request_mismatch'
+  WHEN again.token IS NOT NULL THEN 'repeated_token' ELSE 'ok' END AS status
+FROM p LEFT JOIN p b ON b.conv_id = p.conv_id AND b.seq + 1 = p.seq LEFT JOIN again ON again.conv_id = p.conv_id AND again.token = p.token
+UNION ALL SELECT b.conv_id, CAST(b.seq + 1 AS BIGINT), 'incomplete_capture' FROM p b
+WHERE b.token IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p WHERE p.conv_id = b.conv_id AND p.seq = b.seq + 1)""")
+def page_chain(spark, sf):
+    conv, turn = c("conv_id"), c("turn")
+    numbered = lambda n: F.concat(F.lit("n"), n.cast("string"))
+    pages = driver_table(spark, sf, "conversations").where(~((conv % 11 == 0) & (turn == 1))).select(
+        "conv_id", turn.cast("bigint").alias("seq"),
+        F.when((conv % 7 == 0) & (turn == 2), "x").when(turn > 0, numbered(turn)).alias("requested_token"),
+        F.when((conv % 5 == 0) & (turn == 1), F.lit(None)).when((conv % 13 == 0) & (turn == 2), "n2").otherwise(numbered(turn + 1)).alias("token"),
+    )
+    return C.page_chain(pages, ["conv_id"])
