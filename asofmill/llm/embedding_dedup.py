@@ -45,6 +45,20 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _list_sizes(units: DataFrame, model, probes: int) -> DataFrame:
+    """(list, n, own): how many vectors visit and live in each list, as partial counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres = model.value.centres
+        for batch in batches:
+            if len(batch):
+                near = nearest(unit(np.stack(batch["vector"].to_numpy())), centres, min(probes, len(centres)))
+                yield pd.DataFrame({"list": np.arange(len(centres)), "n": np.bincount(near.ravel(), minlength=len(centres)),
+                                    "own": np.bincount(near[:, 0], minlength=len(centres))})
+
+    return units.select("vector").mapInPandas(run, "list long, n long, own long")
+
+
 def _indexed(units: DataFrame, model, probes: int, chunks: dict[int, tuple[int, int]]) -> DataFrame:
     """(cell, rid, copies, list, probes, vector, here): a vector in the cells of its own list and of those it visits."""
 
@@ -56,7 +70,7 @@ def _indexed(units: DataFrame, model, probes: int, chunks: dict[int, tuple[int,
             rows = unit(np.stack(batch["vector"].to_numpy()))
             near = nearest(rows, quantiser.centres, min(probes, len(quantiser.centres)))
             spread = batch["rid"].to_numpy(dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            near_lists = list(np.sort(near, axis=1))
+            near_lists, vectors = list(np.sort(near, axis=1)), list(batch["vector"])
             for column in range(near.shape[1]):
                 lists = near[:, column]
                 for one in np.unique(lists):
@@ -72,7 +86,7 @@ def _indexed(units: DataFrame, model, probes: int, chunks: dict[int, tuple[int,
                                 yield pd.DataFrame({
                                     "cell": (int(one) << 24) + i * down + j, "rid": batch["rid"].to_numpy()[part],
                                     "copies": batch["copies"].to_numpy()[part], "list": near[part, 0],
-                                    "probes": [near_lists[p] for p in part], "vector": [batch["vector"].iloc[p] for p in part],
+                                    "probes": [near_lists[p] for p in part], "vector": [vectors[p] for p in part],
                                     "here": here[here | guest], "guest": guest[here | guest]})
 
     return units.select("rid", "copies", "vector").mapInPandas(
@@ -127,9 +141,9 @@ def _linked_units(units: DataFrame, threshold: float, probes: int, sample: int,
     lists = max(1, min(LISTS, count // per_list, len(drawn) // 8))
     model = units.sparkSession.sparkContext.broadcast(Quantiser.train(unit(np.stack(drawn["vector"].to_numpy())), lists))
     # Residents and visitors per list; the number of lists is bounded.
-    sizes = _indexed(units, model, probes, {}).groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("here").cast("int")).alias("own")).where(F.col("n") > cell).collect()
-    chunks = {r.cell >> 24: (max(1, -(-r.own // cell)), -(-r.n // cell)) for r in sizes}
+    sizes = _list_sizes(units, model, probes).groupBy("list").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).where(
+        F.col("n") > cell).collect()
+    chunks = {r.list: (max(1, -(-r.own // cell)), -(-r.n // cell)) for r in sizes}
     return _indexed(units, model, probes, chunks).groupBy("cell").applyInPandas(_cell(model, threshold), "rid long, links long, root long")
 
 
