@@ -41,7 +41,7 @@ DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 WINDOW = 16
 POSITIVES = 2000
-NEGATIVES = 4000
+NEGATIVES = 3000
 LONGEST = 200_000
 THRESHOLD = 0.7
 CACHE = 100_000
