@@ -1,4 +1,9 @@
-"""Texts of well-known licences and short notices. Fixed values."""
+"""Texts of well-known licences and short notices. Fixed values.
+
+Full texts are the files of the folder ``licenses``, each named by its identifier; the driver reads them once.
+"""
+
+from pathlib import Path
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
 files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
@@ -64,3 +69,23 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 ]
+
+
+def _cut(text: str, start: str, end: str) -> str:
+    return text[text.index(start):text.index(end, text.index(start)) + len(end)]
+
+
+_FULL = {path.stem: path.read_text(encoding="utf-8") for path in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+_END = "END OF TERMS AND CONDITIONS"
+_GPL_3 = _cut(_FULL["GPL-3.0"], "This program is free software:", "<https://www.gnu.org/licenses/>.")
+
+#: Full texts, the same without the appendix on how to apply them, and the notices for files these appendices give.
+KNOWN += [*_FULL.items()]
+KNOWN += [(name, text[:text.index(_END)] + end) for name, text in _FULL.items() if _END in text for end in ("", _END)]
+KNOWN += [
+    ("GPL-2.0-or-later", _cut(_FULL["GPL-2.0"], "This program is free software;", "02110-1301 USA.")),
+    ("GPL-3.0-or-later", _GPL_3),
+    ("AGPL-3.0-or-later", _GPL_3.replace("GNU General", "GNU Affero General")),
+    ("LGPL-2.1-or-later", _cut(_FULL["LGPL-2.1"], "This library is free software;", "02110-1301  USA")),
+    ("MPL-2.0", _cut(_FULL["MPL-2.0"], "This Source Code Form is subject", "http://mozilla.org/MPL/2.0/.")),
+]
