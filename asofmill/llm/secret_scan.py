@@ -1,6 +1,7 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of at least ``SHORTEST`` characters of keys and digests that holds a digit. The forest sees its length,
+A candidate is a run of at least ``SHORTEST`` characters of keys and digests, or any value assigned to a secret-like name, of any
+length and characters; in quotes it may hold blanks (up to ``PHRASE`` characters, else its first word). The forest sees its length,
 transitions between kinds of characters, coverage by dictionary words, its neighbouring words and the path it was found under; it
 is trained from labelled findings.
 
@@ -30,6 +31,7 @@ from .rows import SPACE, text_or_empty
 
 SHORTEST = 16
 SHAPE = r"[A-Za-z0-9_+/=\-]{16,}"
+PHRASE = 200
 TRAINING = 20_000
 TREES = 24
 DEPTH = 6
@@ -45,6 +47,22 @@ DICTIONARY = ("the and for with this that from have will your about which their
               "version release build module package class function method return string object list array map set key token secret "
               "password http https www com org net html json xml image video audio content title page link home search").split()
 
+_QUOTE = "[\"'`]"
+#: A secret-like name with the rest of its word, and what stands between a name and its value.
+_NAMED = rf"(?i)(?:{SECRET_NAMES})[\w.\-]*[\"'`\]]*"
+_ASSIGN = "[:=]+>?"
+
+
+def _value(before: Column, here: Column, rest: Column) -> Column:
+    """The value in the word ``here`` assigned to a secret-like name in this word or in the two ``before``; else an empty string."""
+    inside, ahead = rf"{_NAMED}{_ASSIGN}(.+)$", rf"^{_ASSIGN}(.+)$"
+    raw = F.when(here.rlike(inside), F.regexp_extract(here, inside, 1)).when(
+        before.rlike(rf"{_NAMED}$") & here.rlike(ahead), F.regexp_extract(here, ahead, 1)).when(
+        before.rlike(rf"{_NAMED} ?{_ASSIGN}$") & ~here.rlike(rf"^{_ASSIGN}$"), here).otherwise("")
+    quoted = F.regexp_extract(F.concat_ws(" ", raw, rest), rf"^({_QUOTE})(.{{1,{PHRASE}}}?)\1", 2)
+    bare = F.regexp_replace(raw, rf"^{_QUOTE}|(?:{_QUOTE}|[;,])+$", "")
+    return F.when(raw.rlike(f"^{_QUOTE}") & (quoted != ""), quoted).otherwise(bare)
+
 
 def _share(part: Column, length: Column) -> Column:
     return part.cast("double") / length
@@ -57,14 +75,24 @@ def _matches(column: Column, pattern: str) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(doc_id, path, word, before2, before, after, candidate, ordinal); word counts from 1."""
     words = F.split(text_or_empty(text_col), SPACE + "+")
-    source = docs.where(F.col(text_col).rlike(SHAPE)).select(
+    source = docs.where(F.col(text_col).rlike(SHAPE) | F.col(text_col).rlike(rf"{_NAMED}{SPACE}*[:=]")).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), words.alias("words"))
-    hit = F.filter(F.sequence(F.lit(1), F.size("words")), lambda n: (F.length(F.get("words", n - 1)) >= SHORTEST) & F.get("words", n - 1).rlike(SHAPE))
+
+    def possible(n: Column) -> Column:
+        here, before = F.get("words", n - 1), F.coalesce(F.get("words", n - 2), F.lit(""))
+        return ((F.length(here) >= SHORTEST) & here.rlike(SHAPE)) | here.rlike("[:=].") | before.rlike(f"{_ASSIGN}$")
+
+    hit = F.filter(F.sequence(F.lit(1), F.size("words")), possible)
     placed = source.select("*", F.explode(hit).alias("word")).select(
         "doc_id", "path", "word", F.get("words", F.col("word") - 3).alias("before2"), F.get("words", F.col("word") - 2).alias("before"),
-        F.get("words", F.col("word") - 1).alias("here"), F.get("words", F.col("word")).alias("after"))
-    found = placed.select("*", F.posexplode(F.regexp_extract_all("here", F.lit(f"({SHAPE})"), 1)).alias("ordinal", "candidate"))
-    return found.where(F.col("candidate").rlike("[0-9]"))
+        F.get("words", F.col("word") - 1).alias("here"), F.get("words", F.col("word")).alias("after"),
+        # A word has a character at least, so these hold all of a quoted phrase.
+        F.array_join(F.slice("words", F.col("word") + 1, PHRASE), " ").alias("rest"))
+    runs = F.regexp_extract_all("here", F.lit(f"({SHAPE})"), 1)
+    value = _value(F.concat_ws(" ", "before2", "before"), F.col("here"), F.col("rest"))
+    both = placed.withColumn("runs", runs).withColumn("value", value)
+    every = F.when((F.col("value") == "") | F.array_contains("runs", F.col("value")), F.col("runs")).otherwise(F.concat("runs", F.array("value")))
+    return both.select("doc_id", "path", "word", "before2", "before", "here", "after", F.posexplode(every).alias("ordinal", "candidate"))
 
 
 def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
