@@ -14,7 +14,7 @@ features; without labelled findings of both classes nothing is removed (score nu
 empty table gives an empty result.
 
 Plan (DataFrame functions and Spark's own forest): texts are split and searched in one pass without shuffle, and the candidates,
-a small table, are written; training takes at most ``TRAINING`` of them by hash, scoring all.
+a small table, are written; training takes at most ``TRAINING`` distinct ones of them by hash, scoring all.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ def secret_scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str
     found, names = features(candidates(docs, id_col, text_col, path_col))
     found = staged(found, "secret-candidates")
     known = features(labelled)[0] if labelled is not None else found.withColumn("label", strict_label())
-    known = known.where(F.col("label").isin(0, 1)).select(*names, F.col("label").cast("double").alias("label"), "candidate")
+    known = known.where(F.col("label").isin(0, 1)).select(*names, F.col("label").cast("double").alias("label"), "candidate").distinct()
     # The bound of the training sample; half of it is kept for each class.
     sample = staged(known.where("label = 1").orderBy(F.xxhash64("candidate")).limit(training // 2).unionAll(
         known.where("label = 0").orderBy(F.xxhash64("candidate")).limit(training // 2)).drop("candidate"), "secret-training")

@@ -20,3 +20,13 @@ def test_forest_judges_short_secrets(spark):
     more = spark.createDataFrame([(-1, 'password = "Sommer2024!"', "web")], "doc_id long, text string, source string")
     judged = [r.secret for r in secret_scan.secret_scan(docs.unionByName(more)).where("doc_id = -1").collect()]
     assert judged == [True]
+
+
+def test_training_sample_has_no_copies(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(secret_scan, "staged", lambda df, label: kept.setdefault(label, df))
+    texts = ['token = "x9K2mLq8Zt4Rv7Wy1B"'] * 30 + [f'token = "x9K2mLq8Zt4Rv7Wy{"q" * n}"' for n in range(1, 8)] + [f"sha {n}4699065906345690" for n in range(1, 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", secret_scan.F.lit("src"))
+    secret_scan.secret_scan(docs, training=10)
+    sample = [tuple(r) for r in kept["secret-training"].where("label = 1").collect()]
+    assert len(sample) == 5 and len(set(sample)) == 5
