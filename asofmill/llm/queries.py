@@ -10,6 +10,7 @@ from ..session import pin
 from .bpe import encode_digests
 from .embedding_dedup import embedding_links
 from .exact_dedup import exact_dedup
+from .lexical_search import lexical_top
 from .license_scan import license_scan
 from .license_texts import KNOWN
 from .mixing import mix
@@ -18,6 +19,7 @@ from .sharding import sharded
 from .simhash import simhash_components
 from .toxicity import toxicity_scores
 from .url_filter import filtered
+from .vector_search import nearest_neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,6 +187,55 @@ def op10_bpe_encode_decode(spark, sf_dir):
     return encode_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: Upper and lower case of the letters that terms fold. Fixed values.
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@_query(r"""
+WITH held AS (
+    SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, """ + _FOLD + r"""), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents WHERE text IS NOT NULL
+), sized AS (SELECT d, doc_id, len(terms) AS n FROM held WHERE len(terms) > 0
+), corpus AS (SELECT count(*) AS docs, sum(n)::bigint AS size FROM sized
+), occurring AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM held) GROUP BY d, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * (SELECT docs FROM corpus) + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM occurring GROUP BY term
+), items AS (SELECT row_number() OVER () AS i, item_id, text FROM benchmark
+), asked AS (
+    SELECT i, item_id, term, count(*) AS times
+    FROM (SELECT i, item_id, unnest(regexp_extract_all(translate(text, """ + _FOLD + r"""), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items)
+    GROUP BY i, item_id, term
+), scored AS (
+    SELECT a.i, a.item_id, s.doc_id,
+        sum(a.times * w.w * ((1000000000 * o.tf) // (1000 * o.tf + 12 * (75 + (25 * s.n * c.docs) // c.size))))::bigint AS score
+    FROM asked a JOIN weights w USING (term) JOIN occurring o USING (term) JOIN sized s ON s.d = o.d, corpus c
+    GROUP BY a.i, a.item_id, o.d, s.doc_id
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank::int AS rank, doc_id, score FROM ranked WHERE rank <= 20
+""")
+def op11_lexical_search(spark, sf_dir):
+    return lexical_top(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("""
+WITH vectors AS (
+    SELECT row_number() OVER () AS n, vec_id, embedding::double[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+    SELECT q.n, q.vec_id AS query_id, c.vec_id,
+        list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score
+    FROM vectors q JOIN vectors c ON q.n <> c.n AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored)
+SELECT query_id, rank::int AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""")
+def op12_nearest_neighbours(spark, sf_dir):
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
