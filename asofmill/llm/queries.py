@@ -14,6 +14,7 @@ from .lexical_search import lexical_top
 from .license_scan import license_scan
 from .license_texts import KNOWN
 from .mixing import mix
+from .prefix_trie import conversation_trie
 from .secret_scan import secret_scan
 from .sharding import sharded
 from .simhash import simhash_components
@@ -236,6 +237,39 @@ def op12_nearest_neighbours(spark, sf_dir):
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+@_query("""
+WITH ordered AS (
+    SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), steps AS (  -- CRC-32: a byte, then eight shifts
+    SELECT c, turns, list_prepend(4294967295, flatten(list_transform(string_split(c::varchar, ''), lambda s: list_concat([ascii(s)::bigint], [-1, -1, -1, -1, -1, -1, -1, -1])))) AS todo
+    FROM ordered
+), hashed AS (
+    SELECT c, turns, xor(list_reduce(todo, lambda v, s: CASE WHEN s >= 0 THEN xor(v, s) WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END), 4294967295) % 9 AS h
+    FROM steps
+), rebuilt AS (
+    SELECT a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns
+    FROM hashed a LEFT JOIN ordered b ON b.c = a.c - a.c % 5
+), paths AS (
+    SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt
+), nodes AS (
+    SELECT d, turns[1:d] AS path, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::varchar, ',' ORDER BY c) FILTER (d = len(turns)), '')) AS ends_sha256
+    FROM paths GROUP BY d, turns[1:d]
+), linked AS (
+    SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes k WHERE k.d = n.d + 1 AND k.path[1:n.d] = n.path) AS n_children
+    FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+), rolled AS (
+    SELECT v.d, v.path, sum((u.n_children = 0)::int)::bigint AS n_leaves,
+        sum(CASE WHEN u.d = 0 THEN 0 ELSE (u.n_convs - 1) * strlen(u.path[u.d].t) END)::bigint AS saved_tokens
+    FROM linked v JOIN linked u ON u.d >= v.d AND u.path[1:v.d] = v.path GROUP BY v.d, v.path
+)
+SELECT l.conv_id, l.d AS depth, l.parent_conv_id, l.n_convs, l.n_children, r.n_leaves, r.saved_tokens, l.ends_sha256
+FROM linked l JOIN rolled r ON r.d = l.d AND r.path = l.path
+""")
+def op13_conversation_trie(spark, sf_dir):
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
