@@ -215,7 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = F.broadcast(chosen[0].unionAll(chosen[1]))  # at most positives + negatives rows
     found = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where(
         F.length("text") <= longest).join(sample, F.col("id") == F.col("label_id")).select("id", "label", "text")
-    rows = found.limit(positives + negatives).toArrow().to_pandas()
+    # Of rows that repeat an id the least text is taken, so at most positives + negatives rows arrive and reruns agree.
+    rows = found.groupBy("id", "label").agg(F.min("text").alias("text")).toArrow().to_pandas()
     # The order decides which rows are kept back; it must depend on nothing but the rows.
     rows = rows.assign(place=[zlib.crc32(f"{i}/fold".encode()) for i in rows["id"]]).sort_values(["place", "id", "text"])
     taken = int((rows["label"] == 0).sum())
@@ -223,29 +224,95 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(list(rows["text"]), rows["label"].to_numpy(), max(1.0, behind), **training)
 
 
-def text_scores(table: np.ndarray, bias: float, texts, sums: dict[str, tuple[float, int]], window: int = WINDOW) -> np.ndarray:
-    """Scores of texts; ``sums`` caches the sum and the number of features per word."""
-    out = np.empty(len(texts))
-    for n, text in enumerate(texts):
-        found = []
-        for word in words(text):
-            entry = sums.get(word)
-            if entry is None:
-                at = features(word, len(table))
-                entry = (float(table[at].sum()), len(at))
-                if len(sums) >= CACHE:
-                    sums.clear()
-                if len(word) <= 64:
-                    sums[word] = entry
-            found.append(entry)
-        if not found:
-            out[n] = bias
-            continue
-        running = np.concatenate((np.zeros((1, 2)), np.cumsum(np.array(found, dtype=np.float64), axis=0)))
-        starts, ends = window_edges(len(found), window)
-        part = running[ends] - running[starts]
-        out[n] = (part[:, 0] / np.maximum(LEAST, part[:, 1])).max() + bias
-    return _probability(out)
+#: Table sums are whole multiples of one part in FINE, so a sum does not depend on what was added before it.
+FINE = 1 << 32
+#: Characters of the texts that are scored together.
+CHUNK = 1 << 21
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, np.uint32(0xEDB88320) ^ (table >> 1), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def _char_steps(points: np.ndarray) -> list[np.ndarray]:
+    """The UTF-8 bytes of code points, first bytes first; 256 where a point has fewer."""
+    size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    lead = np.choose(size - 1, [points, 0xC0 | points >> 6, 0xE0 | points >> 12, 0xF0 | points >> 18])
+    steps = [lead]
+    for n in range(1, int(size.max(initial=1))):
+        # The n-th byte after the first holds six bits.
+        steps.append(np.where(size > n, 0x80 | (points >> (6 * np.maximum(0, size - 1 - n)) & 63), 256))
+    return steps
+
+
+def word_sums(words_: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the table over the features of each word, and their number: ``features`` for many words at once."""
+    lengths = np.fromiter(map(len, words_), np.int64, len(words_)) + 2
+    steps = _char_steps(np.frombuffer("".join(f"<{w}>" for w in words_).encode("utf-32-le"), dtype=np.uint32).astype(np.int64))
+    ends = np.cumsum(lengths)
+    room, whole = np.repeat(ends, lengths) - np.arange(ends[-1]), np.repeat(lengths, lengths)
+    state, found, counts = np.full(ends[-1], 0xFFFFFFFF, np.uint32), np.zeros(ends[-1], np.int64), np.ones(len(words_), np.int64)
+    for n in range(1, max(GRAMS) + 1):
+        state = state[:len(state) - (n > 1)]  # a gram that starts here has its n-th character n - 1 places on
+        for step in steps:
+            byte = step[n - 1:]
+            after = _CRC[(state ^ byte.astype(np.uint32)) & np.uint32(255)] ^ (state >> np.uint32(8))
+            state = after if step is steps[0] else np.where(byte < 256, after, state)
+        if n in GRAMS:
+            inside = np.nonzero((room[:len(state)] >= n) & (whole[:len(state)] > n))[0]
+            found[inside] += table[(state[inside] ^ np.uint32(0xFFFFFFFF)) % np.uint32(len(table))]
+            counts += np.where(lengths > n, lengths - n + 1, 0)
+    own = np.fromiter((zlib.crc32(f"<{w}>".encode()) % len(table) for w in words_), np.int64, len(words_))
+    return np.add.reduceat(found, ends - lengths) + table[own], counts
+
+
+class Scorer:
+    """Scores texts in batches; every distinct word of a batch is looked up once and kept for the next ones."""
+
+    def __init__(self, table: np.ndarray, bias: float, window: int = WINDOW):
+        self.table, self.bias, self.window = np.rint(table * FINE).astype(np.int64), bias, window
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.sums, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _chunk(self, texts: list[str]) -> np.ndarray:
+        if len(self.numbers) > CACHE:
+            self._forget()
+        found, numbers = [WORDS.findall(t.lower()) for t in texts], self.numbers
+        new = list(dict.fromkeys(w for text in found for w in text if w not in numbers))
+        if new:
+            numbers.update(zip(new, range(len(numbers), len(numbers) + len(new))))
+            sums, counts = word_sums(new, self.table)
+            self.sums, self.counts = np.concatenate((self.sums, sums)), np.concatenate((self.counts, counts))
+        out, look = np.full(len(texts), self.bias), numbers.__getitem__
+        for n, text in enumerate(found):
+            if not text:
+                continue
+            at = np.fromiter(map(look, text), np.int64, len(text))
+            at = at[np.concatenate(([True], at[1:] != at[:-1]))]  # a word that follows itself counts once
+            starts, ends = window_edges(len(at), self.window)
+            total, count = (np.concatenate(([0], np.cumsum(x[at]))) for x in (self.sums, self.counts))
+            out[n] += ((total[ends] - total[starts]) / FINE / np.maximum(LEAST, count[ends] - count[starts])).max()
+        return out
+
+    def score(self, texts) -> np.ndarray:
+        """Probability of label 1 per text."""
+        parts, waiting, size = [np.empty(0)], [], 0
+        for text in texts:
+            waiting.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                parts.append(self._chunk(waiting))
+                waiting, size = [], 0
+        return _probability(np.concatenate([*parts, self._chunk(waiting)]))
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", window: int = WINDOW) -> DataFrame:
@@ -254,9 +321,9 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        (table, bias), sums = shared.value, {}
+        scorer = Scorer(*shared.value, window)
         for texts in batches:
-            yield pd.Series(text_scores(table, bias, texts, sums, window))
+            yield pd.Series(scorer.score(texts))
 
     return docs.withColumn(score_col, run(text_or_empty(text_col)))
 

@@ -37,6 +37,14 @@ def edge(spark, tmp_path_factory):
                (8, [inf, 1.0, 0.0]), (9, [None, 1.0, 0.0]), (10, [1.0, 0.0, 0.0]), (10, [1.0, 0.0, 0.0]), (11, [1.0, 0.0]), (12, [2e30, 1e29, 0.0]), (None, [0.0, 0.99, 0.01]),
                (13, [-1.0, 0.0, 0.0])]
     spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    items = [(1, "Alpha BETA beta one"), (2, None), (3, ""), (4, "x漢字 漢字 Σας repeat words"), (1, "xyz alpha x y z"), (None, "two words id here"), (5, "nowhere to be found")]
+    spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit("clash") for c in ("terms", "row", "doc_id", "rank", "n")}).write.parquet(f"{folder}/benchmark.parquet")
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, None, None, None), (0, 2, "user", "é" * 50), (1, 0, "user", "own"), (1, 1, "user", "own"), (2, 5, "user", "hi"),
+             (2, 5, "bot", "tie"), (2, 5, "bot", "a tie"), (2, 5, "bot", "a tie"), (3, 1, "", ""), (4, 0, "user", "hi"), (9, 0, "user", "base is missing"), (9, 1, "user", "x"), (11, 0, "a", "b"),
+             (11, 1, "a", "bc"), (12, 0, "ab", ""), (None, 0, "user", "belongs to none"), (-3, 0, "user", "below zero"), (7, 0, "x", LONG), (8, 0, "x", LONG), (8, 3, "x", "y")]
+    turns += [(c, t, "user", f"turn {t}") for c in (20, 21, 22, 30) for t in range(12 + c % 3)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns(
+        {c: F.lit("clash") for c in ("c", "d", "pos", "k1", "bytes", "h", "tie")}).write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
@@ -44,6 +52,6 @@ def edge(spark, tmp_path_factory):
 def empty(spark, tmp_path_factory, edge):
     """The same tables without rows."""
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "pages", "embeddings"):
+    for name in ("documents", "labels", "pages", "embeddings", "benchmark", "conversations"):
         spark.read.parquet(f"{edge}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder

@@ -15,6 +15,7 @@ from asofmill.llm import bpe, exact_dedup, license_scan, mixing, queries, secret
 from asofmill.llm.components import stars
 from asofmill.llm.embedding_dedup import embedding_links
 from asofmill.llm.rows import keep_rows
+from asofmill.llm.toxicity import features
 
 from ..compare import compare
 from .conftest import LONG, edge_documents
@@ -54,7 +55,7 @@ def union_find(size, pairs):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_edge_tables_against_sql(spark, edge, name):
     con = duckdb.connect()
-    for table in ("documents", "labels", "pages", "embeddings"):
+    for table in ("documents", "labels", "pages", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{edge}/{table}.parquet/*.parquet')")
     if name == "op8_exact_dedup":  # SQL has no rule for rows that repeat an id or have none; see test_exact_dedup
         con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('" + edge + "/documents.parquet/*.parquet') WHERE doc_id NOT IN (9, 17)")
@@ -191,6 +192,23 @@ def test_keep_rows_never_multiplies(spark):
 
 # toxicity
 
+def test_scores_are_those_of_plain_windows():
+    """Every window of a text summed by itself, from the features of its words."""
+    table = np.random.default_rng(2).normal(size=1 << 12)
+    texts = [t for _, t, _ in documents(FOLDER)[:40]] + ["", " ", "a", "a a a b", "日本語 𝒳𝒴abc é <|x|> Straße İ", "<>", "ab" * 100, "x y " * 3000]
+    plain = []
+    for text in texts:
+        found = [features(w, len(table)) for w in toxicity.words(text)]
+        edges = zip(*toxicity.window_edges(len(found), toxicity.WINDOW))
+        windows = [[g for word in found[a:b] for g in word] for a, b in edges] if found else [[]]
+        plain.append(max(sum(table[g] for g in w) / max(toxicity.LEAST, len(w)) for w in windows) + 0.3)
+    scorer = toxicity.Scorer(table, 0.3)
+    found = scorer.score(texts)
+    assert np.abs(found - 1 / (1 + np.exp(-np.array(plain)))).max() < 1e-8
+    # Neither company nor memory changes a score.
+    assert [scorer.score([t])[0] for t in texts] == found.tolist() and toxicity.Scorer(table, 0.3).score(texts[::-1]).tolist() == found.tolist()[::-1]
+
+
 def test_toxicity_learns_misspellings():
     rng = random.Random(3)
     clean = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
@@ -204,10 +222,10 @@ def test_toxicity_learns_misspellings():
     labels = np.array([n % 3 == 0 for n in range(400)], dtype=int)
     model = toxicity.train([text(b) for b in labels], labels)
     fresh = np.array([n % 2 for n in range(100)])
-    scores = toxicity.text_scores(*model.table(), [text(b) for b in fresh], {})
+    scores = toxicity.Scorer(*model.table()).score([text(b) for b in fresh])
     assert ((scores >= toxicity.THRESHOLD) == fresh).mean() > 0.95
     unseen = text(0) + " worthles idioticc disgustingg worthlesss"
-    assert toxicity.text_scores(*model.table(), [unseen], {})[0] > toxicity.text_scores(*model.table(), [text(0)], {})[0]
+    assert toxicity.Scorer(*model.table()).score([unseen])[0] > toxicity.Scorer(*model.table()).score([text(0)])[0]
 
 
 def test_toxicity_edges(spark, edge):
