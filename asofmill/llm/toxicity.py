@@ -102,7 +102,7 @@ class _Sample:
             at.extend(found)
             size.append(len(found))
         del numbers
-        self.size, self.at = np.array(size, dtype=np.int64), np.array(at, dtype=np.int32)
+        self.size, self.at = np.frombuffer(size, dtype=np.int64), np.frombuffer(at, dtype=np.int32)
         self.first = np.concatenate(([0], np.cumsum(self.size)[:-1])).astype(np.int64)
         self.all = np.concatenate(self.texts) if self.texts else np.empty(0, np.int32)
         self.count = np.concatenate(([0], np.cumsum(self.size[self.all])))
@@ -120,10 +120,18 @@ class _Sample:
             total += len(a)
         return np.concatenate(starts), np.concatenate(ends), np.concatenate(owner), np.array(first)
 
+    def _parts(self):
+        """Ranges of words and of their features; arrays of all features at once would be most of the driver's memory."""
+        for low in range(0, len(self.size), PART):
+            high = min(low + PART, len(self.size))
+            yield slice(low, high), slice(self.first[low], self.first[high - 1] + self.size[high - 1])
+
     def best(self, slope: np.ndarray, edges) -> tuple[np.ndarray, np.ndarray]:
         """Number and average of the highest window of each text."""
         starts, ends, owner, first = edges
-        per_word = np.add.reduceat(slope[self.at], self.first) if len(self.at) else np.zeros(0)
+        per_word = np.zeros(len(self.size))
+        for words_, at in self._parts():
+            per_word[words_] = np.add.reduceat(slope[self.at[at]], self.first[words_] - self.first[words_.start])
         running = np.concatenate(([0.0], np.cumsum(per_word[self.all], dtype=np.float64)))
         mean = (running[ends] - running[starts]) / np.maximum(LEAST, self.count[ends] - self.count[starts])
         top = np.maximum.reduceat(mean, first)
@@ -138,7 +146,10 @@ class _Sample:
         share = error / np.maximum(LEAST, self.count[ends] - self.count[starts])
         at = np.repeat(starts - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
         per_word = np.bincount(self.all[at], np.repeat(share, length), len(self.size))
-        return np.bincount(self.at, np.repeat(per_word, self.size), buckets)
+        out = np.zeros(buckets)
+        for words_, features_ in self._parts():
+            out += np.bincount(self.at[features_], np.repeat(per_word[words_], self.size[words_]), buckets)
+        return out
 
 
 def _probability(score: np.ndarray) -> np.ndarray:
@@ -227,7 +238,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 #: Table sums are whole multiples of one part in FINE, so a sum does not depend on what was added before it.
 FINE = 1 << 32
 #: Characters of the texts that are scored together.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
+#: Words of the training sample whose features are looked at together.
+PART = 1 << 15
 
 
 def _crc_table() -> np.ndarray:
