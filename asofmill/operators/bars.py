@@ -126,35 +126,49 @@ def minute_completeness(minutes: DataFrame, sessions: DataFrame, universe: DataF
     )
 
 
-def regular_bars(
-    minutes: DataFrame, sessions: DataFrame, provider: str, feed: str, origin: str, require_complete: bool = True
+def judged_bars(
+    minutes: DataFrame, sessions: DataFrame, provider: str, feed: str, origin: str, universe: DataFrame | None = None
 ) -> DataFrame:
-    """Daily bars from accepted minute rows (t, o, h, l, c, v, received_at), by default complete sessions only.
+    """A row per symbol and session of accepted minutes (t, o, h, l, c, v, received_at): the daily bar, ``expected_minutes``,
+    ``observed_minutes`` and ``reason``, which is ``missing_minutes`` where the session is not complete.
 
-    ``revision_id`` is the digest of the session's canonical minutes in time order, a group bounded by the session.
+    ``revision_id`` is the digest of the session's canonical minutes in time order, a group bounded by the session. With a
+    universe, listed sessions without any minute are rows too, with no prices.
     """
     inside = in_session(minutes, sessions).withColumn("__text", minute_text())
     grouped = inside.groupBy("symbol", "session").agg(
         F.min("market_open").alias("interval_start"), F.min("market_close").alias("interval_end"),
         F.min_by("o", "t").alias("open"), F.max("h").alias("high"), F.min("l").alias("low"),
         F.max_by("c", "t").alias("close"), F.sum("v").cast("bigint").alias("volume"),
-        F.max("received_at").alias("first_ingested_at"), F.count(F.lit(1)).alias("__n"),
-        F.min("t").alias("__first"), F.max("t").alias("__last"),
-        ordered_digest("__text", "t").alias("revision_id"),
-    )
-    complete = (F.col("__n") == minutes_between(F.col("interval_start"), F.col("interval_end"))) & (
-        F.col("__first") == F.col("interval_start")
+        F.max("received_at").alias("first_ingested_at"), F.count(F.lit(1)).alias("observed_minutes"),
+        F.min("t").alias("__first"), ordered_digest("__text", "t").alias("revision_id"),
     )
-    kept = grouped.where(complete) if require_complete else grouped
-    return kept.select(
+    if universe is not None:
+        empty = missing_sessions(universe, grouped.select("symbol", "session"), sessions).join(sessions, "session").select(
+            "symbol", "session", F.col("market_open").alias("interval_start"), F.col("market_close").alias("interval_end"),
+            F.lit(0).cast("bigint").alias("observed_minutes"))
+        grouped = grouped.unionByName(empty, allowMissingColumns=True)
+    expected = minutes_between(F.col("interval_start"), F.col("interval_end"))
+    complete = (F.col("observed_minutes") == expected) & (F.col("__first") == F.col("interval_start"))
+    return grouped.select(
         F.lit(1).cast("tinyint").alias("schema_version"), "symbol", "session", F.lit("1d").alias("interval"),
         "interval_start", "interval_end", available_after(F.col("interval_end")).alias("available_at"),
         "first_ingested_at", F.lit(provider).alias("provider"), F.lit(feed).alias("feed"), "revision_id",
         F.lit(origin).alias("origin"), F.lit("raw").alias("adjustment"), F.lit("USD").alias("currency"),
         *[F.col(c).cast("decimal(24,8)").alias(c) for c in ("open", "high", "low", "close")], "volume",
+        expected.alias("expected_minutes"), "observed_minutes", F.when(~F.coalesce(complete, F.lit(False)), "missing_minutes").alias("reason"),
     )
 
 
+def regular_bars(
+    minutes: DataFrame, sessions: DataFrame, provider: str, feed: str, origin: str, require_complete: bool = True
+) -> DataFrame:
+    """The bars of ``judged_bars``, by default of complete sessions only; what is left out has its reason there."""
+    judged = judged_bars(minutes, sessions, provider, feed, origin)
+    kept = judged.where(F.col("reason").isNull()) if require_complete else judged
+    return kept.drop("expected_minutes", "observed_minutes", "reason")
+
+
 def group_content_hash(minutes: DataFrame, keys: Sequence[str], text: Column, order: str) -> DataFrame:
     """Digest of each group's rows in order; for groups with a bound of their own."""
     return minutes.withColumn("__text", text).groupBy(*keys).agg(

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.clocks import exchange_date, is_whole_minute, offset_instant, session_date
 from ..functions.exact import as_number, is_whole, whole
-from ..functions.identity import content_versions
+from ..functions.identity import content_versions, sha256
 from ..functions.joins import small_side
 from ..functions.ordered import previous_values
 from ..functions.rules import differs, first_reason, yes
+from ..functions.wire import canonical_marked, inexact, marked
+from ..session import staged
 
 BARS_PATH = "/v2/stocks/bars"
 ACTIONS_PATH = "/v1/corporate-actions"
@@ -30,7 +32,7 @@ SUPPORTED_KINDS = ("forward_splits", "cash_dividends")
 
 def strict_json_reason(text: Column) -> Column:
     """Why a text is not one valid and unambiguous JSON object: non-finite number, malformed, a key repeated at any depth, a
-    number with digits past the 18th place.
+    number whose value has digits past the 18th place, whether written with an exponent or without.
 
     Spark's parsers stop after the first value, so the text is also read inside an array and inside an object: whatever
     follows the value breaks one of the two.
@@ -43,7 +45,7 @@ def strict_json_reason(text: Column) -> Column:
         F.when(yes(non_finite), "non_finite_number")
         .when(~yes(alone) | F.json_object_keys(text).isNull(), "malformed")
         .when(F.try_parse_json(listed).isNull(), "duplicate_key")
-        .when(yes(outside_strings.rlike(r"\.[0-9]{18}[0-9]*[1-9]")), "inexact_number")
+        .when(yes(inexact(outside_strings)), "inexact_number")
     )
 
 
@@ -166,25 +168,60 @@ def capture_verdicts(pages: DataFrame, sessions: DataFrame, universe: DataFrame)
     """(capture_id, seq, symbol, pos, t, reason): every bar page gives the verdicts of its minutes or one row with the fault of
     the page and no position, so nothing captured is lost without a word. A sound page without minutes gives one row without a
     reason."""
-    bars = page_rejects(pages.where(F.col("path") == BARS_PATH))
-    faulty = bars.where(F.col("reason").isNotNull())
-    sound = bars.where(F.col("reason").isNull())
+    bars = judged_pages(pages.where(F.col("path") == BARS_PATH))
+    sound = sound_pages(bars)
     minutes = classify_minutes(minute_rows(sound), sessions, universe)
-    lists = F.from_json(F.get_json_object("body", "$.bars"), "map<string,array<string>>")
-    empty = sound.where(F.coalesce(F.size(F.flatten(F.map_values(lists))), F.lit(0)) <= 0)
-    whole_page = lambda rows: rows.select(
+    whole = _rowless(bars, "bars").select(
         "capture_id", "seq", F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("int").alias("pos"),
         F.lit(None).cast("timestamp").alias("t"), "reason")
-    return minutes.select("capture_id", "seq", "symbol", "pos", "t", F.col("reject_reason").alias("reason")).unionAll(
-        whole_page(faulty)).unionAll(whole_page(empty))
+    return minutes.select("capture_id", "seq", "symbol", "pos", "t", F.col("reject_reason").alias("reason")).unionAll(whole)
+
+
+def judged_pages(pages: DataFrame) -> DataFrame:
+    """``page_rejects``, written once: the strict reading is costly and every branch below needs its verdict."""
+    return staged(page_rejects(pages), "judged-pages")
+
+
+def sound_pages(judged: DataFrame) -> DataFrame:
+    """The pages whose rows may be used."""
+    return judged.where(F.col("reason").isNull()).drop("reason", "token")
+
+
+def _rowless(judged: DataFrame, group: str) -> DataFrame:
+    """Pages that stand for themselves among verdicts: refused ones, and sound ones without rows."""
+    lists = F.from_json(F.get_json_object("body", f"$.{group}"), "map<string,array<string>>")
+    rows = F.coalesce(F.size(F.flatten(F.map_values(lists))), F.lit(0))
+    return judged.where(F.col("reason").isNotNull() | (rows <= 0))
 
 
 def action_rows(pages: DataFrame) -> DataFrame:
-    """One row per wire action with its kind, typed fields and page clock."""
-    wire = pages.where(F.col("path") == ACTIONS_PATH).withColumn("__body", F.from_json("body", ACTIONS_BODY))
-    kinds = wire.select("capture_id", "seq", "received_at", F.explode_outer("__body.corporate_actions").alias("kind", "__rows"))
-    rows = kinds.select("capture_id", "seq", "received_at", "kind", F.posexplode_outer("__rows").alias("pos", "__a"))
-    return rows.where(F.col("pos").isNotNull()).select("capture_id", "seq", "received_at", "kind", "pos", "__a.*")
+    """One row per wire action with its kind, typed fields, page clock and ``revision_id``, the digest of its canonical form.
+
+    Give sound pages; ``action_verdicts`` accounts for the others.
+    """
+    wire = pages.where(F.col("path") == ACTIONS_PATH).withColumns({
+        "__body": F.from_json("body", ACTIONS_BODY),
+        # The same lists as texts, for the fields no type of ours names; numbers keep their digits.
+        "__raw": F.from_json(marked(F.col("body")), "corporate_actions map<string,array<string>>"),
+    })
+    kinds = wire.select("capture_id", "seq", "received_at", "__raw", F.explode_outer("__body.corporate_actions").alias("kind", "__rows"))
+    rows = kinds.select(
+        "capture_id", "seq", "received_at", "kind", F.try_element_at("__raw.corporate_actions", "kind").alias("__texts"),
+        F.posexplode_outer("__rows").alias("pos", "__a"),
+    )
+    revision = sha256(canonical_marked(F.get("__texts", F.col("pos"))))
+    return rows.where(F.col("pos").isNotNull()).select(
+        "capture_id", "seq", "received_at", "kind", "pos", "__a.*", revision.alias("revision_id"))
+
+
+def action_verdicts(pages: DataFrame, sessions: DataFrame, universe: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(capture_id, seq, pos, action_id, status): every action page gives the status of its actions or one row with the fault of
+    the page and no position. A sound page without actions gives one row without a status."""
+    judged = judged_pages(pages.where(F.col("path") == ACTIONS_PATH))
+    rows = staged(action_rows(sound_pages(judged)), "action-rows")
+    whole = _rowless(judged, "corporate_actions").select(
+        "capture_id", "seq", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("action_id"), F.col("reason").alias("status"))
+    return classify_actions(rows, sessions, universe, start, end).select("capture_id", "seq", "pos", "action_id", "status").unionAll(whole)
 
 
 def classify_actions(
@@ -244,16 +281,16 @@ def classify_actions(
         F.when(is_split, "split").when(F.col("kind") == "cash_dividends", "cash_dividend").alias("kind"),
         "effective_session", F.col("__open").alias("available_at"), F.col("received_at").alias("first_ingested_at"),
         F.when(is_split & (F.col("old_rate") > 0), whole(ratio)).alias("split_ratio"),
-        F.when(~is_split, cash).alias("cash_amount_usd"), F.when(~is_split, pay).alias("pay_date"), "status",
+        F.when(~is_split, cash).alias("cash_amount_usd"), F.when(~is_split, pay).alias("pay_date"), "revision_id", "status",
     )
 
 
 def corporate_actions(classified: DataFrame) -> DataFrame:
-    """Accepted actions in canonical order within partitions of a symbol range."""
+    """Accepted actions with the columns of ``schemas.ACTIONS``, in canonical order within partitions of a symbol range."""
     accepted = classified.where(F.col("status") == "accepted")
     return accepted.select(
         F.lit(1).cast("tinyint").alias("schema_version"), "action_id", "symbol", "kind", "effective_session",
-        "available_at", "first_ingested_at", "split_ratio", "cash_amount_usd", "pay_date",
+        "available_at", "first_ingested_at", "revision_id", "split_ratio", "cash_amount_usd", "pay_date",
     ).orderBy("symbol", "effective_session", "kind", "action_id")
 
 

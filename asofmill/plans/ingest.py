@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.identity import sha256
 from ..operators import bars as B
 from ..operators import capture as C
+from ..schemas import ACTIONS, require
 from ..session import staged
 from ..sources import adapters as A
 from ..sources.tables import driver_table, spread
-from .market import SESSIONS, TICKS, text_of
+from .market import SESSIONS, TICKS, UNIVERSE, text_of
 from .registry import query
 
 c = F.col
@@ -32,7 +33,8 @@ judged AS (
 
 
 def _classified(spark, sf):
-    rows = staged(C.minute_rows(A.minute_pages(spark, sf)), "minute-rows")
+    """Minutes of the sound pages."""
+    rows = staged(C.minute_rows(C.sound_pages(C.page_rejects(A.minute_pages(spark, sf)))), "minute-rows")
     return C.classify_minutes(rows, A.sessions(spark, sf), A.universe(spark))
 
 
@@ -60,6 +62,40 @@ def captured_daily_bars(spark, sf):
     return bars.select("symbol", "session", "open", "high", "low", "close", "volume", "first_ingested_at")
 
 
+# A session is the first one or two minutes of a day's CLICK ticks, so that complete and incomplete sessions occur.
+OPENINGS = """sessions AS (
+  SELECT ny AS session, min(date_trunc('minute', t)) AS market_open, min(date_trunc('minute', t)) + INTERVAL 1 MINUTE * (1 + day(ny) % 2) AS market_close
+  FROM ticks WHERE symbol = 'CLICK' GROUP BY ny)"""
+
+
+def _plain_number(column: str) -> str:
+    """Digits without trailing zeros."""
+    return f"regexp_replace(regexp_replace(CAST({column} AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+
+
+@query(f"""WITH {MINUTES.replace(SESSIONS, OPENINGS)}, {UNIVERSE},
+accepted AS (SELECT *, '{{"c":"' || {_plain_number('c')} || '","h":"' || {_plain_number('h')} || '","l":"' || {_plain_number('l')} || '","o":"' || {_plain_number('o')}
+    || '","t":"' || {text_of('t')} || '","v":' || CAST(v AS VARCHAR) || '}}' AS line FROM judged WHERE reject_reason IS NULL),
+rolled AS (SELECT symbol, session, count(*) AS n, arg_min(o, t) AS open, max(h) AS high, min(l) AS low, arg_max(c, t) AS close, CAST(sum(v) AS BIGINT) AS volume,
+    max(received_at) AS received_at, sha256(string_agg(line, '' ORDER BY t)) AS revision_id FROM accepted GROUP BY symbol, session),
+every AS (SELECT symbol, session FROM rolled UNION
+    SELECT symbol, session FROM universe, sessions WHERE session >= listed_on AND (delisted_on IS NULL OR session < delisted_on))
+SELECT e.symbol, CAST(e.session AS VARCHAR) AS session, {text_of('market_open')} AS interval_start, {text_of('market_close')} AS interval_end,
+  datediff('minute', market_open, market_close) AS expected_minutes, coalesce(n, 0) AS observed_minutes,
+  CASE WHEN n = datediff('minute', market_open, market_close) THEN NULL ELSE 'missing_minutes' END AS reason,
+  CAST(open AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high, CAST(low AS DOUBLE) AS low, CAST(close AS DOUBLE) AS close, volume, revision_id,
+  {text_of('r.received_at')} AS first_ingested_at
+FROM every e JOIN sessions USING (session) LEFT JOIN rolled r ON r.symbol = e.symbol AND r.session = e.session""")
+def captured_bar_verdicts(spark, sf):
+    """Complete and incomplete sessions side by side, from sound pages only."""
+    sessions = staged(A.opening_minutes(spark, sf), "opening-minutes")
+    rows = staged(C.minute_rows(C.sound_pages(C.page_rejects(A.minute_pages(spark, sf)))), "minute-rows")
+    accepted = C.classify_minutes(rows, sessions, A.universe(spark)).where(c("reject_reason").isNull()).drop("session")
+    bars = B.judged_bars(accepted, sessions, "events", "main", "historical", A.universe(spark))
+    return bars.select("symbol", "session", "interval_start", "interval_end", "expected_minutes", "observed_minutes", "reason", "open", "high", "low", "close",
+                       "volume", "revision_id", "first_ingested_at")
+
+
 @query("""SELECT event_id, CASE event_id % 8 WHEN 1 THEN 'empty_page' WHEN 2 THEN 'incomplete_response'
   WHEN 3 THEN 'invalid_response' WHEN 4 THEN 'invalid_response' WHEN 5 THEN 'invalid_pagination'
   WHEN 7 THEN 'invalid_response' END AS reason FROM events""")
@@ -101,6 +137,20 @@ def capture_rejects(spark, sf):
     return verdicts.select("seq", "symbol", "t", "reason")
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'inexact_number' END AS reason FROM events""")
+def inexact_number_rejects(spark, sf):
+    """Numbers by value: more than 18 places with and without an exponent, against exponents and zeros that lose nothing."""
+    events = driver_table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    number = (
+        F.when(c("event_id") % 4 == 0, F.concat(F.lit("1"), k, F.lit("1e-19")))
+        .when(c("event_id") % 4 == 1, F.concat(F.lit("0.0000000000000000000"), k, F.lit("1")))
+        .when(c("event_id") % 4 == 2, F.concat(k, F.lit("e2")))
+        .otherwise(F.concat(F.lit("1"), k, F.lit("0000000000000000000.0e-19")))
+    )
+    return events.select("event_id", C.strict_json_reason(F.concat(F.lit('{"v":'), number, F.lit("}"))).alias("reason"))
+
+
 @query("""SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'duplicate_key' WHEN 2 THEN 'non_finite_number'
   WHEN 3 THEN 'malformed' END AS reason FROM events""")
 def strict_json_rejects(spark, sf):
@@ -138,12 +188,18 @@ judged AS (SELECT b.*, CASE
     ELSE 'accepted' END AS status FROM b)"""
 
 
-def _actions(spark, sf):
+def _listed(spark, sf):
     customers = driver_table(spark, sf, "customer").where(c("c_custkey") % 40 < 30)
-    listed = customers.select(F.concat(F.lit("C"), (c("c_custkey") % 40).cast("string")).alias("symbol")).distinct()
-    day = lambda text: F.lit(text).cast("date")
-    rows = staged(C.action_rows(A.action_pages(spark, sf)), "action-rows")
-    return C.classify_actions(rows, A.order_sessions(spark, sf), listed, day("1996-01-01"), day("1999-12-31"))
+    return customers.select(F.concat(F.lit("C"), (c("c_custkey") % 40).cast("string")).alias("symbol")).distinct()
+
+
+def _day(text):
+    return F.lit(text).cast("date")
+
+
+def _actions(spark, sf):
+    rows = staged(C.action_rows(C.sound_pages(C.page_rejects(A.action_pages(spark, sf)))), "action-rows")
+    return C.classify_actions(rows, A.order_sessions(spark, sf), _listed(spark, sf), _day("1996-01-01"), _day("1999-12-31"))
 
 
 @query(f"""WITH {ACTION_ROWS}
@@ -152,15 +208,43 @@ def action_rejects(spark, sf):
     return _actions(spark, sf).select("seq", "action_id", "status")
 
 
+# Of every eleven pages one is cut off, one repeats a key, one has no token, one holds a number, one is empty.
+@query(f"""WITH {ACTION_ROWS.replace("EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = k - 1)", "EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = k - 1 AND o.o_orderkey % 11 NOT IN (1, 2, 3, 4, 5))")}
+SELECT k AS seq, CASE WHEN k % 11 NOT IN (1, 2, 3, 4, 5) THEN CAST(id AS VARCHAR) END AS action_id,
+  CASE WHEN k % 11 = 3 THEN 'incomplete_response' WHEN k % 11 IN (1, 2, 4) THEN 'invalid_response' WHEN k % 11 <> 5 THEN status END AS status
+FROM judged""")
+def action_verdicts(spark, sf):
+    pages, body, kind = A.action_pages(spark, sf), c("body"), c("seq") % 11
+    broken = (
+        F.when(kind == 1, F.expr("substring(body, 1, length(body) - 9)"))
+        .when(kind == 2, F.regexp_replace(body, '"special"', '"symbol":"X","special"'))
+        .when(kind == 3, F.regexp_replace(body, ',"next_page_token":null', ""))
+        .when(kind == 4, F.regexp_replace(body, r"\]\},", ",5]},"))
+        .when(kind == 5, F.lit('{"corporate_actions":{},"next_page_token":null}'))
+        .otherwise(body)
+    )
+    verdicts = C.action_verdicts(pages.withColumn("body", broken), A.order_sessions(spark, sf), _listed(spark, sf), _day("1996-01-01"), _day("1999-12-31"))
+    return verdicts.select("seq", "action_id", "status")
+
+
+# Fields of the wire in the order of their names; a number with a point is a text of its digits.
+WIRE_TEXT = """'{' || CASE WHEN k % 41 = 0 THEN '"due_bill_redemption_date":"' || day || '",' ELSE '' END
+  || CASE WHEN ex IS NOT NULL THEN '"ex_date":"' || ex || '",' ELSE '' END || CASE WHEN k % 17 <> 0 THEN '"foreign":false,' ELSE '' END
+  || '"id":"' || id || '","new_rate":' || new_rate || ',"old_rate":' || old_rate || ',"payable_date":"' || (day + 10) || '","process_date":"' || process
+  || '","rate":' || CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE '"' || rtrim(printf('%.8f', o_totalprice), '0') || '"' END
+  || ',"special":' || CASE WHEN k % 13 = 0 THEN 'true' ELSE 'false' END || ',"symbol":"' || symbol || '"}'"""
+
+
 @query(f"""WITH {ACTION_ROWS}
 SELECT CAST(id AS VARCHAR) AS action_id, symbol, kind, CAST(eff AS VARCHAR) AS effective_session,
        {text_of("CAST(eff AS TIMESTAMP) + INTERVAL 870 MINUTE")} AS available_at,
        CASE WHEN kind = 'split' THEN CAST(new_rate // old_rate AS BIGINT) END AS split_ratio,
        CASE WHEN kind = 'cash_dividend' THEN o_totalprice END AS cash_amount_usd,
-       CASE WHEN kind = 'cash_dividend' THEN CAST(day + 10 AS VARCHAR) END AS pay_date
+       CASE WHEN kind = 'cash_dividend' THEN CAST(day + 10 AS VARCHAR) END AS pay_date,
+       {text_of("CAST(day AS TIMESTAMP)")} AS first_ingested_at, 1 AS schema_version, sha256({WIRE_TEXT}) AS revision_id
 FROM judged WHERE status = 'accepted'""")
 def corporate_actions(spark, sf):
-    return C.corporate_actions(_actions(spark, sf)).drop("schema_version", "first_ingested_at")
+    return require(C.corporate_actions(_actions(spark, sf)), ACTIONS)
 
 
 @query("""WITH e AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS role
