@@ -57,6 +57,24 @@ def fill_mismatches(running: DataFrame) -> DataFrame:
     )
 
 
+#: What can be wrong with an event within its order, in checking order.
+FILL_FAULTS = ("recorded_before_occurred", "overfilled")
+
+
+def judged_fills(events: DataFrame, order: str, slice_by: Column, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """One row per event with ``running_filled`` and ``illegal``: the first rule it breaks within its order, or null.
+
+    An event is known by order, occurred_at and event_id. Copies count once; of several versions the one recorded last counts.
+    """
+    facts = ("recorded_at", "fill_quantity_delta", "requested_quantity")
+    newest = events.groupBy(order, "occurred_at", "event_id").agg(F.max(F.struct(*facts)).alias("__v")).select(
+        order, "occurred_at", "event_id", *[F.col(f"__v.{f}").alias(f) for f in facts])
+    running = running_fills(newest, order, F.col("fill_quantity_delta"), [F.col("occurred_at"), F.col("event_id")], slice_by, hot_rows)
+    broken = (F.col("recorded_at") < F.col("occurred_at"), F.col("running_filled") > F.col("requested_quantity"))
+    illegal = F.coalesce(*[F.when(b, name) for name, b in zip(FILL_FAULTS, broken)])
+    return running.select(order, "event_id", "occurred_at", *facts, "running_filled", illegal.alias("illegal"))
+
+
 def order_status(events: DataFrame, order: str = "order_id") -> DataFrame:
     """Filled and open quantity and a status per order; one combined aggregate.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import adapters as A
 from ..sources.tables import driver_table
+from ..streaming import order_state as K
 from ..streaming import twins as S
 from .jobs import JOB_EVENTS
 from .market import TICKS, text_of
@@ -56,6 +57,29 @@ def stream_fill_state(spark, sf):
     return S.merged_fills(events)
 
 
+# Line items are executions of their order; every seventh is recorded before it occurred. Of repeated ids the last recorded counts.
+@query(f"""WITH e AS (
+  SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS event_id, o_orderdate AS occurred_at,
+    CASE WHEN l_partkey % 7 = 0 THEN o_orderdate - INTERVAL 1 HOUR ELSE l_shipdate END AS recorded_at,
+    CAST(l_quantity AS BIGINT) AS delta, CAST(60 + l_orderkey % 90 AS BIGINT) AS requested
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+v AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY order_id, event_id ORDER BY recorded_at DESC, delta DESC) = 1),
+r AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY order_id ORDER BY event_id) AS BIGINT) AS running FROM v)
+SELECT order_id, event_id, {text_of('occurred_at')} AS occurred_at, {text_of('recorded_at')} AS recorded_at, delta AS fill_quantity_delta,
+  requested AS requested_quantity, running AS running_filled,
+  CASE WHEN recorded_at < occurred_at THEN 'recorded_before_occurred' WHEN running > requested THEN 'overfilled' END AS illegal
+FROM r""")
+def stream_fill_events(spark, sf):
+    orders = driver_table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    placed = c("o_orderdate").cast("timestamp")
+    events = _stream(spark, sf, "lineitem").join(orders, c("l_orderkey") == c("o_orderkey")).select(
+        c("l_orderkey").alias("order_id"), c("l_linenumber").alias("event_id"), placed.alias("occurred_at"),
+        F.when(c("l_partkey") % 7 == 0, placed - F.expr("INTERVAL 1 HOUR")).otherwise(c("l_shipdate").cast("timestamp")).alias("recorded_at"),
+        c("l_quantity").cast("bigint").alias("fill_quantity_delta"), (60 + c("l_orderkey") % 90).alias("requested_quantity"),
+    )
+    return K.judged_events(events)
+
+
 @query(f"""WITH {JOB_EVENTS} SELECT request_id, arg_max(state, sequence) AS state, count(*) AS events FROM job_events GROUP BY request_id""")
 def stream_job_states(spark, sf):
     events = _stream(spark, sf, "events").select(

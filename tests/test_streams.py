@@ -1,5 +1,6 @@
 """Streams fed in several batches end at the batch result."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from asofmill.operators import fills as X
 from asofmill.operators import lifecycle as J
 from asofmill.operators.bars import interval_bars
 from asofmill.operators.versions import rows_differ
+from asofmill.streaming import order_state as K
 from asofmill.streaming import twins as S
 
 START = datetime(2024, 1, 1)
@@ -88,3 +90,59 @@ def test_any_number_of_files_in_any_order(spark, tmp_path, files):
     jobs = rows.select(F.col("order_id").alias("request_id"), "sequence", "state", F.lit(START).alias("at"))
     merged = S.merged_lifecycles(_stream(spark, rows, path).select(F.col("order_id").alias("request_id"), "sequence", "state"))
     assert rows_differ(merged, J.latest_states(jobs).select("request_id", "state", "events")).count() == 0
+
+
+def _fill_events(spark):
+    """Events of one hot and many small orders, with copies and corrections that were recorded later."""
+    rows = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("order_id"), (F.col("id") * 7919 % 601).alias("event_id"),
+        (F.lit(START) + F.make_dt_interval((F.col("id") * 31 % 50).cast("int"))).alias("occurred_at"),
+        (F.lit(START) + F.make_dt_interval((F.col("id") * 31 % 50 + F.when(F.col("id") % 11 == 0, -1).otherwise(1)).cast("int"))).alias("recorded_at"),
+        (F.col("id") % 9).alias("fill_quantity_delta"), F.lit(90).cast("bigint").alias("requested_quantity"))
+    later = rows.where("event_id % 5 = 0").withColumn("fill_quantity_delta", F.col("fill_quantity_delta") + 2).withColumn(
+        "recorded_at", F.col("recorded_at") + F.expr("INTERVAL 2 DAYS"))
+    return rows.unionByName(later).unionByName(rows.where("event_id % 4 = 0"))
+
+
+@pytest.mark.parametrize("files", [1, 4, 16])
+def test_every_event_is_judged_in_any_order(spark, tmp_path, files):
+    rows = _fill_events(spark).withColumn("n", F.monotonically_increasing_id())
+    rows.withColumn("part", F.pmod(F.xxhash64("n"), F.lit(files))).repartition(files, "part").write.partitionBy("part").parquet(str(tmp_path / "in"))
+    got = K.judged_events(_stream(spark, rows, str(tmp_path / "in" / "*")))
+    want = X.judged_fills(rows, "order_id", F.to_date("occurred_at"))
+    assert rows_differ(got, want).count() == 0
+    assert {r.illegal for r in got.select("illegal").distinct().collect()} == {None, *X.FILL_FAULTS}
+    assert rows_differ(want, X.judged_fills(rows, "order_id", F.to_date("occurred_at"), hot_rows=50)).count() == 0
+
+
+def test_a_late_event_takes_rows_back(spark, tmp_path):
+    schema = "order_id string, event_id bigint, occurred_at timestamp, recorded_at timestamp, fill_quantity_delta bigint, requested_quantity bigint, part int"
+    at = lambda n: START + timedelta(hours=n)
+    rows = spark.createDataFrame([("a", 1, at(1), at(1), 5, 9, 0), ("a", 3, at(3), at(3), 4, 9, 0), ("a", 2, at(2), at(2), 1, 9, 1), ("a", 3, at(3), at(3), 4, 9, 2)], schema)
+    path = _files(rows, str(tmp_path / "in"), [F.col("part") == n for n in range(3)])
+    with K.rocksdb_state(spark):
+        said = S.run_merged(K.fill_changes(_stream(spark, rows, path)), lambda r: r, lambda r: r, "changes")
+    found = sorted((r.batch, r.event_id, r.running_filled, r.illegal, r.change) for r in said.collect())
+    assert found == [(0, 1, 5, None, 1), (0, 3, 9, None, 1), (1, 2, 6, None, 1), (1, 3, 9, None, -1), (1, 3, 10, "overfilled", 1)]
+    assert spark.conf.get(K.PROVIDER, None) != K.ROCKSDB
+
+
+def test_state_expires(spark, tmp_path):
+    """After the time to live nothing of the order is known, so its next event starts from nothing."""
+    schema = "order_id string, event_id bigint, occurred_at timestamp, recorded_at timestamp, fill_quantity_delta bigint, requested_quantity bigint, part int"
+    rows = spark.createDataFrame([("a", n, START + timedelta(hours=n), START + timedelta(hours=n), 5, 9, n) for n in range(2)], schema)
+    path = _files(rows, str(tmp_path / "in"), [F.col("part") == n for n in range(2)])
+    for ttl, running in ((1e-6, 5), (1, 10)):
+        said = []
+
+        def keep(batch, _):
+            said.extend(batch.collect())  # noqa: B023
+
+        with K.rocksdb_state(spark):
+            query = K.fill_changes(_stream(spark, rows, path), ttl_days=ttl).writeStream.outputMode("update").option(
+                "checkpointLocation", str(tmp_path / f"checkpoint-{ttl}")).foreachBatch(keep).start()
+            until = time.time() + 60
+            while len(said) < 2 and time.time() < until:
+                time.sleep(0.2)
+            query.stop()
+        assert {r.event_id: r.running_filled for r in said} == {0: 5, 1: running}
