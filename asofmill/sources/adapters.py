@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clocks import exchange_date
 from ..functions.exact import number_text
 from ..functions.identity import sha256
+from ..functions.scans import Scan, running
 from ..operators import bars as B
 from ..operators.quality import Plan
 from .tables import driver_table, literal_rows, spread
@@ -73,6 +74,14 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def opening_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """Very short sessions: the first one or two minutes of each exchange date's CLICK ticks."""
+    clicks = ticks(spark, sf).where(c("symbol") == "CLICK").withColumn("session", exchange_date(c("t")))
+    opened = clicks.groupBy("session").agg(F.date_trunc("MINUTE", F.min("t")).alias("market_open"))
+    length = F.make_dt_interval(F.lit(0), F.lit(0), 1 + F.dayofmonth("session") % 2)
+    return opened.select("session", "market_open", (c("market_open") + length).alias("market_close"))
+
+
 def order_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Weekdays of the order dates' range."""
     days = _weekdays(driver_table(spark, sf, "orders"), F.to_date("o_orderdate"))
@@ -189,6 +198,25 @@ def ledger_fills(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def supplier_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars of many symbols: the lowest and highest line item of a supplier and day as open and close."""
+    day = F.to_date("l_shipdate")
+    price = c("l_extendedprice").cast("decimal(24,8)")
+    return driver_table(spark, sf, "lineitem").groupBy(
+        F.concat(F.lit("S"), c("l_suppkey").cast("string")).alias("symbol"), day.alias("session")
+    ).agg(F.min(price).alias("open"), F.max(price).alias("close")).withColumn(
+        "available_at", c("session").cast("timestamp") + F.expr("INTERVAL 21 HOURS"))
+
+
+def account_equity(spark: SparkSession, sf: str) -> DataFrame:
+    """Value of each supplier's account per day it traded: a million and what its line items brought and took."""
+    price = c("l_extendedprice").cast("decimal(18,2)")
+    moved = driver_table(spark, sf, "lineitem").groupBy(c("l_suppkey").alias("account"), F.to_date("l_shipdate").alias("session")).agg(
+        F.sum(F.when(c("l_linenumber") % 2 == 0, -price).otherwise(price)).alias("moved"))
+    total = running(moved, ["account"], ["session"], {"equity": Scan("sum", c("moved"))}, F.date_trunc("YEAR", "session"))
+    return total.select("account", "session", (c("equity") + 1_000_000).cast("decimal(20,2)").alias("equity"))
+
+
 def part_marks(spark: SparkSession, sf: str) -> DataFrame:
     lines = driver_table(spark, sf, "lineitem")
     return lines.groupBy(
