@@ -25,7 +25,7 @@ def trend_signals(bars: DataFrame, fast: int, slow: int, window: int, slice_by:
 
     ``signal`` is ``above`` if the mean of the last ``fast`` closes is higher than that of the last ``slow``, ``below`` if lower,
     ``tie`` if equal (compared exactly), and ``warmup`` before there are ``slow`` closes. ``volatility`` is the sample deviation of
-    the last ``window`` returns, null before there are so many.
+    the last ``window`` returns to nine places, as returns are counted; null before there are so many.
     """
     rows = _returns(bars.select("symbol", "session", "close"), slice_by)
     close, r = F.col("close").cast("decimal(24,8)"), F.col("__r")
@@ -40,7 +40,7 @@ def trend_signals(bars: DataFrame, fast: int, slow: int, window: int, slice_by:
     k = F.col("__k").cast("decimal(6,0)")
     spread = (k * F.col("__squares").cast("decimal(32,0)")).cast("decimal(38,0)") - (F.col("__sum").cast("decimal(19,0)") * F.col("__sum").cast("decimal(19,0)")).cast("decimal(38,0)")
     volatility = F.when(F.col("__k") == window, F.sqrt(spread.cast("double") / (window * (window - 1))) / PARTS)
-    return sums.select("symbol", "session", "close", signal.alias("signal"), F.round(volatility, 12).alias("volatility"))
+    return sums.select("symbol", "session", "close", signal.alias("signal"), F.round(volatility, 9).alias("volatility"))
 
 
 def trend_targets(signals: DataFrame, target: float, cap: float) -> DataFrame:

@@ -38,7 +38,7 @@ f AS (SELECT *, count(*) OVER last20 AS n, sum(close) OVER last5 AS fast, sum(cl
   FROM r WINDOW last5 AS (PARTITION BY symbol ORDER BY session ROWS 4 PRECEDING), last10 AS (PARTITION BY symbol ORDER BY session ROWS 9 PRECEDING),
     last20 AS (PARTITION BY symbol ORDER BY session ROWS 19 PRECEDING)),
 j AS (SELECT symbol, session, CASE WHEN n < 20 THEN 'warmup' WHEN fast * 20 > slow * 5 THEN 'above' WHEN fast * 20 < slow * 5 THEN 'below' ELSE 'tie' END AS signal,
-    CASE WHEN k = 10 THEN round(sqrt(CAST(k * q - s * s AS DOUBLE) / 90) / 1000000000, 12) END AS volatility FROM f),
+    CASE WHEN k = 10 THEN round(sqrt(CAST(k * q - s * s AS DOUBLE) / 90) / 1000000000, 9) END AS volatility FROM f),
 w AS (SELECT *, count(*) FILTER (signal = 'above') OVER (PARTITION BY session) AS above FROM j)
 SELECT symbol, CAST(session AS VARCHAR) AS session, signal, volatility,
   CASE WHEN signal <> 'above' THEN signal WHEN volatility IS NULL THEN 'undefined_volatility' WHEN volatility = 0 THEN 'zero_volatility'
