@@ -9,6 +9,7 @@ from ..operators import categories as K
 from ..operators import controls as H
 from ..operators import labels as Y
 from ..operators import performance as P
+from ..operators import reconciliation as R
 from ..operators import signals as G
 from ..sources import adapters as A
 from ..sources.tables import driver_table
@@ -204,3 +205,31 @@ def category_rates(spark, sf):
     )
     answers = docs.join(labels, c("doc_id") == c("labelled"), "left").select("doc_id", "lang", "source", outcome.alias("outcome"), (c("toxic") == 0).alias("supported"))
     return K.category_rates(answers, ["lang", "source"], "doc_id")
+
+
+# One pair of a key and round is the closest of those left; the operator takes all that are nearest to each other at once.
+@query("""WITH RECURSIVE records AS (
+  SELECT o_orderkey AS id, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_custkey || '/' || strftime(o_orderdate, '%Y-%m') END AS native,
+    o_orderpriority AS symbol, CAST(floor(o_totalprice / 5000) AS BIGINT) AS quantity, o_orderdate AS at, CAST(o_totalprice AS DECIMAL(24,8)) AS price,
+    coalesce(o_orderstatus = 'F', false) AS local FROM orders),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY local, native ORDER BY id) AS n FROM records WHERE native IS NOT NULL),
+by_id AS (SELECT a.id AS l, b.id AS b FROM ranked a JOIN ranked b ON a.local AND NOT b.local AND a.native = b.native AND a.n = b.n),
+rest AS (SELECT * FROM records WHERE id NOT IN (SELECT l FROM by_id UNION ALL SELECT b FROM by_id)),
+greedy AS (
+  SELECT a.symbol, a.quantity, a.id AS l, b.id AS b, abs(date_diff('microsecond', a.at, b.at)) AS gap, a.at AS lt, b.at AS bt, false AS chosen
+  FROM rest a JOIN rest b ON a.local AND NOT b.local AND a.symbol = b.symbol AND a.quantity = b.quantity AND b.at BETWEEN a.at - INTERVAL 20 DAY AND a.at + INTERVAL 20 DAY
+  UNION ALL
+  SELECT symbol, quantity, l, b, gap, lt, bt, l = fl AND b = fb FROM (
+    SELECT *, first_value(l) OVER w AS fl, first_value(b) OVER w AS fb FROM greedy WHERE NOT chosen
+    WINDOW w AS (PARTITION BY symbol, quantity ORDER BY gap, lt, bt, l, b))
+  WHERE (l = fl AND b = fb) OR (l <> fl AND b <> fb)),
+pairs AS (SELECT l, b, 'native_id' AS matched_by FROM by_id UNION ALL SELECT l, b, 'nearest' FROM greedy WHERE chosen),
+judged AS (SELECT l, b, matched_by, concat_ws(',', CASE WHEN x.symbol <> y.symbol THEN 'symbol' END, CASE WHEN x.quantity <> y.quantity THEN 'quantity' END,
+    CASE WHEN abs(x.price - y.price) > 2000 THEN 'price' END, CASE WHEN abs(date_diff('microsecond', x.at, y.at)) > 1728000000000 THEN 'at' END) AS differences
+  FROM pairs JOIN records x ON x.id = l JOIN records y ON y.id = b)
+SELECT l AS local_id, b AS broker_id, CASE WHEN differences = '' THEN 'matched' ELSE 'differing' END AS status, matched_by, differences FROM judged
+UNION ALL SELECT CASE WHEN local THEN id END, CASE WHEN NOT local THEN id END, CASE WHEN local THEN 'only_local' ELSE 'only_broker' END, NULL, NULL
+  FROM records WHERE id NOT IN (SELECT l FROM pairs UNION ALL SELECT b FROM pairs)""")
+def book_reconciliation(spark, sf):
+    """Finished orders against open ones: by customer and month where a reference is given, else by class and size within 20 days."""
+    return R.reconcile(*A.order_books(spark, sf), 20 * 86_400, F.lit(2000))

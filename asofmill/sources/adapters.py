@@ -299,3 +299,15 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
         job_state(c("event_type")).alias("state"),
         (F.get_json_object("props", "$.k").cast("int") % 2 == 0).alias("cancellation_requested"),
     )
+
+
+def order_books(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All orders as two books of executions: finished ones as the local ledger, the rest as the broker's statement."""
+    orders = driver_table(spark, sf, "orders")
+    native = F.when(c("o_orderpriority") != "4-NOT SPECIFIED", F.concat_ws("/", c("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM")))
+    records = orders.select(
+        c("o_orderkey").alias("record_id"), native.alias("native_id"), c("o_orderpriority").alias("symbol"), F.lit("buy").alias("side"),
+        F.floor(c("o_totalprice") / 5000).cast("bigint").alias("quantity"), c("o_orderdate").cast("timestamp").alias("at"),
+        c("o_totalprice").cast("decimal(24,8)").alias("price"), (c("o_orderstatus") == "F").alias("finished"),
+    )
+    return tuple(records.where(F.coalesce(c("finished"), F.lit(False)) == side).drop("finished") for side in (True, False))
