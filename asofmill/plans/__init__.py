@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import accounts, faults, ingest, jobs, market, policy, research, streams, texts  # noqa: F401
+from . import accounts, captures, faults, ingest, jobs, market, policy, research, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -311,3 +311,30 @@ def order_books(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         c("o_totalprice").cast("decimal(24,8)").alias("price"), (c("o_orderstatus") == "F").alias("finished"),
     )
     return tuple(records.where(F.coalesce(c("finished"), F.lit(False)) == side).drop("finished") for side in (True, False))
+
+
+def capture_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """One capture file per order as (path, content), faults derived from the order key."""
+    orders = spread(driver_table(spark, sf, "orders"))
+    fault = c("o_orderkey") % 11
+    day = lambda n: F.date_add(F.to_date("o_orderdate"), n).cast("string")
+    faulty = lambda n, wrong, right: F.when(fault == n, wrong).otherwise(right)
+    at = lambda minute: F.concat(day(40), F.lit(f"T10:{minute:02d}:00Z"))
+    page = F.concat(
+        F.lit('{"body":"{\\"bars\\":{},\\"next_page_token\\":null}","params":{"limit":'), c("o_custkey").cast("string"),
+        F.lit(',"start":"'), day(0), F.lit('"},"path":"/v2/stocks/bars","received_at":"'), faulty(5, at(9), at(2)),
+        F.lit('","request_id":"'), c("o_orderpriority"), F.lit('","schema_version":1}'))
+    request = F.concat(
+        F.lit('{"adjustment":"raw","aggregation":"regular_session_from_1min","end_session":"'), faulty(6, day(-1), day(30)), F.lit('","feed":"'),
+        faulty(4, F.lit("otc"), F.lit("sip")), F.lit('","first_execution_session":"'), day(5), F.lit('","interval":"1d","schema_version":1,"start_session":"'),
+        day(0), F.lit('","universe":[{"exchange":"ARCA","listed_on":"1980-01-02","symbol":"'), faulty(9, F.lit("c"), F.lit("C")), c("o_custkey").cast("string"),
+        F.lit('"}],"warmup_sessions":'), faulty(8, F.lit('"3"'), F.lit("3")), F.lit(',"zero_volume_policy":"reject"}'))
+    text = F.concat(
+        F.lit('{"adapter_version":"minutes.v1","captured_at":"'), at(5), F.lit('","origin":"'), faulty(3, F.lit("prospective"), F.lit("historical")),
+        F.lit('","pages":['), page, faulty(10, F.concat(F.lit(","), page), F.lit("")), F.lit('],"request":'), request, F.lit(',"requested_at":"'), at(0),
+        F.lit('","schema_version":1}'))
+    stored = orders.select("o_orderkey", fault.alias("fault"), text.alias("text")).withColumn(
+        "stored", F.when(c("fault") == 2, F.concat(F.lit(" "), "text")).when(c("fault") == 7, F.substring("text", 1, 100)).otherwise(c("text")))
+    return stored.select(
+        F.concat(F.lit("orders/"), c("o_orderkey").cast("string"), F.lit("/"), F.sha2("stored", 256), F.lit(".json")).alias("path"),
+        F.when(c("fault") == 1, F.concat("stored", F.lit(" "))).otherwise(c("stored")).cast("binary").alias("content"))
