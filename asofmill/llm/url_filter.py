@@ -15,7 +15,8 @@ list gives an empty result or the default.
 Plan: rules become bits of the filter by an aggregate (``bit_or`` per 64-bit word), so the list is never collected; the filter
 itself is of fixed size (``FILTER_BYTES`` at most) and broadcast. Distinct (host, path) pairs are looked up once, so a hot URL
 costs one row per task. Only keys the filter lets through become rows and meet the rules in a join on the key; rules of a hot key
-are one row each.
+are one row each. The verdict of each distinct pair is written and joined back to the pages; adaptive execution splits a hot pair.
+URLs without a host pass by all of this.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 BLOCK_WORDS = 8  # 512 bits, a cache line
 PROBES = 8
 BITS_PER_RULE = 16
@@ -127,7 +130,9 @@ def filtered(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col:
     # The join compares the strings themselves. Length and key make a number whose order is the order of the rules.
     fits = possible.join(listed, possible["key"] == listed["rule"]).where(
         ((F.col("host") == F.col("rule_host")) | F.col("host").endswith(F.concat(F.lit("."), "rule_host"))) & F.col("path").startswith(F.col("rule_path")))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), "rule", "rule_verdict")).alias("best")).select(
-        F.col("host").alias("_h"), F.col("path").alias("_p"), "best.rule", "best.rule_verdict")
-    return keyed.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
+    # Written, so that the join below is split where a URL is hot: adaptive execution splits no side that ends in an aggregate.
+    best = staged(fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), "rule", "rule_verdict")).alias("best")).select(
+        F.col("host").alias("_h"), F.col("path").alias("_p"), "best.rule", "best.rule_verdict"), "url-verdicts")
+    found = keyed.where("host <> ''").join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+    return found.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict")).unionByName(
+        keyed.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
