@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clocks import exchange_date
-from ..functions.rules import Rule, differs, duplicate_keys, no, violations
+from ..functions.rules import Rule, differs, duplicate_keys, has_duplicates, no, violations
 from .calendars import is_listed
+from .documents import verify_quotes
 from .portfolio import outside_universe
 
 
@@ -20,6 +21,7 @@ def context_rules() -> list[Rule]:
         ("portfolio_after_decision", c("portfolio_as_of") > c("decision_at")),
         ("model_cutoff", (c("model_trained_through") >= c("decision_at"))
          | ((c("mode") != "backtest") & (c("model_created_at") > c("decision_at")))),
+        ("duplicate_dataset_id", has_duplicates(c("dataset_ids"))),
     ]
 
 
@@ -115,9 +117,27 @@ def unsupported_features(observations: DataFrame, features: DataFrame) -> DataFr
     return found.select("context_id", item_name(), "reason")
 
 
+def unsupported_quotes(macro: DataFrame, quotes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Assessments whose quotations the documents of the same decision do not bear out, as (context_id, item, reason).
+
+    ``quotes`` has context_id, assessment_id, document_id, content_sha256, start, end, text; ``documents`` also content_sha256 and
+    original_text. A document of another decision is missing here. Reasons are ``macro_quote_`` and the verdict of ``verify_quotes``, or
+    ``macro_source_late`` for a cited document that became available after the source cutoff. An assessment need not quote anything.
+    """
+    keys = ["context_id", "document_id"]
+    judged = verify_quotes(quotes, documents, keys).where("verdict <> 'ok'").select(
+        "context_id", "assessment_id", F.concat(F.lit("macro_quote_"), "verdict").alias("reason"))
+    cited = quotes.select(*keys, "assessment_id").join(macro.select("context_id", "assessment_id", "source_cutoff"), ["context_id", "assessment_id"])
+    late = cited.join(documents.select(*keys, "available_at"), keys).where(no(F.col("available_at") <= F.col("source_cutoff"))).select(
+        "context_id", "assessment_id", F.lit("macro_source_late").alias("reason"))
+    return judged.unionByName(late).select(
+        "context_id", F.col("assessment_id").cast("string").alias("item"), "reason").distinct()
+
+
 def eligible_context(
     contexts: DataFrame, universe: DataFrame, observations: DataFrame, features: DataFrame | None = None,
     documents: DataFrame | None = None, macro: DataFrame | None = None, exposure: DataFrame | None = None,
+    quotes: DataFrame | None = None,
 ) -> DataFrame:
     """Every broken rule as (context_id, item, reason); a context without rows here is eligible."""
     items = context_items(observations, features, documents, macro)
@@ -137,6 +157,8 @@ def eligible_context(
     report = item_violations(contexts, universe, items).unionByName(own).unionByName(unlisted).unionByName(copies)
     if features is not None:
         report = report.unionByName(unsupported_features(observations, features))
+    if quotes is not None:
+        report = report.unionByName(unsupported_quotes(macro, quotes, documents))
     if exposure is not None:
         strangers = outside_universe(exposure, universe, ["context_id", "symbol"])
         report = report.unionByName(

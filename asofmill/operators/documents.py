@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +20,14 @@ def document_rules() -> list[Rule]:
     ]
 
 
-def verify_quotes(evidence: DataFrame, documents: DataFrame) -> DataFrame:
+def verify_quotes(evidence: DataFrame, documents: DataFrame, keys: Sequence[str] = ("document_id",)) -> DataFrame:
     """Each quotation with a verdict: ``ok`` or the first reason why it does not hold.
 
     ``evidence`` has document_id, content_sha256, start, end (characters) and text. A much-cited document makes its
-    key hot on the evidence side only; adaptive execution splits such a partition.
+    key hot on the evidence side only; adaptive execution splits such a partition. ``keys`` says what a document is known by.
     """
-    sources = documents.select("document_id", F.col("content_sha256").alias("__hash"), F.col("original_text").alias("__text"))
-    joined = evidence.join(sources, "document_id", "left")
+    sources = documents.select(*keys, F.col("content_sha256").alias("__hash"), F.col("original_text").alias("__text"))
+    joined = evidence.join(sources, list(keys), "left")
     verdict = (
         F.when((F.col("end") - F.col("start")) != F.length("text"), "span_length")
         .when(F.col("__hash").isNull(), "missing_document")
