@@ -146,3 +146,12 @@ def test_state_expires(spark, tmp_path):
                 time.sleep(0.2)
             query.stop()
         assert {r.event_id: r.running_filled for r in said} == {0: 5, 1: running}
+
+
+def test_drained_events_need_no_state(spark, tmp_path, monkeypatch):
+    """Draining runs no Python per order, and values that are missing break no rule, as in the batch."""
+    monkeypatch.setattr(K, "fill_changes", lambda *_: pytest.fail("state per order"))
+    rows = _fill_events(spark).withColumn("recorded_at", F.when(F.col("event_id") % 7 != 0, F.col("recorded_at"))).withColumn("n", F.monotonically_increasing_id())
+    rows = rows.withColumn("fill_quantity_delta", F.when(F.col("event_id") % 13 != 0, F.col("fill_quantity_delta")))
+    got = K.judged_events(_stream(spark, rows, _files(rows, str(tmp_path / "in"), [F.col("n") % 3 == n for n in range(3)])))
+    assert rows_differ(got, X.judged_fills(rows, "order_id", F.to_date("occurred_at"))).count() == 0
