@@ -9,6 +9,8 @@ escaped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,13 +20,28 @@ from .identity import sha256
 _TOKENS = r'"(?:\\.|[^"\\])*"|-?[0-9][0-9.eE+\-]*|[^"0-9\-]+|[-"]'
 #: Whole numbers of more digits may not fit a long.
 _LONG_DIGITS = 18
+#: What a text to be marked holds somewhere: a digit before a point or an exponent, very many digits, or a ``#`` after a quote. Inside
+#: strings it may hold these too, and then marking leaves it as it is; few texts have none of them in vain.
+_TO_MARK = rf'[0-9][.eE]|[0-9]{{{_LONG_DIGITS + 1}}}|"(?:#|\\u0023)'
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row: an expression that is used several times is otherwise repeated, and so
+    is all that it is made of."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _decimal_text(number: Column) -> Column:
     """The exact value of a JSON number: all digits kept, an exponent only where it is positive or below the sixth zero."""
     part = lambda n: F.regexp_extract(number, r"^(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$", n)
+    shifted = F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.length(part(3))
     digits = F.regexp_replace(F.concat(part(2), part(3)), "^0+(?=[0-9])", "")
-    exponent = F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.length(part(3))
+    return once(F.struct(part(1).alias("sign"), digits.alias("digits"), shifted.alias("exponent")), _placed_digits)
+
+
+def _placed_digits(number: Column) -> Column:
+    """A sign, digits and an exponent as text."""
+    digits, exponent = number["digits"], number["exponent"]
     count = F.length(digits)
     before = exponent + count  # digits before the point
     point = F.when((exponent <= 0) & (before > -6), before).otherwise(F.lit(1))
@@ -35,7 +52,7 @@ def _decimal_text(number: Column) -> Column:
     )
     shift = before - point
     tail = F.when(shift == 0, "").otherwise(F.concat(F.lit("E"), F.when(shift > 0, "+").otherwise(""), shift.cast("string")))
-    return F.concat(part(1), body, tail)
+    return F.concat(number["sign"], body, tail)
 
 
 def marked(text: Column) -> Column:
@@ -50,13 +67,17 @@ def marked(text: Column) -> Column:
             .otherwise(t)
         )
 
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), token), "")
+    def tokens(t: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(_TOKENS), F.lit(0)), token), "")
+
+    return once(text, lambda t: F.when(t.rlike(_TO_MARK), tokens(t)).otherwise(t))
 
 
 def _unmarked(text: Column) -> Column:
     # A mark opens a text, so no backslash stands before its quote.
     whole = F.regexp_replace(text, r'(?<!\\)"#i(-?[0-9]+)"', "$1")
-    return F.regexp_replace(F.regexp_replace(whole, r'(?<!\\)"#f', '"'), r'(?<!\\)"##', '"#')
+    plain = F.regexp_replace(F.regexp_replace(whole, r'(?<!\\)"#f', '"'), r'(?<!\\)"##', '"#')
+    return F.when(F.contains(text, F.lit('"#')), plain).otherwise(text)
 
 
 def _ascii(text: Column) -> Column:
@@ -77,7 +98,7 @@ def _ascii(text: Column) -> Column:
 
 def canonical_marked(text: Column) -> Column:
     """Canonical form of a text ``marked`` has gone over; null if it is no JSON or repeats a key."""
-    return _ascii(_unmarked(F.to_json(F.try_parse_json(text))))
+    return once(F.to_json(F.try_parse_json(text)), lambda t: once(_unmarked(t), _ascii))
 
 
 def canonical_text(text: Column) -> Column:
@@ -85,11 +106,29 @@ def canonical_text(text: Column) -> Column:
     return canonical_marked(marked(text))
 
 
+def is_canonical(text: Column, parsed: Column) -> Column:
+    """Whether a text is its own canonical form; ``parsed`` is its variant. Null if it is no JSON or repeats a key.
+
+    A text of plain characters without marks, escapes by number and numbers to be rewritten is canonical if the variant is
+    written as that text.
+    """
+    special = text.rlike(rf"{_TO_MARK}|[^\x20-\x7e]|\\u")
+    return F.when(special, canonical_text(text) == text).otherwise(F.to_json(parsed) == text)
+
+
 def wire_hash(text: Column) -> Column:
     """SHA-256 of the canonical form: the same for texts that differ in the order of keys, spaces or escapes only."""
     return sha256(canonical_text(text))
 
 
+def _may_be_inexact(places: int) -> str:
+    return rf"[0-9][eE]|\.[0-9]{{{places + 1}}}"
+
+
+#: What a text holds in which a number has a digit past the 18th place.
+MAY_BE_INEXACT = _may_be_inexact(18)
+
+
 def inexact(outside_strings: Column, places: int = 18) -> Column:
     """Whether any number of a JSON text (with its strings taken out) has a digit past so many decimal places, judged by value."""
 
@@ -101,4 +140,4 @@ def inexact(outside_strings: Column, places: int = 18) -> Column:
 
     numbers = F.regexp_extract_all(outside_strings, F.lit(r"-?[0-9][0-9.eE+\-]*"), F.lit(0))
     # Few bodies hold such numbers at all; only those are looked at one by one.
-    return F.when(outside_strings.rlike(rf"[0-9][eE]|\.[0-9]{{{places + 1}}}"), F.exists(numbers, beyond)).otherwise(F.lit(False))
+    return F.when(outside_strings.rlike(_may_be_inexact(places)), F.exists(numbers, beyond)).otherwise(F.lit(False))

@@ -11,7 +11,7 @@ from ..functions.identity import content_versions, sha256
 from ..functions.joins import small_side
 from ..functions.ordered import previous_values
 from ..functions.rules import differs, first_reason, yes
-from ..functions.wire import canonical_marked, inexact, marked
+from ..functions.wire import MAY_BE_INEXACT, canonical_marked, inexact, marked
 from ..session import staged
 
 BARS_PATH = "/v2/stocks/bars"
@@ -38,14 +38,15 @@ def strict_json_reason(text: Column) -> Column:
     follows the value breaks one of the two.
     """
     outside_strings = F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', '""')
-    non_finite = outside_strings.rlike(r"(?:^|[:\[,\s])-?(?:NaN|Infinity)(?:$|[\],}\s])")
+    # What a text does not hold at all it does not hold outside its strings; few have to be looked at more closely.
+    non_finite = text.rlike("NaN|Infinity") & outside_strings.rlike(r"(?:^|[:\[,\s])-?(?:NaN|Infinity)(?:$|[\],}\s])")
     listed = F.concat(F.lit("["), text, F.lit("]"))
     alone = (F.json_array_length(listed) == 1) & (F.size(F.json_object_keys(F.concat(F.lit('{"w":'), text, F.lit("}")))) == 1)
     return (
         F.when(yes(non_finite), "non_finite_number")
         .when(~yes(alone) | F.json_object_keys(text).isNull(), "malformed")
         .when(F.try_parse_json(listed).isNull(), "duplicate_key")
-        .when(yes(inexact(outside_strings)), "inexact_number")
+        .when(text.rlike(MAY_BE_INEXACT) & yes(inexact(outside_strings)), "inexact_number")
     )
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clocks import offset_instant
-from ..functions.rules import DIGEST, IDENTIFIER, SYMBOL, first_reason, matches, no
-from ..functions.wire import canonical_text
+from ..functions.rules import DIGEST, IDENTIFIER, SYMBOL, first_reason, matches, no, yes
+from ..functions.wire import is_canonical
 from ..operators.capture import ACTIONS_PATH, BARS_PATH, strict_json_reason
 from ..schemas import PAGES, require
 from ..session import pin
@@ -48,6 +48,8 @@ BODY_BYTES = 4_000_000
 def _shaped(value: Column, fields: dict[str, str], optional: dict[str, str] | None = None) -> Column:
     """Whether a variant is an object of exactly these fields and types."""
     optional = optional or {}
+    if not optional:
+        return matches(F.schema_of_variant(value), f"^OBJECT<{', '.join(f'{name}: {kind}' for name, kind in sorted(fields.items()))}>$")
     parts = [f"{name}: {kind}, " if name in fields else f"(?:{name}: {kind}, )?" for name, kind in sorted({**fields, **optional}.items())]
     inside = F.concat(F.regexp_extract(F.schema_of_variant(value), r"^OBJECT<(.*)>$", 1), F.lit(", "))
     return matches(inside, f"^{''.join(parts)}$")
@@ -109,27 +111,33 @@ def judged_files(files: DataFrame, adapter_version: str | None = None, first_sup
     named = files.select(
         "path", F.nullif(F.regexp_extract("path", r"([a-f0-9]{64})\.json$", 1), F.lit("")).alias("capture_id"), F.sha2("content", 256).alias("digest"),
         F.octet_length("content").alias("bytes"), F.try_validate_utf8(F.col("content").cast("string")).alias("body"))
-    v, pages = F.try_parse_json("body"), _items(F.try_parse_json("body"), "$.pages")
+    v, pages = F.col("__v"), F.col("__pages")
+    # Columns of their own, so that a body is parsed once and not by every rule that looks at it.
+    parsed = named.withColumn("__v", F.try_parse_json("body")).withColumns({
+        "__canonical": yes(is_canonical(F.col("body"), v)) & F.startswith(F.col("body"), F.lit("{")),
+        "__pages": _items(v, "$.pages"), "__request": F.try_variant_get(v, "$.request", "variant"),
+        "__asked": offset_instant(_text(v, "$.requested_at")), "__done": offset_instant(_text(v, "$.captured_at"))})
     instant = lambda value, path: offset_instant(_text(value, path))
     page_fine = lambda p: (
         (F.try_variant_get(p, "$.schema_version", "bigint") == 1) & _text(p, "$.path").isin(BARS_PATH, ACTIONS_PATH)
         & (F.coalesce(F.length(_text(p, "$.request_id")), F.lit(0)) <= 128) & F.length(_text(p, "$.body")).between(2, BODY_BYTES)
         & instant(p, "$.received_at").isNotNull())
-    asked, done = instant(v, "$.requested_at"), instant(v, "$.captured_at")
+    asked, done = F.col("__asked"), F.col("__done")
     version = _text(v, "$.adapter_version")
-    return named.withColumn("reason", F.coalesce(first_reason([
+    return parsed.withColumn("reason", F.coalesce(first_reason([
         ("unnamed_file", no(F.col("capture_id").rlike(DIGEST))),
         ("checksum_mismatch", no(F.col("capture_id") == F.col("digest"))),
         ("not_utf8", F.col("body").isNull()),
-        ("invalid_json", strict_json_reason(F.col("body")).isNotNull()),
-        ("not_canonical", no(canonical_text(F.col("body")) == F.col("body"))),
+        # A canonical object is strict: one value, each key once, every number whole.
+        ("invalid_json", ~F.col("__canonical") & strict_json_reason(F.col("body")).isNotNull()),
+        ("not_canonical", ~F.col("__canonical")),
         ("invalid_fields", ~_shaped(v, CAPTURE) | no(F.forall(pages, lambda p: _shaped(p, PAGE)))),
         ("invalid_value", no((F.try_variant_get(v, "$.schema_version", "bigint") == 1) & _text(v, "$.origin").isin(*ORIGINS)
                              & (matches(version, IDENTIFIER) if adapter_version is None else version == adapter_version)
                              & asked.isNotNull() & done.isNotNull())),
         ("invalid_page", no((F.size(pages) > 0) & F.forall(pages, page_fine))),
         ("page_outside_capture", no(F.forall(pages, lambda p: instant(p, "$.received_at").between(asked, done)))),
-    ]), request_reason(F.try_variant_get(v, "$.request", "variant"), first_supported)))
+    ]), request_reason(F.col("__request"), first_supported))).drop("__v", "__canonical", "__pages", "__request", "__asked", "__done")
 
 
 def quarantine(judged: DataFrame) -> DataFrame:

@@ -63,12 +63,18 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Hand rows out to all task slots when a scan has fewer splits than slots, before costly work per row.
+    """Hand rows out to all task slots where a scan gives them to few, before costly work per row.
 
-    A large table has more splits than slots and passes through untouched, without a shuffle.
+    Splits go by bytes, rows by row groups: a file of a few large groups has many splits and most of them are empty. So rows are
+    counted per split (from the footers only) and an even table passes through untouched, without a shuffle.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    counted = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    found = counted.agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.max("split").alias("last")).first()
+    if found["total"] is None or found["most"] * slots <= 2 * found["total"]:
+        return df
+    # Some more parts than slots, so that the last ones do not run alone.
+    return df.repartition(max(3 * slots, found["last"] + 1))
 
 
 _ARROW = {"string": pa.string(), "date": pa.date32(), "int": pa.int32(), "bigint": pa.int64()}
