@@ -53,13 +53,15 @@ def strict_json_reason(text: Column) -> Column:
 def page_rejects(pages: DataFrame) -> DataFrame:
     """Add ``reason`` and ``token`` to pages: what is wrong with the shape of a body, in checking order."""
     group = F.when(F.col("path") == BARS_PATH, F.lit("bars")).otherwise(F.lit("corporate_actions"))
-    names = F.json_object_keys("body")
-    # A body that is no object has no keys; the strict reading below says why.
-    raw_group = F.get_json_object("body", "$.bars")
-    raw_group = F.when(F.col("path") == BARS_PATH, raw_group).otherwise(F.get_json_object("body", "$.corporate_actions"))
-    lists = F.from_json(raw_group, "map<string,array<string>>")
-    # A raw token keeps its quotes, which tells text from a number.
-    raw_token = F.regexp_extract("body", r'"next_page_token"\s*:\s*("(?:\\.|[^"\\])*"|[^,}\s]+)', 1)
+    # Columns of their own, so that a body is read once for each and not by every rule. A body that is no object has no keys; the
+    # strict reading below says why.
+    read = pages.withColumns({
+        "__names": F.json_object_keys("body"),
+        "__group": F.when(F.col("path") == BARS_PATH, F.get_json_object("body", "$.bars")).otherwise(F.get_json_object("body", "$.corporate_actions")),
+        # A raw token keeps its quotes, which tells text from a number.
+        "__token": F.regexp_extract("body", r'"next_page_token"\s*:\s*("(?:\\.|[^"\\])*"|[^,}\s]+)', 1),
+    }).withColumn("__lists", F.from_json("__group", "map<string,array<string>>"))
+    names, raw_group, raw_token, lists = (F.col(n) for n in ("__names", "__group", "__token", "__lists"))
     token = F.get_json_object("body", "$.next_page_token")
     is_text = raw_token.startswith('"')
     shaped = F.coalesce(F.substring(F.ltrim(raw_group), 1, 1) == "{", F.lit(True))
@@ -80,7 +82,8 @@ def page_rejects(pages: DataFrame) -> DataFrame:
         ("invalid_pagination", (raw_token != "null") & (~is_text | ~F.length(token).between(1, 4096))),
         ("empty_page", (raw_token != "null") & ~valued),
     ])
-    return pages.withColumn("token", F.when(raw_token != "null", token)).withColumn("reason", reason)
+    judged = read.withColumn("token", F.when(raw_token != "null", token)).withColumn("reason", reason)
+    return judged.drop("__names", "__group", "__token", "__lists")
 
 
 def minute_rows(pages: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def _day(text):
 
 
 def _actions(spark, sf):
-    rows = staged(C.action_rows(C.sound_pages(C.page_rejects(A.action_pages(spark, sf)))), "action-rows")
+    rows = staged(C.action_rows(C.sound_pages(C.judged_pages(A.action_pages(spark, sf)))), "action-rows")
     return C.classify_actions(rows, A.order_sessions(spark, sf), _listed(spark, sf), _day("1996-01-01"), _day("1999-12-31"))
 
 

@@ -157,3 +157,9 @@ def test_every_page_is_accounted_for(spark):
     for n, (_, reason) in enumerate(PAGES):
         if reason:
             assert [r["reason"] for r in found if r["seq"] == n] == [reason]
+
+
+def test_a_page_body_is_read_once_for_all_rules(spark):
+    pages = spark.createDataFrame([("/v2/stocks/bars", "{}")], "path string, body string")
+    plan = C.page_rejects(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") <= 5 and plan.count("from_json") <= 1
