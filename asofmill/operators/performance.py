@@ -79,7 +79,7 @@ def cost_sweep(fills: DataFrame, prices: DataFrame, keys: Sequence[str], scenari
 
     ``fills`` has symbol, place (the number of its session) and quantity; ``prices`` symbol, place and price, one row each. A fill
     whose delayed session has no price adds to ``unpriced`` and not to the cash. The scenarios are columns of one join and one
-    aggregate, so their number changes neither rows nor shuffles.
+    aggregate, so their number changes neither rows nor shuffles nor the work per fill.
     """
     delays = sorted({s.delay for s in scenarios})
     at = prices.select("symbol", "price", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("place") - d).alias("place")) for d in delays])).alias("x"))
@@ -87,15 +87,22 @@ def cost_sweep(fills: DataFrame, prices: DataFrame, keys: Sequence[str], scenari
     priced = fills.join(known, ["symbol", "place"], "left")
     q = F.col("quantity").cast("decimal(20,0)")
 
-    def cash(s: Scenario) -> Column:
-        # Whole ten-thousandths, so that sums are exact and the order of rows does not matter.
-        price = F.col(f"__p{s.delay}").cast("decimal(18,4)")
-        cost = F.abs(q) * price * F.lit(s.bps).cast("decimal(6,0)") / F.lit(10_000).cast("decimal(6,0)")
-        return F.when(price.isNotNull(), -(q * price) - cost - F.lit(s.commission).cast("decimal(18,4)")).cast("decimal(38,8)")
-
+    # Cash is linear in what is bought less sold, in what is traded and in the number of fills, so three exact sums per delay serve
+    # all scenarios of that delay.
     sums = []
-    for n, s in enumerate(scenarios):
-        sums += [F.sum(cash(s)).alias(f"__c{n}"), F.count_if(F.col(f"__p{s.delay}").isNull()).alias(f"__u{n}")]
+    for d in delays:
+        price = F.col(f"__p{d}").cast("decimal(18,4)")
+        sums += [F.sum((q * price).cast("decimal(28,4)")).alias(f"__net{d}"), F.sum((F.abs(q) * price).cast("decimal(28,4)")).alias(f"__traded{d}"),
+                 F.count(price).alias(f"__priced{d}")]
     grouped = priced.groupBy(*keys).agg(F.count(F.lit(1)).alias("fills"), *sums)
-    rows = F.array(*[F.struct(F.lit(s.name).alias("scenario"), F.col(f"__c{n}").alias("cash"), F.col(f"__u{n}").alias("unpriced")) for n, s in enumerate(scenarios)])
+
+    def cash(s: Scenario) -> Column:
+        net, traded, count = (F.col(f"__{name}{s.delay}") for name in ("net", "traded", "priced"))
+        # Ten-thousandths of ten-thousandths: a division would drop digits.
+        cost = traded.cast("decimal(32,4)") * F.lit(f"{s.bps / 10_000:.4f}").cast("decimal(5,4)")
+        fees = count.cast("decimal(20,0)") * F.lit(s.commission).cast("decimal(16,4)")
+        # Narrow enough that the differences keep eight places.
+        return (-net.cast("decimal(34,8)") - cost.cast("decimal(34,8)") - fees.cast("decimal(34,8)")).cast("decimal(38,8)")
+
+    rows = F.array(*[F.struct(F.lit(s.name).alias("scenario"), cash(s).alias("cash"), (F.col("fills") - F.col(f"__priced{s.delay}")).alias("unpriced")) for s in scenarios])
     return grouped.select(*keys, "fills", F.inline(rows))

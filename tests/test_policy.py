@@ -239,3 +239,19 @@ def test_category_rates(spark):
     assert whole["low"] < whole["accuracy"] < whole["high"]
     mean = sum(weight(i, r) for i in range(300) for r in range(20)) / 6000
     assert abs(mean - 1) < 0.05
+
+
+def test_scenarios_share_their_sums(spark):
+    """Twenty scenarios of two delays need two sums each, and lose no digit of a price."""
+    from asofmill.operators import performance
+
+    scenarios = [performance.Scenario(f"{bps}/{commission}/{delay}", bps, commission, delay) for bps in (0, 1, 7, 25, 33) for commission in ("0", "0.35") for delay in (0, 1)]
+    fills = spark.createDataFrame([("a", "X", 1, 3), ("a", "X", 2, -7), ("a", "X", 3, 1)], "account string, symbol string, place long, quantity long")
+    prices = spark.createDataFrame([("X", 1, "10.0001"), ("X", 2, "11.0003")], "symbol string, place long, price string").withColumn("price", F.col("price").cast("decimal(18,4)"))
+    found = performance.cost_sweep(fills, prices, ["account"], scenarios)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sum(") <= 4
+    price = {1: Decimal("10.0001"), 2: Decimal("11.0003")}
+    for row in found.collect():
+        bps, commission, delay = row["scenario"].split("/")
+        known = [(q, price[p + int(delay)]) for p, q in ((1, 3), (2, -7), (3, 1)) if p + int(delay) in price]
+        assert row["cash"] == sum(-q * p - abs(q) * p * int(bps) / 10_000 - Decimal(commission) for q, p in known) and row["unpriced"] == 3 - len(known)
