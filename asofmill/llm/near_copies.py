@@ -7,10 +7,12 @@ followed through whole components.
 Defined results: texts without words are equal to each other and to nothing else; rows without id take part but never stay while a
 row of the component has an id; of rows that share id and text one stays; an empty table gives an empty result.
 
-Plan: texts with equal shingles collapse to one row. Candidates share one of ``BANDS`` keys of ``ROWS`` least hashes: a pair at
-similarity 0.8 has none in common with probability (1 - 0.8^4)^26, about one in a million, and less above. The least text of a
-bucket is its vantage point: every other text of its buckets gets its exact distance (one minus similarity, a metric) to it, and texts
-within the bound are linked. Distances deal the rest into rings as wide as the bound; by the triangle inequality a link joins texts
+Plan: texts with equal shingles collapse to one row. Texts whose SimHash fingerprints over these shingles are connected by the
+vantage-point trees of ``simhash`` (at most ``DISTANCE`` bits) make one bucket. Similarity 0.8 lets many more bits differ than a tree can
+reach, so texts also meet by ``BANDS`` keys of ``ROWS`` least hashes: a pair at similarity 0.8 has none in common with probability
+(1 - 0.8^4)^26, about one in a million, and less above. Buckets of either kind only say who meets; links are decided exactly. The least
+text of a bucket is its vantage point: every other text of its buckets gets its exact distance (one minus similarity, a metric) to it,
+and texts within the bound are linked. Distances deal the rest into rings as wide as the bound; by the triangle inequality a link joins texts
 of one ring or of neighbouring rings. Only texts that are not yet connected with their vantage point look further, and only there.
 Both steps run in cells of bounded size: links join sets as they are found, a cell returns spanning edges, pairs are never listed.
 """
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .components import stars
 from .rows import keep_rows, row_key, text_or_empty
+from .simhash import DISTANCE, links, majority
 from .vptree import Forest
 
 WORDS = 5
@@ -55,6 +58,14 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), dtype=np.uint64, count=count))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of the distinct shingles as a signed 64-bit number; zero without any."""
+    if not len(hashes):
+        return 0
+    value = majority([hashes[low:low + 65_536] for low in range(0, len(hashes), 65_536)], len(hashes))
+    return int(np.uint64(value).view(np.int64))
+
+
 def band_keys(hashes: np.ndarray) -> list[int]:
     """Signed 64-bit keys; texts with equal least hashes in a band share its key."""
     if not len(hashes):
@@ -68,7 +79,7 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """id, x, the 128-bit digest of the shingles, their number, band keys."""
+    """id, x, the 128-bit digest of the shingles, their number, fingerprint, band keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -76,10 +87,18 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
             for text in batch.pop("text"):
                 hashes = shingles(text, words)
                 whole = xxhash.xxh3_128_digest(hashes.tobytes())
-                found.append((*np.frombuffer(whole, dtype=np.int64).tolist(), len(hashes), band_keys(hashes)))
-            yield batch.assign(**dict(zip(("high", "low", "size", "keys"), map(list, zip(*found))))) if found else batch.assign(high=[], low=[], size=[], keys=[])
+                found.append((*np.frombuffer(whole, dtype=np.int64).tolist(), len(hashes), fingerprint(hashes), band_keys(hashes)))
+            names = ("high", "low", "size", "fp", "keys")
+            yield batch.assign(**dict(zip(names, map(list, zip(*found))))) if found else batch.assign(**{name: [] for name in names})
+
+    return staged(docs.mapInPandas(run, "id long, x long, high long, low long, size int, fp long, keys array<long>"), "shingle-prints")
+
 
-    return staged(docs.mapInPandas(run, "id long, x long, high long, low long, size int, keys array<long>"), "shingle-prints")
+def _near_fingerprints(sets: DataFrame, distance: int) -> DataFrame:
+    """(n, size, key): texts whose fingerprints are connected share a key. Texts without words are one set already."""
+    worded = sets.where("size > 0").select("n", "size", "fp")
+    found = stars(links(staged(worded.select("fp").distinct(), "distinct-fingerprints"), distance))
+    return staged(worded.join(found, F.col("fp") == F.col("node"), "left").select("n", "size", F.coalesce("root", "fp").alias("key")), "fingerprint-keys")
 
 
 def _grams(rows: DataFrame, words: int) -> DataFrame:
@@ -201,14 +220,14 @@ def _spanning(similarity: tuple[int, int]):
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                 similarity: tuple[int, int] = SIMILARITY, cell: int = CELL) -> DataFrame:
+                 similarity: tuple[int, int] = SIMILARITY, cell: int = CELL, distance: int = DISTANCE) -> DataFrame:
     """One document of each component stays, with all its columns: the one with the smallest id."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), row_key(text_col).alias("x"), text_or_empty(text_col).alias("text"))
     prints = _prints(source, words)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "x")).alias("least")
-    sets = staged(prints.groupBy("high", "low").agg(first, F.first("size").alias("size"), F.first("keys").alias("keys")).select(
-        F.monotonically_increasing_id().alias("n"), "least", "size", "keys"), "shingle-sets")
-    entries = sets.select("n", "size", F.explode("keys").alias("key"))
+    sets = staged(prints.groupBy("high", "low").agg(first, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).select(
+        F.monotonically_increasing_id().alias("n"), "least", "size", "fp", "keys"), "shingle-sets")
+    entries = _near_fingerprints(sets, distance).unionAll(sets.select("n", "size", F.explode("keys").alias("key")))
     buckets = entries.groupBy("key").agg(F.min(F.struct("n", "size")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
     # (ball, n): a vantage point is known by its number. A text meets it once, however many buckets they share.
     balls = staged(entries.join(staged(buckets.select(F.col("key").alias("bucket"), "head"), "buckets"), F.col("key") == F.col("bucket")).select(

@@ -16,7 +16,7 @@ a task never holds more than twice ``CELL`` rows. A cell returns a spanning star
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,11 +48,21 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         return xxhash.xxh64_intdigest(line, 42)
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for low in range(0, count, 65_536):  # bounds memory for very long texts
-        high = min(count, low + 65_536)
-        hashes = [digest(line[a:b], 42) for a, b in zip(starts[low:high].tolist(), ends[low + words - 1:high + words - 1].tolist())]
-        bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8)).reshape(-1, 64)
+    digest = xxhash.xxh64_intdigest
+
+    def chunks() -> Iterator[list[int]]:
+        for low in range(0, count, 65_536):  # bounds memory for very long texts
+            high = min(count, low + 65_536)
+            yield [digest(line[a:b], 42) for a, b in zip(starts[low:high].tolist(), ends[low + words - 1:high + words - 1].tolist())]
+
+    return majority(chunks(), count)
+
+
+def majority(chunks: Iterable, count: int) -> int:
+    """The bits that are set in over half of ``count`` 64-bit values, which come in chunks."""
+    total = np.zeros(64, dtype=np.int64)
+    for hashes in chunks:
+        bits = np.unpackbits(np.asarray(hashes, dtype=">u8").view(np.uint8)).reshape(-1, 64)
         full = len(bits) // 255 * 255  # sums of 255 bits fit a byte
         total += bits[:full].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         total += bits[full:].sum(axis=0, dtype=np.int64)

@@ -65,3 +65,28 @@ def test_repeated_rows_and_rows_without_id(spark):
     docs = spark.createDataFrame([(None, "a b"), (2, "a b"), (2, "A b"), (2, "a b"), (None, "c"), (None, "c")], "doc_id long, text string")
     kept = near_copies.drop_similar(docs)
     assert sorted((r.doc_id is None, r.doc_id, r.text.lower()) for r in kept.collect()) == [(False, 2, "a b"), (True, None, "c")]
+
+
+def test_fingerprints_bring_texts_together(spark, monkeypatch):
+    """Without any band key, SimHash and its trees alone connect copies whose fingerprints are near, and links are still exact."""
+    rng = random.Random(9)
+    given = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(800)]
+        given += [" ".join(words), edited(words, 1, rng), edited(words, 400, rng)]
+    prints = [near_copies.fingerprint(near_copies.shingles(t)) for t in given]
+    near = [(n, m) for n in range(len(given)) for m in range(n) if ((prints[n] ^ prints[m]) & (2 ** 64 - 1)).bit_count() <= 4]
+    root = union_find(len(given), near)
+    expected = [n for n in range(len(given)) if root[n] == n]
+    assert 80 <= len(expected) < 100
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "band_keys", lambda hashes: [])
+    assert sorted(r.doc_id for r in near_copies.drop_similar(docs).collect()) == expected
+
+
+def test_fingerprint_is_the_majority_of_distinct_shingles():
+    text = "a b c d e f g a b c d e"
+    hashes = [int(h) for h in near_copies.shingles(text)]
+    bits = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+    assert near_copies.fingerprint(near_copies.shingles(text)) & (2 ** 64 - 1) == bits
+    assert near_copies.fingerprint(near_copies.shingles(" ")) == 0
