@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scans import Scan, running
+from ..session import staged
 
 
 def drawdowns(equity: DataFrame, keys: Sequence[str], slice_by: Column, session: str = "session", value: str = "equity") -> DataFrame:
@@ -18,18 +19,21 @@ def drawdowns(equity: DataFrame, keys: Sequence[str], slice_by: Column, session:
     recovers with the first value that reaches the peak again, and ``recovery_session`` is null where none does. Equal lowest values
     go by the first session.
     """
-    peaked = running(equity.select(*keys, session, value), keys, [session], {"__peak": Scan("max", F.col(value), True)}, slice_by)
-    high = (F.col("__peak").isNull() | (F.col(value) >= F.col("__peak"))).cast("int")
-    numbered = running(peaked, keys, [session], {"__episode": Scan("sum", high)}, slice_by)
-    lowest = F.min(F.struct(value, session))
-    # An episode opens with its peak; every other row of it is lower.
-    grouped = numbered.groupBy(*keys, "__episode").agg(
-        F.min(session).alias("peak_session"), F.max(value).alias("peak"), lowest.alias("__low"), (F.count(F.lit(1)) - 1).alias("sessions_under"))
-    following = grouped.select(*[F.col(k).alias(f"__{k}") for k in keys], (F.col("__episode") - 1).alias("__before"), F.col("peak_session").alias("recovery_session"))
-    same = F.col("__episode") == F.col("__before")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    under = grouped.where("sessions_under > 0").join(following, same, "left")
+    rows = staged(equity.select(*keys, session, value), "equity")
+    # The highest value so far and, of equal ones, its last session name the peak; every row that is not lower opens an episode.
+    peaked = running(rows, keys, [session], {"__top": Scan("max", F.when(F.col(value).isNotNull(), F.struct(value, session)), True)}, slice_by)
+    high = F.col("__top").isNull() | (F.col(value) >= F.col(f"__top.{value}"))
+    own = F.struct(F.when(high, F.col(session)).otherwise(F.col(f"__top.{session}")).alias("episode"), F.lit(True).alias("own"))
+    # A row that opens an episode is the recovery of the one before.
+    before = F.struct(F.col(f"__top.{session}").alias("episode"), F.lit(False).alias("own"))
+    parts = F.when(high & F.col("__top").isNotNull(), F.array(own, before)).otherwise(F.array(own))
+    spread = peaked.select(*keys, session, value, F.explode(parts).alias("__part"))
+    mine = F.col("__part.own")
+    grouped = spread.groupBy(*keys, F.col("__part.episode").alias("__episode")).agg(
+        F.min(F.when(mine, F.col(session))).alias("peak_session"), F.max(F.when(mine, F.col(value))).alias("peak"),
+        F.min(F.when(mine, F.struct(value, session))).alias("__low"), (F.count(F.when(mine, 1)) - 1).alias("sessions_under"),
+        F.min(F.when(~mine, F.col(session))).alias("recovery_session"))
+    under = grouped.where("sessions_under > 0")
     trough = F.col(f"__low.{value}")
     depth = (F.col("peak").cast("double") - trough.cast("double")) / F.nullif(F.col("peak").cast("double"), F.lit(0.0))
     return under.select(*keys, "peak_session", "peak", F.col(f"__low.{session}").alias("trough_session"), trough.alias("trough"),

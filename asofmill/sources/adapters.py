@@ -13,6 +13,7 @@ from ..functions.identity import sha256
 from ..functions.scans import Scan, running
 from ..operators import bars as B
 from ..operators.quality import Plan
+from ..session import staged
 from .tables import driver_table, literal_rows, spread
 
 c = F.col
@@ -213,7 +214,7 @@ def account_equity(spark: SparkSession, sf: str) -> DataFrame:
     price = c("l_extendedprice").cast("decimal(18,2)")
     moved = driver_table(spark, sf, "lineitem").groupBy(c("l_suppkey").alias("account"), F.to_date("l_shipdate").alias("session")).agg(
         F.sum(F.when(c("l_linenumber") % 2 == 0, -price).otherwise(price)).alias("moved"))
-    total = running(moved, ["account"], ["session"], {"equity": Scan("sum", c("moved"))}, F.date_trunc("YEAR", "session"))
+    total = running(staged(moved, "account-moves"), ["account"], ["session"], {"equity": Scan("sum", c("moved"))}, F.date_trunc("YEAR", "session"))
     return total.select("account", "session", (c("equity") + 1_000_000).cast("decimal(20,2)").alias("equity"))
 
 
