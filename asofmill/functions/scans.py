@@ -30,6 +30,11 @@ class Scan(NamedTuple):
 _RUNNING = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda v: F.last(v, ignorenulls=True)}
 
 
+def row_number() -> Scan:
+    """The number of a row within its key, from one."""
+    return Scan("sum", F.lit(1).cast("bigint"))
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: dict[str, Scan], slice_by: Column) -> DataFrame:
     """All columns of ``df`` and one running value per scan."""
     values = {name: f"__v_{name}" for name in scans}
@@ -59,16 +64,40 @@ def moving(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dic
     ``values`` has a width and an aggregate by name. Rows are numbered and cut into blocks of ``block`` rows; the last rows of a block
     that a frame of the next one reaches also stand before it.
     """
-    width = max(w for w, _ in values.values())
+    numbered = running(df, keys, order, {"__row_no": row_number()}, slice_by)
+    spread, block_keys = _blocks(numbered, keys, max(w for w, _ in values.values()), block)
+    inside = Window.partitionBy(*block_keys).orderBy("__row_no")
+    framed = spread.select("*", *[value.over(inside.rowsBetween(1 - w, 0)).alias(name) for name, (w, value) in values.items()])
+    return _own(framed).drop("__row_no")
+
+
+def _blocks(numbered: DataFrame, keys: Sequence[str], width: int, block: int) -> tuple[DataFrame, list[str]]:
+    """Rows numbered by ``__row_no`` with the blocks they stand in, and what a block is known by."""
     block = max(block, width)
-    numbered = running(df, keys, order, {"__row_no": Scan("sum", F.lit(1).cast("bigint"))}, slice_by)
     place = F.col("__row_no") - 1
     home = F.floor(place / block).cast("bigint")
     halo = F.when(place % block > block - width, F.array(home, home + 1)).otherwise(F.array(home))
-    spread = numbered.withColumn("__home_block", home).withColumn("__in_block", F.explode(halo))
-    inside = Window.partitionBy(*keys, "__in_block").orderBy("__row_no")
-    framed = spread.select("*", *[value.over(inside.rowsBetween(1 - w, 0)).alias(name) for name, (w, value) in values.items()])
-    return framed.where(F.col("__in_block") == F.col("__home_block")).drop("__row_no", "__home_block", "__in_block")
+    return numbered.withColumn("__home_block", home).withColumn("__in_block", F.explode(halo)), [*keys, "__in_block"]
+
+
+def _own(framed: DataFrame) -> DataFrame:
+    return framed.where(F.col("__in_block") == F.col("__home_block")).drop("__home_block", "__in_block")
+
+
+def moving_sums(numbered: DataFrame, keys: Sequence[str], sums: dict[str, tuple[int, Column]], block: int = 65_536) -> DataFrame:
+    """Rows numbered by the scan ``__row_no``, with exact sums of values that are not null over the last so many rows of the key.
+
+    A sum is the total of its block up to the row less the total that many rows before: one addition per row, whatever the width.
+    It is zero where all values of a frame are null.
+    """
+    spread, block_keys = _blocks(numbered, keys, max(w for w, _ in sums.values()), block)
+    inside = Window.partitionBy(*block_keys).orderBy("__row_no")
+    totals = spread.select("*", *[F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias(f"__t_{name}")
+                                  for name, (_, value) in sums.items()])
+    # Before the first row of a block nothing is to be taken off.
+    found = totals.select(*numbered.columns, "__home_block", "__in_block", *[
+        (F.col(f"__t_{name}") - F.coalesce(F.lag(f"__t_{name}", w).over(inside), F.lit(0))).alias(name) for name, (w, _) in sums.items()])
+    return _own(found)
 
 
 def islands(intervals: DataFrame, keys: Sequence[str], start: str, end: str, slice_by: Column) -> DataFrame:
