@@ -47,19 +47,35 @@ def pending_rules() -> list[Rule]:
 
 
 def exposure_violations(cash: DataFrame, holdings: DataFrame, pending: DataFrame) -> DataFrame:
-    """Broken portfolio rules as (portfolio, reason). ``cash`` carries ``as_of``, holdings ``marked_at``."""
-    marks = holdings.join(cash.select("portfolio", "as_of"), "portfolio").where(F.col("marked_at") > F.col("as_of"))
-    named = [
-        (duplicate_keys(holdings, ["portfolio", "symbol"]), "duplicate_holding"),
-        (duplicate_keys(pending, ["portfolio", "intention_id"]), "duplicate_intention"),
-        (marks, "mark_after_as_of"),
-        (spendable(cash, pending).where(F.col("spendable_cash_usd") < 0), "reservations_exceed_cash"),
-        (oversold(pending, holdings), "sells_exceed_holding"),
-    ]
-    report = violations(pending, ["portfolio"], pending_rules())
-    for df, reason in named:
-        report = report.unionByName(df.select("portfolio", F.lit(reason).alias("reason")))
-    return report.distinct()
+    """Broken portfolio rules as (portfolio, reason). ``cash`` carries ``as_of``, holdings ``marked_at``.
+
+    Holdings and sells meet in one aggregate by symbol, these and the intentions in one by portfolio; each input is read once or twice
+    and no task joins more than portfolios.
+    """
+    c = F.col
+    flag = lambda name: F.max(name).alias(name)
+    # Unknown portfolios and symbols hold nothing that could be sold.
+    known = c("portfolio").isNotNull() & c("symbol").isNotNull()
+    held = holdings.select("portfolio", "symbol", F.lit(1).cast("bigint").alias("copies"), F.when(known, c("quantity")).alias("held"), "marked_at")
+    sold = pending.where(c("side") == "sell").select("portfolio", "symbol", c("remaining_quantity").alias("selling"))
+    by_symbol = held.unionByName(sold, allowMissingColumns=True).groupBy("portfolio", "symbol").agg(
+        F.sum("copies").alias("copies"), F.sum("held").alias("held"), F.sum("selling").alias("selling"), flag("marked_at"))
+    symbols = by_symbol.select(
+        "portfolio", "marked_at", (c("copies") > 1).alias("duplicate_holding"),
+        (c("selling").cast("bigint") > F.coalesce(c("held").cast("bigint"), F.lit(0))).alias("sells_exceed_holding"))
+    (reason, broken), = pending_rules()
+    intentions = pending.groupBy("portfolio", "intention_id").agg(
+        F.count(F.lit(1)).alias("copies"), F.sum("reserved_cash_usd").alias("reserved"), F.max(broken).alias(reason)
+    ).select("portfolio", (c("copies") > 1).alias("duplicate_intention"), "reserved", reason)
+    names = ["duplicate_holding", "sells_exceed_holding", "duplicate_intention", reason]
+    facts = symbols.unionByName(intentions, allowMissingColumns=True).groupBy("portfolio").agg(
+        flag("marked_at"), F.sum("reserved").alias("reserved"), *[flag(n) for n in names])
+    # Portfolios without cash keep the rules that need none.
+    joined = facts.join(cash.select("portfolio", "as_of", "cash_usd"), "portfolio", "full_outer")
+    rules = [(n, c(n)) for n in names] + [
+        ("mark_after_as_of", c("marked_at") > c("as_of")),
+        ("reservations_exceed_cash", (c("cash_usd") - F.coalesce("reserved", F.lit(0))).cast(_MONEY) < 0)]
+    return violations(joined, ["portfolio"], rules).distinct()
 
 
 def outside_universe(exposure: DataFrame, universe: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 import re
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from asofmill.operators import labels as Y
 from asofmill.operators import performance as P
 from asofmill.operators import signals as G
+from asofmill.operators.portfolio import exposure_violations
 
 DAY = date(2024, 1, 1)
 
@@ -70,3 +71,22 @@ def test_frames_without_closes_have_no_mean(spark, closes, signal):
     bars = spark.createDataFrame([("A", DAY + timedelta(days=n), v) for n, v in enumerate(closes)], "symbol string, session date, close double")
     got = G.trend_signals(bars, 3, 5, 4, F.date_trunc("YEAR", "session"))
     assert got.orderBy(F.desc("session")).first().signal == signal
+
+
+def test_portfolio_rules_in_one_join(spark):
+    """Odd rows: no cash, no portfolio, no symbol, repeated holdings and intentions; holdings are read once."""
+    early, late = datetime(2024, 1, 1), datetime(2024, 2, 1)
+    cash = spark.createDataFrame([(1, 10, late), (2, -1, late), (3, 5, early), (5, 0, None)], "portfolio int, cash_usd int, as_of timestamp").withColumn(
+        "cash_usd", F.col("cash_usd").cast("decimal(18,2)")).withColumn("dividend_receivable_usd", F.col("cash_usd"))
+    holdings = spark.createDataFrame(
+        [(1, "A", 5, early), (1, "A", 1, early), (3, "A", 2, late), (4, "A", 9, late), (None, "A", 7, late), (1, None, 7, early), (5, "A", 1, late)],
+        "portfolio int, symbol string, quantity long, marked_at timestamp")
+    pending = spark.createDataFrame(
+        [(1, 1, "A", "sell", 6, 0), (1, 2, "A", "buy", 9, 11), (1, None, None, "sell", 1, 0), (4, 1, "A", "sell", 10, 1), (4, 1, "B", "buy", 1, 1), (None, 1, "A", "sell", 1, 0)],
+        "portfolio int, intention_id int, symbol string, side string, remaining_quantity long, reserved_cash_usd int").withColumn(
+        "reserved_cash_usd", F.col("reserved_cash_usd").cast("decimal(18,2)"))
+    got = exposure_violations(cash, holdings, pending)
+    assert len(re.findall(r"Join", plan(got))) == 1
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
+        (1, "duplicate_holding"), (1, "reservations_exceed_cash"), (1, "sells_exceed_holding"), (2, "reservations_exceed_cash"), (3, "mark_after_as_of"),
+        (4, "duplicate_intention"), (4, "sell_reserves_cash"), (4, "sells_exceed_holding"), (None, "sells_exceed_holding")]))
