@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import give_back
 from .bpe_automaton import Automaton, byte_symbols, load
 from .rows import text_or_empty
 
@@ -157,7 +158,9 @@ class Codec:
 def read_codec(docs: DataFrame, path: str):
     """The codec of a tokenizer file, as a broadcast variable."""
     with open(path, encoding="utf-8") as file:
-        return docs.sparkSession.sparkContext.broadcast(codec_of(file.read()))
+        codec = docs.sparkSession.sparkContext.broadcast(codec_of(file.read()))
+    give_back()
+    return codec
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

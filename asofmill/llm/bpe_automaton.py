@@ -106,10 +106,13 @@ class Automaton:
         column = np.zeros(len(labels), dtype=np.int64)
         column[order] = column_of
         return cls(labels, suffix, row.astype(np.int32), column.astype(np.int32), allowed,
-                   max(len(t.removesuffix(suffix)) if suffix else len(t) for t in labels))._index()
+                   max(len(t.removesuffix(suffix)) if suffix else len(t) for t in labels))
 
-    def _index(self) -> Automaton:
-        """Per label what reading it takes: its number, the states that allow it, the state it leads to."""
+    def _index(self) -> None:
+        """Per label what reading it takes: its number, the states that allow it, the state it leads to.
+
+        Made for the first word, so the driver, which only compiles and sends the automaton, never holds it.
+        """
         bits, row = [column.tobytes() for column in self.allowed], self.row.tolist()
         self.start = row[-1]
         for number, text in enumerate(self.labels[:len(self.column)]):
@@ -120,20 +123,17 @@ class Automaton:
                 self.inner[text] = arc
         if not self.suffix:
             self.final = self.inner
-        return self
 
     def __getstate__(self):
         return {**self.__dict__, "inner": {}, "final": {}}
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._index()
-
     def encode(self, word: str) -> list[int]:
         """Labels of the only accepted path that spells the word.
 
         Exactly one label that ends at a place may be read in the state its begin leads to, so one pass finds the path.
         """
+        if not self.inner:
+            self._index()
         size, longest, table = len(word), self.longest, self.inner.get
         state, path = [self.start] + [-1] * size, [(0, -1)] * (size + 1)
         for end in range(1, size + 1):

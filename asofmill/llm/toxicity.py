@@ -34,6 +34,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import give_back
 from .rows import fresh, text_or_empty
 
 BUCKETS = 1 << 16
@@ -182,6 +183,8 @@ def train(texts: list[str], labels: np.ndarray, negatives_per_sampled: float = 1
     if not len(texts) or len(np.unique(labels[learn])) < 2:
         return Model(np.zeros((buckets, dimensions)), model.layer, np.zeros(2))
     sample, per_row = _Sample(texts, buckets), learn / learn.sum()
+    del texts  # the sample holds word numbers only
+    give_back()
     for width, rounds in ((None, whole_rounds), (window, window_rounds)):
         edges, speed, last = sample.windows(width), [0.0, 0.0, 0.0], np.inf
         for _ in range(rounds):
@@ -232,7 +235,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.assign(place=[zlib.crc32(f"{i}/fold".encode()) for i in rows["id"]]).sort_values(["place", "id", "text"])
     taken = int((rows["label"] == 0).sum())
     behind = known.where("label = 0").count() / taken if taken else 1.0
-    return train(list(rows["text"]), rows["label"].to_numpy(), max(1.0, behind), **training)
+    rows, columns = None, {name: rows[name].tolist() for name in ("text", "label")}
+    give_back()
+    model = train(columns.pop("text"), np.array(columns["label"]), max(1.0, behind), **training)
+    give_back()
+    return model
 
 
 #: Table sums are whole multiples of one part in FINE, so a sum does not depend on what was added before it.
