@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from asofmill.operators import labels as Y
 from asofmill.operators import performance as P
 from asofmill.operators import signals as G
+from asofmill.operators.context import eligible_context
 from asofmill.operators.portfolio import exposure_violations
 
 DAY = date(2024, 1, 1)
@@ -90,3 +91,28 @@ def test_portfolio_rules_in_one_join(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
         (1, "duplicate_holding"), (1, "reservations_exceed_cash"), (1, "sells_exceed_holding"), (2, "reservations_exceed_cash"), (3, "mark_after_as_of"),
         (4, "duplicate_intention"), (4, "sell_reserves_cash"), (4, "sells_exceed_holding"), (None, "sells_exceed_holding")]))
+
+
+def test_context_items_meet_their_decision_once(spark):
+    """A decision given twice, one that is unknown, rows that repeat, null keys; every item is joined with its decision and nothing else."""
+    at = lambda n: datetime(2024, 1, n)
+    row = (1, "paper", at(5), datetime(2024, 1, 6, 15), date(2024, 1, 6), at(7), at(5), [0], "s1", ["a"], None, None)
+    contexts = spark.createDataFrame([row, row], "context_id long, mode string, decision_at timestamp, execution_at timestamp, execution_session date, "
+                                     "target_expires_at timestamp, portfolio_as_of timestamp, dataset_ids array<long>, feature_schema_id string, "
+                                     "feature_names array<string>, model_trained_through timestamp, model_created_at timestamp")
+    universe = spark.createDataFrame([(1, "A"), (1, "A"), (2, None)], "context_id long, symbol string").withColumns(
+        {"listed_on": F.lit(date(2023, 1, 1)), "delisted_on": F.lit(None).cast("date")})
+    day = date(2024, 1, 2)
+    observations = spark.createDataFrame(
+        [(1, "A", day, 0, at(3), at(4)), (1, "A", day, 0, at(2), at(4)), (1, "B", day, 0, at(3), at(4)), (1, None, day, 0, at(3), at(4)), (2, "A", day, 0, at(9), at(9))],
+        "context_id long, symbol string, session date, dataset_id long, available_at timestamp, first_ingested_at timestamp").withColumn("origin", F.lit("x"))
+    features = spark.createDataFrame(
+        [(1, "A", day, 0, at(1), at(5)), (1, "A", date(2024, 1, 3), 0, at(3), at(5)), (1, None, day, 0, at(3), at(5)), (2, "A", day, 0, at(9), at(8))],
+        "context_id long, symbol string, session date, dataset_id long, available_at timestamp, computed_at timestamp").withColumns(
+        {"adjusted_as_of": F.lit(at(1)), "feature_schema_id": F.lit("s1"), "names": F.array(F.lit("a"))})
+    got = eligible_context(contexts, universe, observations, features)
+    assert len(re.findall(r"Join", plan(got))) == 1
+    expected = ([(1, "A", "duplicate_instrument"), (1, "A|2024-01-02", "duplicate_observation"), (1, "A|2024-01-02", "no_observation"),
+                 (1, "A|2024-01-03", "no_observation"), (1, "2024-01-02", "no_observation"), (2, "A|2024-01-02", "computed_before_ingestion")]
+                + [(1, "B|2024-01-02", "undeclared")] * 2 + [(1, "2024-01-02", "undeclared")] * 4)
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
