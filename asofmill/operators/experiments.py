@@ -66,14 +66,18 @@ def binding_violations(
     contexts: DataFrame, experiments: DataFrame, datasets: DataFrame, observations: DataFrame,
     documents: DataFrame | None = None,
 ) -> DataFrame:
-    """Contexts that do not agree with the specification of their run, as (context_id, reason)."""
+    """Contexts that do not agree with the specification of their run, as (context_id, reason).
+
+    Each join hashes its small side, which is unique by its key in sound input, and lets the large one pass by: experiments under contexts,
+    contexts under observations, declared datasets under observations. Rows that are many are never sorted.
+    """
     c = F.col
     spec = experiments.select(
         "experiment_id", F.col("run_id").alias("__run"), F.col("mode").alias("__mode"),
         F.col("start_session").alias("__start"), F.col("end_session").alias("__end"),
     )
     declared = datasets.groupBy("experiment_id").agg(F.array_sort(F.collect_set("dataset_id")).alias("__datasets"))
-    joined = contexts.join(spec, "experiment_id", "left").join(declared, "experiment_id", "left")
+    joined = contexts.join(spec.hint("shuffle_hash"), "experiment_id", "left").join(declared.hint("shuffle_hash"), "experiment_id", "left")
     rules = [
         ("different_run", differs(c("run_id"), c("__run"))),
         ("different_mode", differs(c("mode"), c("__mode"))),
@@ -81,11 +85,11 @@ def binding_violations(
         ("dataset_ids", differs(F.array_sort(F.array_distinct("dataset_ids")), c("__datasets"))),
     ]
     report = violations(joined, ["context_id"], rules)
-    of_run = contexts.select("context_id", "experiment_id")
+    of_run = contexts.select("context_id", "experiment_id").hint("shuffle_hash")
     reference = datasets.select(
         "experiment_id", "dataset_id", F.struct("kind", "origin", "provider", "feed").alias("__ref"),
         F.struct("kind", "revision_policy").alias("__doc_ref"),
-    )
+    ).hint("shuffle_hash")
     keys = ["experiment_id", "dataset_id"]
     own = F.struct(F.lit("market").alias("kind"), "origin", "provider", "feed")
     strange = observations.join(of_run, "context_id").join(reference, keys, "left").where(differs(own, c("__ref")))

@@ -11,6 +11,7 @@ from asofmill.operators import labels as Y
 from asofmill.operators import performance as P
 from asofmill.operators import signals as G
 from asofmill.operators.context import eligible_context
+from asofmill.operators.experiments import binding_violations
 from asofmill.operators.portfolio import exposure_violations
 
 DAY = date(2024, 1, 1)
@@ -116,3 +117,29 @@ def test_context_items_meet_their_decision_once(spark):
                  (1, "A|2024-01-03", "no_observation"), (1, "2024-01-02", "no_observation"), (2, "A|2024-01-02", "computed_before_ingestion")]
                 + [(1, "B|2024-01-02", "undeclared")] * 2 + [(1, "2024-01-02", "undeclared")] * 4)
     assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_bindings_sort_no_rows(spark):
+    """Unknown contexts, datasets and experiments, null keys, a dataset that is declared twice with different properties."""
+    day = date(2024, 1, 2)
+    contexts = spark.createDataFrame([(1, 1, 1, "backtest", day, [0]), (2, 9, 1, "backtest", day, [0]), (3, None, None, None, None, None)],
+                                     "context_id long, experiment_id long, run_id long, mode string, execution_session date, dataset_ids array<long>")
+    experiments = spark.createDataFrame([(1, 1, "backtest", day, day)], "experiment_id long, run_id long, mode string, start_session date, end_session date")
+    names = "kind string, origin string, provider string, feed string, revision_policy string"
+    datasets = spark.createDataFrame([(1, 0, "market", "o", "p", "f", "r"), (1, 1, "market", "o", "p", "f", "r"), (1, 1, "market", "o", "p", "g", "r")],
+                                     f"experiment_id long, dataset_id long, {names}")
+    rows = lambda *given: spark.createDataFrame(given, f"context_id long, dataset_id long, {names}").drop("kind")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {}
+        for dataset in (0, 1, None):
+            got = binding_violations(contexts, experiments, datasets, rows((1, dataset, "", "o", "p", "f", "r"), (7, 0, "", "x", "p", "f", "r")))
+            assert "SortMergeJoin" not in plan(got) and "ShuffledHashJoin" in plan(got)
+            found[dataset] = {r.reason for r in got.where("context_id = 1").collect()}
+        others = {(r.context_id, r.reason) for r in got.where("context_id <> 1").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert found == {0: {"dataset_ids"}, 1: {"dataset_ids", "observation_provenance"}, None: {"dataset_ids", "observation_provenance"}}
+    wrong = {"different_run", "different_mode", "outside_range", "dataset_ids"}
+    assert others == {(2, r) for r in wrong} | {(3, "outside_range")}
