@@ -2,7 +2,7 @@
 
 A key is cut into slices of its order (``slice_by``, a monotone function of the first order column). One summary row per slice is
 made with partial aggregates from the few columns it needs; the summaries of all earlier slices of a key, put together, open each
-slice as its first row. Then one shuffle on key and slice and one window are the whole work, for hot keys and cold ones alike: no
+slice as its first row, where there is anything before it. Then one shuffle on key and slice and one window are the whole work, for hot keys and cold ones alike: no
 key is counted beforehand, nothing is joined back, and no task holds more than a slice.
 
 Keys may be null or absent (``keys=[]`` is one sequence). Order columns are named and ascend, nulls first.
@@ -11,6 +11,7 @@ Keys may be null or absent (``keys=[]`` is one sequence). Order columns are name
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,6 +51,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: dic
     # One row per key and slice.
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     opening = totals.select(*keys, _SLICE, F.lit(False).alias(_DATA), *[_RUNNING[s.kind](values[n]).over(earlier).alias(values[n]) for n, s in scans.items()])
+    # The first slice of a key, often its only one, opens with nothing.
+    opening = opening.where(reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in values.values()]))
     inside = Window.partitionBy(*keys, _SLICE).orderBy(_DATA, *order)
     frames = {before: inside.rowsBetween(Window.unboundedPreceding, -1 if before else 0) for before in (False, True)}
     found = rows.unionByName(opening, allowMissingColumns=True).select(

@@ -111,16 +111,18 @@ def reconcile(local: DataFrame, broker: DataFrame, seconds: int, price_tolerance
     by_id = staged(native_pairs(local, broker), "reconcile-native")
     by_distance = nearest_pairs(_rest(local, by_id, "local_id"), _rest(broker, by_id, "broker_id"), seconds)
     pairs = staged(by_id.withColumn("matched_by", F.lit("native_id")).unionByName(by_distance.withColumn("matched_by", F.lit("nearest"))), "reconcile-pairs")
-    sides = [book.select(F.col("record_id").alias(name), *[F.col(v).alias(prefix + v) for v in VALUES])
-             for book, name, prefix in ((local, "local_id", "l_"), (broker, "broker_id", "b_"))]
-    both = pairs.join(sides[0], "local_id").join(sides[1], "broker_id")
+    ours, theirs = (book.select(F.col("record_id").alias(name), *[F.col(v).alias(prefix + v) for v in VALUES])
+                    for book, name, prefix in ((local, "local_id", "l_"), (broker, "__other", "b_")))
+    paired = ours.join(pairs, "local_id", "left")
+    # Records without a partner are dealt by their own id; with a null key all of them would meet in one task.
+    alone = F.col("broker_id").isNull()
+    both = paired.withColumns({"__alone": alone, "__key": F.coalesce("broker_id", "local_id")}).join(
+        theirs.select("*", F.lit(False).alias("__alone"), F.col("__other").alias("__key")), ["__alone", "__key"], "full")
     unlike = {v: ~F.col("l_" + v).eqNullSafe(F.col("b_" + v)) for v in KEYS}
     for name, apart in (("price", F.abs(F.col("l_price") - F.col("b_price")) > price_tolerance),
                         ("at", F.abs(F.unix_micros("l_at") - F.unix_micros("b_at")) > seconds * 1_000_000)):
         unlike[name] = F.coalesce(apart, F.col("l_" + name).isNull() != F.col("b_" + name).isNull())
     differences = F.array_compact(F.array(*[F.when(test, name) for name, test in unlike.items()]))
-    matched = both.withColumn("differences", differences).select(
-        "local_id", "broker_id", F.when(F.size("differences") > 0, "differing").otherwise("matched").alias("status"), "matched_by", "differences")
-    alone = [_rest(book, pairs, name).select(F.col("record_id").alias(name), F.lit(status).alias("status"))
-             for book, name, status in ((local, "local_id", "only_local"), (broker, "broker_id", "only_broker"))]
-    return matched.unionByName(alone[0], allowMissingColumns=True).unionByName(alone[1], allowMissingColumns=True)
+    status = F.when(F.col("__other").isNull(), "only_local").when(F.col("local_id").isNull(), "only_broker").when(F.size("differences") > 0, "differing").otherwise("matched")
+    return both.withColumn("differences", F.when(F.col("local_id").isNotNull() & F.col("__other").isNotNull(), differences)).select(
+        "local_id", F.col("__other").alias("broker_id"), status.alias("status"), "matched_by", "differences")
