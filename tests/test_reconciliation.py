@@ -70,3 +70,12 @@ def test_empty_books(spark):
     none, one = spark.createDataFrame([], BOOK), spark.createDataFrame([(1, None, "A", "buy", 1, START, 1.0)], BOOK)
     assert R.reconcile(none, none, 1, F.lit(0)).count() == 0
     assert [tuple(r)[:3] for r in R.reconcile(none, one.withColumn("extra", F.lit(1)), 1, F.lit(0)).collect()] == [(None, 1, "only_broker")]
+
+
+def test_result_takes_two_joins(spark):
+    """A record without a partner has no other key; it must not cost a pass over the pairs, nor meet all others like it."""
+    local, broker = (spark.createDataFrame([(n, native, "A", "buy", 1, START, 1.0) for n, native in enumerate(ids)], BOOK) for ids in (["x", "y", None], ["x", "z"]))
+    got = R.reconcile(local, broker, 0, F.lit(0))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert sorted(map(str, (tuple(r)[:4] for r in got.collect()))) == sorted(map(str, [
+        (0, 0, "matched", "native_id"), (1, 1, "matched", "nearest"), (2, None, "only_local", None)]))
