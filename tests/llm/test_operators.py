@@ -11,9 +11,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from asofmill.llm import bpe, exact_dedup, license_scan, mixing, queries, secret_scan, sharding, simhash, toxicity, url_filter, vptree
+from asofmill.llm import bpe, embedding_dedup, exact_dedup, license_scan, mixing, queries, secret_scan, sharding, simhash, toxicity, url_filter, vptree
 from asofmill.llm.components import stars
 from asofmill.llm.embedding_dedup import embedding_links
+from asofmill.llm.quantiser import Quantiser, nearest, unit
 from asofmill.llm.rows import keep_rows
 from asofmill.llm.toxicity import features
 
@@ -336,6 +337,61 @@ def test_embedding_recall_near_the_threshold(spark, cell):
     assert all(r.n_links <= expected[r.vec_id] for r in found)
 
 
+def test_embedding_vectors_travel_as_they_came(spark, monkeypatch):
+    """Floats stay floats, and vectors lie only where they are probed: facts reach the rows by number."""
+    written, staged = {}, embedding_dedup.staged
+
+    def spy(df, label):
+        written[label] = dict(df.dtypes)
+        return staged(df, label)
+
+    monkeypatch.setattr(embedding_dedup, "staged", spy)
+    vectors = [(n, [1.0, n / 50]) for n in range(50)]
+    assert embedding_links(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).count() == 50
+    assert {label: types["vector"] for label, types in written.items() if "vector" in types} == dict.fromkeys(("vectors", "vector-probes"), "array<float>")
+    assert "array<double>" not in {kind for types in written.values() for kind in types.values()}
+
+
+def test_embedding_visits_meet_once(spark):
+    """Cut or whole, each visitor of a list meets each of its residents in one cell; only residents bring their lists, no Python makes the rows."""
+    near = {rid: [rid % 3, (rid + 1 + rid % 2) % 3] for rid in range(40)}
+    probed = spark.createDataFrame([(rid, 1, [1.0, float(rid)], lists) for rid, lists in near.items()], "rid long, copies long, vector array<float>, near array<int>")
+    cuts = embedding_dedup._cuts(probed, 26)
+    assert [r.list for r in cuts.collect()] != [] and {r.list for r in cuts.collect()} < {0, 1, 2}
+    visits = embedding_dedup._visits(probed, cuts)
+    met, cells = Counter(), defaultdict(list)
+    for r in visits.collect():
+        cells[r.cell].append(r)
+        assert (r.near is not None) == (r.home == r.cell >> 32) and r.home == near[r.rid][0]
+    for cell, found in cells.items():
+        met.update((cell >> 32, g.rid, r.rid) for g in found for r in found if g.guest and r.here)
+    assert met == Counter((one, g, r) for one in range(3) for g in near for r in near if one in near[g] and near[r][0] == one)
+    assert "Python" not in (plan := visits._jdf.queryExecution().executedPlan().toString()) and "InPandas" not in plan
+
+
+def test_looked_up_products_lose_no_pair():
+    """Every pair at the threshold or above stays within both bounds, and they leave few others."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(600, 48))
+    rows = unit(np.concatenate([base, base + rng.normal(size=base.shape) * np.linspace(0, 0.6, 600)[:, None]]))
+    quantiser, slack = Quantiser.train(rows, 5), embedding_dedup.SINGLE * 68
+    for home in range(5):
+        codes, least = quantiser.encode(rows, home, 0.9)
+        over = (rows @ quantiser.centres[home] - least[:, None]).astype(np.float32)
+        for table, code in zip(quantiser.tables(rows), codes.T):
+            over += table[code]
+        linked = rows @ rows.T >= 0.9
+        assert (over >= -slack)[linked].all() and (over >= -slack).sum() < 2 * linked.sum()
+
+
+def test_nearest_keeps_order_and_ties():
+    centres = np.random.default_rng(3).integers(-1, 2, size=(90, 3)).astype(float)
+    rows = np.random.default_rng(4).integers(-1, 2, size=(50, 3)).astype(float)
+    far = (centres * centres).sum(axis=1) / 2 - rows @ centres.T
+    for count in (1, 2, 12, 90):
+        assert np.array_equal(nearest(rows, centres, count), np.argsort(far, axis=1, kind="stable")[:, :count])
+
+
 # sharding
 
 def test_sharding(spark, edge):
